@@ -107,7 +107,8 @@ def rule_abbrev() -> Column:
 def apply_rules(df: DataFrame, seed: int = 42, extractive: DataFrame | None = None) -> DataFrame:
     """Add ``compressed`` for every row from its ``rule``.
 
-    A text that already fits its budget is kept whole for every rule.
+    A text that already fits its budget is kept whole, except by the sentence
+    rules, which always re-join their sentences with ". ".
     ``extractive`` (from :func:`extractive_selection`) supplies that rule.
     """
     if extractive is not None:
@@ -115,7 +116,8 @@ def apply_rules(df: DataFrame, seed: int = 42, extractive: DataFrame | None = No
     else:
         df = df.withColumn("extractive_text", F.lit(None).cast("string"))
     r = F.col("rule")
-    comp = (F.when(F.col("n_tok") <= F.col("target"), F.col("prompt"))
+    fits = (F.col("n_tok") <= F.col("target")) & ~r.isin("sentences", "extractive")
+    comp = (F.when(fits, F.col("prompt"))
             .when(r == "prefix", rule_prefix())
             .when(r == "middle", rule_middle())
             .when(r == "suffix", rule_suffix())

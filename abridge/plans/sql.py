@@ -95,3 +95,127 @@ def token_f1(g: str, p: str) -> str:
 
 def exact_match(g: str, p: str) -> str:
     return f"CAST(lower({strip(g)}) = lower({strip(p)}) AS DOUBLE)"
+
+
+STOP_WORDS_SQL = None  # filled lazily from the compressor's fixed list
+
+
+def _rule_sql(rule: str, seed: int) -> str:
+    if rule == "prefix":
+        return "array_to_string(tok[1:target], ' ')"
+    if rule == "middle":
+        return "array_to_string(tok[(n_tok - target) // 2 + 1:(n_tok - target) // 2 + target], ' ')"
+    if rule == "suffix":
+        return "array_to_string(tok[n_tok - target + 1:n_tok], ' ')"
+    if rule == "stride":
+        return "array_to_string(list_transform(range(0, target), lambda i: tok[(i * n_tok) // target + 1]), ' ')"
+    if rule == "window":
+        key = (f"'{seed}|' || task || '|' || CAST(sample_id AS VARCHAR) || '|' || "
+               "CAST(CAST(round(ratio * 1000) AS BIGINT) AS VARCHAR)")
+        st = f"({md5_bucket_expr(key)} % (n_tok - target + 1))"
+        return f"array_to_string(tok[{st} + 1:{st} + target], ' ')"
+    if rule == "lines":
+        lt = "regexp_extract_all(line, '\\S+')"
+        return (f"array_to_string(list_filter(list_transform(string_split(prompt, chr(10)), "
+                f"lambda line: array_to_string({lt}[1:(len({lt}) * target) // n_tok], ' ')), "
+                f"lambda x: x <> ''), chr(10))")
+    if rule == "abbrev":
+        from abridge.operators.compress import STOP_WORDS
+        stop = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
+        return (f"array_to_string(list_transform(list_filter(tok, lambda w: NOT list_contains({stop}, lower(w))), "
+                "lambda w: CASE WHEN length(w) > 2 THEN substring(w, 1, 1) || "
+                "regexp_replace(substring(w, 2, length(w) - 2), '[aeiouAEIOU]', '', 'g') || "
+                "substring(w, length(w), 1) ELSE w END)[1:target], ' ')")
+    raise ValueError(rule)
+
+
+def md5_bucket_expr(x: str) -> str:
+    return f"('0x' || substr(md5({x}), 1, 8))::BIGINT"
+
+
+def candidates_cte(samples: str, ratios, methods, seed: int = 42, floor0=("selective-context",)) -> str:
+    """CTE ``cands``: the rule candidate grid, restated in SQL."""
+    from abridge.operators.candidates import rule_of
+    ratio_rows = ", ".join(f"(CAST({r} AS DOUBLE))" for r in ratios)
+    meth_rows = ", ".join(f"('{m}', '{rule_of(m)}')" for m in methods)
+    fl = ", ".join(f"'{m}'" for m in floor0) or "''"
+    rules = sorted({rule_of(m) for m in methods})
+    case = " ".join(f"WHEN rule = '{r}' THEN {_rule_sql(r, seed)}" for r in rules
+                    if r not in ("sentences", "extractive"))
+    sent_case = ""
+    parts = [f"""
+grid AS (
+  SELECT s.*, tok, len(tok)::BIGINT AS n_tok, rr.ratio, mm.style, mm.rule,
+         CASE WHEN mm.style IN ({fl}) THEN {target('len(tok)', 'rr.ratio', False)}
+              ELSE {target('len(tok)', 'rr.ratio')} END AS target
+  FROM (SELECT *, {ws_tok('prompt')} AS tok FROM {samples}) s
+  CROSS JOIN (VALUES {ratio_rows}) AS rr(ratio)
+  CROSS JOIN (VALUES {meth_rows}) AS mm(style, rule)
+)"""]
+    if "sentences" in rules:
+        parts.append("""
+sent_x AS (
+  SELECT task, sample_id, ratio, style, target, unnest(string_split(prompt, '. ')) AS sent,
+         generate_subscripts(string_split(prompt, '. '), 1) AS pos
+  FROM grid WHERE rule = 'sentences'
+),
+sent_c AS (
+  SELECT *, sum(len(regexp_extract_all(sent, '\\S+'))) OVER (
+      PARTITION BY task, sample_id, ratio, style ORDER BY pos
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+  FROM sent_x
+),
+sent_r AS (
+  SELECT task, sample_id, ratio, style,
+         """ + strip("string_agg(sent || '. ', '' ORDER BY pos)") + """ AS sent_text
+  FROM sent_c WHERE cum <= target GROUP BY ALL
+)""")
+        sent_case = "WHEN rule = 'sentences' THEN coalesce(sent_text, '')"
+    ext_case = ""
+    if "extractive" in rules:
+        parts.append(f"""
+ext_df AS (
+  SELECT g, count(*) AS df FROM (
+    SELECT DISTINCT task, sample_id, unnest({rouge_tok('prompt')}) AS g
+    FROM (SELECT DISTINCT task, sample_id, prompt FROM grid WHERE rule = 'extractive')) GROUP BY g
+),
+ext_s AS (
+  SELECT DISTINCT task, sample_id, unnest(string_split(prompt, '. ')) AS sent,
+         generate_subscripts(string_split(prompt, '. '), 1) AS pos
+  FROM (SELECT DISTINCT task, sample_id, prompt FROM grid WHERE rule = 'extractive')
+),
+ext_sc AS (
+  SELECT task, sample_id, pos, avg(ln(df)) AS m FROM (
+    SELECT task, sample_id, pos, unnest({rouge_tok('sent')}) AS g FROM ext_s) x
+  JOIN ext_df USING (g) GROUP BY ALL
+),
+ext_rank AS (
+  SELECT s.task, s.sample_id, s.pos, s.sent, len({ws_tok('s.sent')}) AS ntok,
+         coalesce(round(sc.m, 9), 1e9) AS neg_score
+  FROM ext_s s LEFT JOIN ext_sc sc USING (task, sample_id, pos)
+),
+ext_c AS (
+  SELECT g.task, g.sample_id, g.ratio, g.style, g.target, r.pos, r.sent,
+         sum(r.ntok) OVER (PARTITION BY g.task, g.sample_id, g.ratio, g.style
+                           ORDER BY r.neg_score, r.pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+  FROM grid g JOIN ext_rank r USING (task, sample_id) WHERE g.rule = 'extractive'
+),
+ext_r AS (
+  SELECT task, sample_id, ratio, style,
+         {strip("string_agg(sent, '. ' ORDER BY pos) || '. '")} AS ext_text
+  FROM ext_c WHERE cum <= target GROUP BY ALL
+)""")
+        ext_case = "WHEN rule = 'extractive' THEN coalesce(ext_text, '')"
+    joins = ""
+    if "sentences" in rules:
+        joins += " LEFT JOIN sent_r USING (task, sample_id, ratio, style)"
+    if "extractive" in rules:
+        joins += " LEFT JOIN ext_r USING (task, sample_id, ratio, style)"
+    parts.append(f"""
+cands AS (
+  SELECT grid.*, CASE
+      WHEN n_tok <= target AND rule NOT IN ('sentences', 'extractive') THEN prompt
+      {sent_case} {ext_case} {case} END AS compressed
+  FROM grid{joins}
+)""")
+    return ",".join(parts)

@@ -80,3 +80,38 @@ def q_count_tokens(spark, sf):
                                                    n_tokens(rouge_tokens("text")).alias("n_rouge_tokens"))
     return d.select("*", target_tokens("n_tokens", F.lit(0.1)).alias("target_10"),
                     target_tokens("n_tokens", F.lit(0.1), False).alias("target_10_floor0"))
+
+
+# --------------------------------------------------------------------------- compressors
+from abridge.operators.candidates import candidates  # noqa: E402
+from abridge.operators.catalog import RATIOS  # noqa: E402
+
+
+def _comp_sql(methods, task="reconstruction"):
+    return f"""
+WITH {S.SAMPLES_CTE},
+base AS (SELECT * FROM samples WHERE task = '{task}'),
+{S.candidates_cte('base', RATIOS, methods)}
+SELECT sample_id, ratio, style, target, len({S.ws_tok('compressed')})::BIGINT AS n_out, compressed
+FROM cands"""
+
+
+def _comp_query(name, methods, operators):
+    def fn(spark, sf):
+        s = build_samples(spark, sf, ("reconstruction",))
+        c = candidates(s, RATIOS, methods)
+        return c.select("sample_id", "ratio", "style", "target",
+                        n_tokens(ws_tokens("compressed")).alias("n_out"), "compressed")
+    fn.__name__ = f"q_{name.replace('-', '_')}"
+    fn.__doc__ = f"Rule compressor query {name}: {', '.join(methods)} at every ratio."
+    query(name, sql=_comp_sql(methods), operators=operators)(fn)
+
+
+_comp_query("comp_loc", ["loc-begin", "loc-mid", "loc-end", "loc-all"], ("comp_loc", "comp_prefix"))
+_comp_query("comp_random_window", ["random"], ("comp_random_window",))
+_comp_query("comp_sentences", ["selective", "readable"], ("comp_sentences", "running_tokens"))
+_comp_query("comp_extractive", ["extractive"], ("comp_extractive",))
+_comp_query("comp_format_aware", ["format-aware"], ("comp_extractive",))
+_comp_query("comp_abbrev", ["unreadable"], ("comp_abbrev",))
+_comp_query("comp_fallback_styles", ["abstractive", "for_qa", "selective-context"],
+            ("comp_style", "comp_prefix", "target_tokens_floor0"))
