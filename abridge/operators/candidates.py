@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from abridge.functions.tokens import n_tokens, target_tokens, ws_tokens
+from abridge.functions.tokens import n_tokens, rouge_tokens, target_tokens, ws_tokens
 from abridge.operators.catalog import BASELINE_RULE, STYLE_NAMES, STYLE_RULE
 from abridge.operators.compress import apply_rules, extractive_selection
 
@@ -26,7 +26,15 @@ def rule_of(method: str) -> str:
 
 
 def with_tokens(samples: DataFrame) -> DataFrame:
-    return samples.withColumn("tok", ws_tokens("prompt")).withColumn("n_tok", n_tokens("tok"))
+    """Whitespace tokens of the prompt and ROUGE tokens of the scoring reference.
+
+    Computed once per sample, before the grid explode multiplies rows.
+    """
+    t = F.col("task")
+    ref = (F.when(t == "reconstruction", F.col("prompt"))
+            .when(t == "summarization", F.col("reference")))
+    return (samples.withColumn("tok", ws_tokens("prompt")).withColumn("n_tok", n_tokens("tok"))
+            .withColumn("ref_rt", rouge_tokens(ref)))
 
 
 def grid_cross(samples: DataFrame, ratios, methods) -> DataFrame:

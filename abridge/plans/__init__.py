@@ -2,4 +2,4 @@
 
 
 def load_all() -> None:
-    from abridge.plans import text_queries  # noqa: F401
+    from abridge.plans import eval_queries, text_queries  # noqa: F401
