@@ -129,13 +129,14 @@ def f_measure(hits, n_ref, n_cand) -> Column:
     return F.when(h > 0, 2.0 * h / (_c(n_ref) + _c(n_cand)).cast("double")).otherwise(F.lit(0.0))
 
 
-def rouge_columns(ref_tokens, cand_tokens, prefix: str = "") -> list[Column]:
+def rouge_columns(ref_tokens, cand_tokens, prefix: str = "", ref_ids=None, n_ref=None) -> list[Column]:
     """Columns hit1, hit2, lcs, n_ref, n_cand, rouge1, rouge2, rougeL, bertscore.
 
-    ``bertscore`` is the ROUGE-L value (decision Q4).
+    ``bertscore`` is the ROUGE-L value (decision Q4). ``ref_ids``/``n_ref``
+    may be passed precomputed (once per sample instead of per candidate).
     """
-    ov = pair_overlap(token_ids(ref_tokens), token_ids(cand_tokens))
-    nr = F.size(_c(ref_tokens)).cast("bigint")
+    ov = pair_overlap(ref_ids if ref_ids is not None else token_ids(ref_tokens), token_ids(cand_tokens))
+    nr = n_ref if n_ref is not None else F.size(_c(ref_tokens)).cast("bigint")
     nc = F.size(_c(cand_tokens)).cast("bigint")
     nr2 = F.greatest(nr - 1, F.lit(0).cast("bigint"))
     nc2 = F.greatest(nc - 1, F.lit(0).cast("bigint"))

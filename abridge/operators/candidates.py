@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from abridge.functions.tokens import n_tokens, rouge_tokens, target_tokens, ws_tokens
+from abridge.functions.metrics import token_ids
 from abridge.operators.catalog import BASELINE_RULE, STYLE_NAMES, STYLE_RULE
 from abridge.operators.compress import apply_rules, extractive_selection
 
@@ -34,7 +35,8 @@ def with_tokens(samples: DataFrame) -> DataFrame:
     ref = (F.when(t == "reconstruction", F.col("prompt"))
             .when(t == "summarization", F.col("reference")))
     return (samples.withColumn("tok", ws_tokens("prompt")).withColumn("n_tok", n_tokens("tok"))
-            .withColumn("ref_rt", rouge_tokens(ref)))
+            .withColumn("ref_rt", rouge_tokens(ref))
+            .withColumn("ref_ids", token_ids("ref_rt")))
 
 
 def grid_cross(samples: DataFrame, ratios, methods) -> DataFrame:

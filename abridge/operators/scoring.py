@@ -34,9 +34,12 @@ def score(cands: DataFrame, text_col: str = "compressed", compat_self_summary: b
                        else F.col("reference")))
     cand_text = F.when(task.isin(*ROUGE_TASKS) & ref_text.isNotNull(), F.col(text_col))
     pred = F.col("pred") if "pred" in cands.columns else F.col(text_col)
-    ref_rt = (F.col("ref_rt") if "ref_rt" in cands.columns and not compat_self_summary
-              else rouge_tokens(ref_text))
-    df = cands.select("*", *rouge_columns(ref_rt, rouge_tokens(cand_text)))
+    if "ref_ids" in cands.columns and not compat_self_summary:
+        cols = rouge_columns(None, rouge_tokens(cand_text), ref_ids=F.col("ref_ids"),
+                             n_ref=F.size("ref_rt").cast("bigint"))
+    else:
+        cols = rouge_columns(rouge_tokens(ref_text), rouge_tokens(cand_text))
+    df = cands.select("*", *cols)
     df = finish_rouge(df)
     rouge_ok = task.isin(*ROUGE_TASKS) & F.col("n_ref").isNotNull()
     for m in ("rouge1", "rouge2", "rougeL", "bertscore"):

@@ -51,3 +51,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialize ``df`` to the reliable checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def work_partitions(df: DataFrame, per_core: int = 4) -> int:
+    """Partitions for compute-heavy rows: at least ``per_core`` tasks per core,
+    and never fewer than the scan produced (so it grows with the input)."""
+    sc = df.sparkSession.sparkContext
+    try:
+        scan = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001
+        scan = 1
+    return max(scan, per_core * sc.defaultParallelism)
+
+
+def spread(df: DataFrame, *keys: str, per_core: int = 4) -> DataFrame:
+    """Hash-partition ``df`` on ``keys`` into :func:`work_partitions` parts.
+
+    Text rows are few bytes but much work each (a sample expands into ~40
+    scored candidates), so byte-based coalescing would squeeze them into one
+    task; an explicit partition count keeps the work spread, and the hash
+    partitioning on the sample key is reused by later joins on that key.
+    """
+    return df.repartition(work_partitions(df, per_core), *keys)

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abridge.functions.metrics import strip_ws
+from abridge.session import spread
 from abridge.sources.tables import read_table
 
 TASKS = ("reconstruction", "summarization", "qa", "reasoning")
@@ -96,8 +97,12 @@ def conversation_samples(conv: DataFrame) -> DataFrame:
     return qa.unionByName(reasoning)
 
 
-def build_samples(spark: SparkSession, sf_dir: str, tasks=TASKS) -> DataFrame:
-    """``src_samples``: the four task shapes as one long table."""
+def build_samples(spark: SparkSession, sf_dir: str, tasks=TASKS, distribute: bool = True) -> DataFrame:
+    """``src_samples``: the four task shapes as one long table.
+
+    ``distribute`` hash-partitions the samples on ``(task, sample_id)`` so
+    the candidate work is spread over all cores (see :func:`spread`).
+    """
     parts = []
     if {"reconstruction", "summarization"} & set(tasks):
         parts.append(document_samples(read_table(spark, sf_dir, "documents")))
@@ -109,4 +114,5 @@ def build_samples(spark: SparkSession, sf_dir: str, tasks=TASKS) -> DataFrame:
     unknown = set(tasks) - set(TASKS)
     if unknown:
         raise ValueError(f"unknown task(s) {sorted(unknown)}")
-    return out.where(F.col("task").isin(list(tasks))).select(*SAMPLE_COLS)
+    out = out.where(F.col("task").isin(list(tasks))).select(*SAMPLE_COLS)
+    return spread(out, "task", "sample_id") if distribute else out
