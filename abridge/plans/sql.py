@@ -219,3 +219,53 @@ cands AS (
   FROM grid{joins}
 )""")
     return ",".join(parts)
+
+
+METRIC_TASKS = {
+    "rouge1": ("reconstruction", "summarization"), "rouge2": ("reconstruction", "summarization"),
+    "rougeL": ("reconstruction", "summarization"), "bertscore": ("reconstruction", "summarization"),
+    "em": ("qa", "reasoning"), "f1": ("qa",),
+}
+KEY4 = "task, sample_id, ratio, style"
+
+
+def scored_cte(tasks, methods, ratios, seed: int = 42) -> str:
+    """CTEs ending in ``sc``: every rule candidate with its task metrics and primary score.
+
+    ROUGE-L uses the subsequence closed form (LCS = candidate length), so only
+    subsequence-producing methods and the reconstruction task may use it.
+    """
+    tl = ", ".join(f"'{t}'" for t in tasks)
+    r1 = fmeasure("coalesce(hit1, 0)", "len(rt)", "len(ct)")
+    r2 = fmeasure("coalesce(hit2, 0)", "greatest(len(rt) - 1, 0)", "greatest(len(ct) - 1, 0)")
+    rl = fmeasure("len(ct)", "len(rt)", "len(ct)")
+    return f"""{SAMPLES_CTE},
+base AS (SELECT * FROM samples WHERE task IN ({tl})),
+{candidates_cte('base', ratios, methods, seed)},
+p AS (SELECT {KEY4}, {rouge_tok('prompt')} AS rt, {rouge_tok('compressed')} AS ct FROM cands WHERE task = 'reconstruction'),
+{rouge_hits_cte('p', KEY4, 'rt', 'ct')},
+sc0 AS (
+  SELECT c.task, c.sample_id, c.grp, c.ratio, c.style, c.prompt, c.compressed, c.n_tok, c.target,
+         CASE WHEN c.task = 'reconstruction' THEN {r1} END AS rouge1,
+         CASE WHEN c.task = 'reconstruction' THEN {r2} END AS rouge2,
+         CASE WHEN c.task = 'reconstruction' THEN {rl} END AS rougeL,
+         CASE WHEN c.task = 'reconstruction' THEN {rl} END AS bertscore,
+         CASE WHEN c.task = 'qa' THEN {exact_match('c.answer', 'c.compressed')}
+              WHEN c.task = 'reasoning' THEN {exact_match('c.answer', final_answer('c.compressed'))} END AS em,
+         CASE WHEN c.task = 'qa' THEN {token_f1('c.answer', 'c.compressed')} END AS f1
+  FROM cands c LEFT JOIN p USING ({KEY4}) LEFT JOIN h1 USING ({KEY4}) LEFT JOIN h2 USING ({KEY4})
+),
+sc AS (
+  SELECT *, CASE task WHEN 'reconstruction' THEN rougeL WHEN 'summarization' THEN (rouge1 + rouge2 + rougeL) / 3.0
+                      WHEN 'qa' THEN f1 WHEN 'reasoning' THEN em END AS primary_score
+  FROM sc0
+)"""
+
+
+def long_cte(src: str = "sc", keys: str = "ratio, task, style") -> str:
+    parts = []
+    for m, tasks in METRIC_TASKS.items():
+        tl = ", ".join(f"'{t}'" for t in tasks)
+        parts.append(f"SELECT {keys}, '{m}' AS metric, {m} AS value FROM {src} WHERE task IN ({tl})")
+    return "lg AS (\n  " + "\n  UNION ALL ".join(parts) + "\n),\n" + \
+        f"results_long AS (SELECT {keys}, metric, sum(coalesce(value, 0)) / count(*) AS value FROM lg GROUP BY ALL)"
