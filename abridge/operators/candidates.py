@@ -21,8 +21,8 @@ def rule_of(method: str) -> str:
         return STYLE_RULE[method]
     if method in BASELINE_RULE:
         return BASELINE_RULE[method]
-    if method in STYLE_NAMES:
-        return "prefix"          # model-only style without a response: prefix fallback
+    if method in STYLE_NAMES or method == "icl":
+        return "prefix"          # model-only style / few-shot try without a response: prefix fallback
     raise ValueError(f"unknown style or method {method!r}")
 
 

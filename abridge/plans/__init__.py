@@ -2,4 +2,4 @@
 
 
 def load_all() -> None:
-    from abridge.plans import eval_queries, sweep_queries, text_queries  # noqa: F401
+    from abridge.plans import adapt_queries, eval_queries, sweep_queries, text_queries  # noqa: F401
