@@ -269,3 +269,74 @@ def long_cte(src: str = "sc", keys: str = "ratio, task, style") -> str:
         parts.append(f"SELECT {keys}, '{m}' AS metric, {m} AS value FROM {src} WHERE task IN ({tl})")
     return "lg AS (\n  " + "\n  UNION ALL ".join(parts) + "\n),\n" + \
         f"results_long AS (SELECT {keys}, metric, sum(coalesce(value, 0)) / count(*) AS value FROM lg GROUP BY ALL)"
+
+
+def sq(s: str) -> str:
+    """SQL string literal (newlines as chr(10))."""
+    parts = s.split("\n")
+    lits = ["'" + p.replace("'", "''") + "'" for p in parts]
+    return "(" + " || chr(10) || ".join(lits) + ")"
+
+
+def render(template: str, **cols: str) -> str:
+    parts, rest = [], template
+    while "{" in rest:
+        pre, _, tail = rest.partition("{")
+        name, _, rest = tail.partition("}")
+        if pre:
+            parts.append(sq(pre))
+        parts.append(f"CAST({cols[name]} AS VARCHAR)")
+    if rest:
+        parts.append(sq(rest))
+    return "(" + " || ".join(parts) + ")"
+
+
+def instruction(style: str = "style") -> str:
+    from abridge.operators.catalog import STYLES
+    whens = " ".join(f"WHEN '{s}' THEN {sq(i)}" for s, i in STYLES)
+    return f"(CASE {style} {whens} ELSE '' END)"
+
+
+def _re(p: str) -> str:
+    return "'" + p.replace("(?isd)", "(?is)").replace("(?sd)", "(?s)").replace("(?id)", "(?i)") \
+        .replace("(?U)", "").replace("'", "''") + "'"
+
+
+def first_match(x: str, patterns, default: str) -> str:
+    whens = " ".join(f"WHEN regexp_matches({x}, {_re(p)}) THEN regexp_extract({x}, {_re(p)}, 1)"
+                     for p in patterns)
+    return f"(CASE {whens} ELSE {default} END)"
+
+
+def clean_compression(x: str) -> str:
+    from abridge.functions.text import CLEAN_LEAD_IN, CLEAN_NOTES
+    c = f"regexp_replace({x}, {_re(CLEAN_LEAD_IN)}, '', 'g')"
+    for p in CLEAN_NOTES:
+        c = f"regexp_replace({c}, {_re(p)}, '', 'g')"
+    return strip(f"regexp_replace({c}, '\\s+', ' ', 'g')")
+
+
+def parse_compression(r: str) -> str:
+    from abridge.functions.text import COMPRESSION_PATTERNS
+    return clean_compression(strip(first_match(r, COMPRESSION_PATTERNS, strip(r))))
+
+
+def parse_vanilla(r: str) -> str:
+    from abridge.functions.text import VANILLA_LEAD_IN, VANILLA_PATTERNS
+    body = strip(first_match(strip(r), VANILLA_PATTERNS, strip(r)))
+    return strip(f"regexp_replace({body}, {_re(VANILLA_LEAD_IN)}, '')")
+
+
+def parse_lingua(r: str) -> str:
+    from abridge.functions.text import LINGUA_PATTERNS
+    return strip(first_match(strip(r), LINGUA_PATTERNS, strip(r)))
+
+
+def parse_reconstruction(r: str) -> str:
+    from abridge.functions.text import RECONSTRUCTION_PATTERNS
+    return strip(first_match(r, RECONSTRUCTION_PATTERNS, r))
+
+
+def truncate(text: str, target_: str) -> str:
+    tok = ws_tok(text)
+    return f"(CASE WHEN len({tok}) <= {target_} THEN {text} ELSE array_to_string({tok}[1:{target_}], ' ') END)"
