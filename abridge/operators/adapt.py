@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from abridge.operators.catalog import STYLE_NAMES, TASK_SETTINGS
 from abridge.session import cut_lineage
 
-GKEY = ["task", "ratio", "grp"]
+GKEY = ["config", "task", "ratio", "grp"]
 N_STYLES = len(STYLE_NAMES)
 
 
@@ -118,18 +118,24 @@ def sample_style(draws: DataFrame, weights: DataFrame, uniform: bool, keys=GKEY)
 
 # --------------------------------------------------------------------------- adaptation
 def adaptation(scores: DataFrame, roles: DataFrame, ratios, adapt_size: int = 10, n_total: int = 5,
-               warmup_ratio: float = 0.5, seed: int = 42, checkpoint_every: int = 1):
+               warmup_ratio: float = 0.5, seed: int = 42, checkpoint_every: int = 1,
+               configs=None):
     """``adaptation``: run ``adapt_size`` rounds for all groups at once.
 
     ``scores``: ``task, sample_id, ratio, style, score`` for every style and
     ``icl``; ``roles``: output of :func:`adapt_infer_split` (with ``grp``).
-    Returns ``(demonstrations, style_stats)``.
+    ``configs``: ``[(config, n_style, n_icl)]``, run side by side as a group
+    column (default: one ``full`` config with ``N//2`` style draws and the
+    rest few-shot tries). Returns ``(demonstrations, style_stats)``.
     """
-    n_style = n_total // 2
-    n_icl = n_total - n_style
+    if configs is None:
+        configs = [("full", n_total // 2, n_total - n_total // 2)]
+    cfg = F.array(*[F.struct(F.lit(c).alias("config"), F.lit(a).alias("n_style"), F.lit(b).alias("n_icl"))
+                    for c, a, b in configs])
     kinds = F.create_map(*[x for t, (_, k) in TASK_SETTINGS.items() for x in (F.lit(t), F.lit(k))])
     adapt = (roles.where("is_adapt").select("task", "grp", "sample_id", "pos")
-             .withColumn("ratio", F.explode(F.array(*[F.lit(float(r)) for r in ratios]))))
+             .withColumn("ratio", F.explode(F.array(*[F.lit(float(r)) for r in ratios])))
+             .withColumn("_c", F.explode(cfg)).select("*", "_c.config", "_c.n_style", "_c.n_icl").drop("_c"))
     adapt = cut_lineage(adapt)
     groups = adapt.select(*GKEY).distinct()
     stats = (explode_styles(groups)
@@ -139,17 +145,20 @@ def adaptation(scores: DataFrame, roles: DataFrame, ratios, adapt_size: int = 10
     # Candidate scores are computed once, materialized, then only looked up.
     sc = cut_lineage(scores.select("task", "sample_id", "ratio", "style", "score"))
     for i in range(adapt_size):
-        cur = adapt.where(F.col("pos") == i).select(*GKEY, "sample_id")
-        slots = cur.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n_style - 1))))
+        cur = adapt.where(F.col("pos") == i).select(*GKEY, "sample_id", "n_style", "n_icl")
+        slots = (cur.where(F.col("n_style") > 0)
+                 .withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("n_style") - 1)))
+                 .drop("n_style", "n_icl"))
         slots = slots.withColumn("u", unit_draw(F.lit(seed), F.col("task"), ratio_key(), F.col("grp"),
                                                  F.lit(i), F.col("slot")))
         uniform = i < warmup_ratio * adapt_size
         drawn = sample_style(slots, style_weights(stats), uniform)
         drawn = drawn.select(*GKEY, "sample_id", "slot", style_name().alias("style"))
         tries = drawn
-        if i > 0 and n_icl > 0:
-            icl = cur.withColumn("slot", F.explode(F.sequence(F.lit(n_style), F.lit(n_total - 1)))) \
-                     .withColumn("style", F.lit("icl"))
+        if i > 0:
+            icl = (cur.where(F.col("n_icl") > 0)
+                   .withColumn("slot", F.explode(F.sequence(F.col("n_style"), F.col("n_style") + F.col("n_icl") - 1)))
+                   .withColumn("style", F.lit("icl")).drop("n_style", "n_icl"))
             tries = tries.unionByName(icl)
         tries = tries.join(sc, ["task", "sample_id", "ratio", "style"]).withColumn("ca_kind", kinds[F.col("task")])
         ca = comparative_advantage(tries, GKEY).select(*GKEY, "ca")
@@ -187,3 +196,35 @@ def style_ranking(stats: DataFrame, top: int = 10) -> DataFrame:
 
 def union_all(dfs):
     return reduce(DataFrame.unionByName, dfs)
+
+
+def demo_arrays(demos: DataFrame, texts: DataFrame) -> DataFrame:
+    """Top-S demonstrations of each group as ``array<struct<rank, original, compressed>>``.
+
+    ``texts``: ``task, sample_id, ratio, style, prompt, compressed`` of the
+    adapted candidates. The array holds at most S (<= 3) entries per group.
+    """
+    td = top_demos(demos).join(texts.withColumnRenamed("style", "style_used"),
+                               ["task", "sample_id", "ratio", "style_used"])
+    return td.groupBy(*GKEY).agg(F.sort_array(F.collect_list(
+        F.struct("rank", F.col("prompt").alias("original"), "compressed"))).alias("demos"))
+
+
+def inference(infer_samples: DataFrame, demo_arr: DataFrame, ratios, configs, completions_fn=None):
+    """``inference``: few-shot request with the group's top-S demos, style ``for_<task>``.
+
+    Returns candidate rows (``compressed``, ``source``, ``request_id``) ready
+    for scoring; groups without demonstrations are dropped (the reference
+    raises for an empty pool).
+    """
+    from abridge.operators.candidates import add_targets, with_tokens
+    from abridge.operators.requests import join_completions, standin_completions, with_request
+    cfg = F.array(*[F.lit(c) for c, _, _ in configs])
+    df = (with_tokens(infer_samples)
+          .withColumn("ratio", F.explode(F.array(*[F.lit(float(r)) for r in ratios])))
+          .withColumn("config", F.explode(cfg))
+          .withColumn("style", F.concat(F.lit("for_"), F.col("task"))))
+    df = add_targets(df).join(demo_arr, GKEY)
+    req = with_request(df, "style", demos_col="demos").withColumn("compressed", F.lit(None).cast("string"))
+    comps = completions_fn(req) if completions_fn else standin_completions(req)
+    return join_completions(req, comps)

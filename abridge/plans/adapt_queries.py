@@ -1,44 +1,140 @@
-"""Registered adaptation queries (style sampling, demonstrations, inference)."""
+"""Registered adaptation queries (style sampling, demonstrations, inference, comparisons)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from abridge.operators.adapt import adapt_infer_split, adaptation, style_ranking, top_demos
+from abridge.functions.tokens import actual_ratio, n_tokens, ws_tokens
+from abridge.operators.adapt import (GKEY, adapt_infer_split, adaptation, demo_arrays, inference,
+                                     style_ranking, top_demos)
+from abridge.operators.candidates import candidates
 from abridge.operators.catalog import RATIOS, STYLE_NAMES
+from abridge.operators.scoring import score
 from abridge.operators.sweep import scored_grid
 from abridge.plans.registry import query
 from abridge.sources.samples import SAMPLE_COLS, build_samples
+from abridge.session import cut_lineage
 
 ADAPT_SIZE = 10
 N_TOTAL = 5
+FULL = [("full", N_TOTAL // 2, N_TOTAL - N_TOTAL // 2)]
+# Ablation configs: (name, style draws, few-shot tries) per prompt; truncation has no adaptation.
+ABLATION = [("style_only", 2, 0), ("icl_only", 0, 2), ("full", 1, 2)]
 
 
 def r6(c):
     return F.round(c, 6)
 
 
-def run_adaptation(spark, sf, task="qa", adapt_size=ADAPT_SIZE, n_total=N_TOTAL, ratios=RATIOS):
+def run_adaptation(spark, sf, task="qa", adapt_size=ADAPT_SIZE, ratios=RATIOS, configs=FULL):
     s = build_samples(spark, sf, (task,))
-    roles = adapt_infer_split(s, adapt_size)
+    roles = cut_lineage(adapt_infer_split(s, adapt_size))
     adapt_samples = roles.where("is_adapt").select(*SAMPLE_COLS)
-    sc = (scored_grid(adapt_samples, ratios, STYLE_NAMES + ["icl"])
-          .select("task", "sample_id", "ratio", "style", F.round("primary_score", 12).alias("score")))
-    demos, stats = adaptation(sc, roles, ratios, adapt_size=adapt_size, n_total=n_total)
-    return roles, demos, stats
+    cand = cut_lineage(scored_grid(adapt_samples, ratios, STYLE_NAMES + ["icl"])
+                       .select("task", "sample_id", "ratio", "style", "prompt", "compressed",
+                               F.round("primary_score", 12).alias("score")))
+    demos, stats = adaptation(cand, roles, ratios, adapt_size=adapt_size, configs=configs)
+    return roles, cand, demos, stats
+
+
+def run_inference(spark, sf, task="qa", ratios=RATIOS, configs=FULL):
+    roles, cand, demos, stats = run_adaptation(spark, sf, task, ratios=ratios, configs=configs)
+    arr = demo_arrays(demos, cand.select("task", "sample_id", "ratio", "style", "prompt", "compressed"))
+    inf = inference(roles.where("is_infer").select(*SAMPLE_COLS), arr, ratios, configs)
+    return score(inf), demos, stats
 
 
 @query("adaptation", sql=None, operators=("adaptation", "sample_style", "running_style_state",
-                                          "running_pool", "ca_min", "ca_mid", "best_candidate"))
+                                          "running_pool", "ca_min", "ca_mid", "best_candidate",
+                                          "adapt_infer_split"))
 def q_adaptation(spark, sf):
     """Demonstration pool of every (task, ratio, grp) group after M rounds (qa task, F1)."""
-    _, demos, _ = run_adaptation(spark, sf)
-    return demos.select("task", "ratio", "grp", "iteration", "sample_id", "style_used",
+    _, _, demos, _ = run_adaptation(spark, sf)
+    return demos.select(*GKEY, "iteration", "sample_id", "style_used",
+                        r6(F.col("score")).alias("score"), r6(F.col("ca")).alias("ca"))
+
+
+@query("adaptation_summarization", sql=None, operators=("adaptation", "eval_summarization"))
+def q_adaptation_summarization(spark, sf):
+    """Adaptation bound to summarization (hashed reference line; primary = mean of 3 ROUGE)."""
+    _, _, demos, _ = run_adaptation(spark, sf, "summarization", ratios=[0.25])
+    return demos.select(*GKEY, "iteration", "sample_id", "style_used",
                         r6(F.col("score")).alias("score"), r6(F.col("ca")).alias("ca"))
 
 
 @query("style_stats", sql=None, operators=("style_stats", "style_weights"))
 def q_style_stats(spark, sf):
-    _, _, stats = run_adaptation(spark, sf)
-    return stats.select("task", "ratio", "grp", "style", r6(F.col("perf_sum")).alias("perf_sum"), "n",
+    _, _, _, stats = run_adaptation(spark, sf)
+    return stats.select(*GKEY, "style", r6(F.col("perf_sum")).alias("perf_sum"), "n",
                         r6(F.col("avg_perf")).alias("avg_perf"))
+
+
+@query("style_analysis", sql=None, operators=("style_analysis", "rank_styles"))
+def q_style_analysis(spark, sf):
+    """Styles ranked by mean winning score per group (first 10)."""
+    _, _, _, stats = run_adaptation(spark, sf, ratios=[0.25])
+    return style_ranking(stats).select(*GKEY, "rank", "style", r6(F.col("avg_perf")).alias("avg_perf"), "n")
+
+
+@query("top_demos", sql=None, operators=("top_demos", "icl_demos", "task_settings"))
+def q_top_demos(spark, sf):
+    _, _, demos, _ = run_adaptation(spark, sf)
+    return top_demos(demos).select(*GKEY, "rank", "iteration", "sample_id", "style_used",
+                                   r6(F.col("ca")).alias("ca"))
+
+
+@query("inference", sql=None, operators=("inference", "tmpl_few_shot", "compress_batch"))
+def q_inference(spark, sf):
+    """Infer-role prompts compressed with the top-S demonstrations, scored."""
+    inf, _, _ = run_inference(spark, sf)
+    return inf.select(*GKEY, "sample_id", "request_id", "source", "target",
+                      n_tokens(ws_tokens("compressed")).alias("n_out"), r6(F.col("f1")).alias("f1"),
+                      r6(F.col("primary_score")).alias("primary_score"))
+
+
+@query("ratio_sweep", sql=None, operators=("ratio_sweep", "avg_ratio", "actual_ratio"))
+def q_ratio_sweep(spark, sf):
+    """Per ratio: mean achieved ratio and mean quality of the adaptive method on infer prompts."""
+    inf, _, _ = run_inference(spark, sf)
+    inf = inf.withColumn("achieved", actual_ratio(n_tokens(ws_tokens("compressed")), "n_tok"))
+    return inf.groupBy("task", "ratio").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.avg("achieved")).alias("avg_ratio"),
+        r6(F.avg("em")).alias("em"), r6(F.avg("f1")).alias("f1"))
+
+
+@query("ablation", sql=None, operators=("ablation",))
+def q_ablation(spark, sf):
+    """style_only / icl_only / full side by side (config column) plus truncation."""
+    inf, _, _ = run_inference(spark, sf, ratios=[0.25], configs=ABLATION)
+    adaptive = inf.groupBy("config", "task", "ratio").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.avg("f1")).alias("f1"), r6(F.avg("em")).alias("em"))
+    s = build_samples(spark, sf, ("qa",))
+    trunc = score(candidates(s, [0.25], ["loc-begin"])).groupBy("task", "ratio").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.avg("f1")).alias("f1"), r6(F.avg("em")).alias("em")) \
+        .withColumn("config", F.lit("truncation"))
+    return adaptive.unionByName(trunc)
+
+
+@query("method_comparison", sql=None, operators=("method_comparison", "method_summary", "drop_errors",
+                                                 "comp_random_window", "comp_sentences"))
+def q_method_comparison(spark, sf):
+    """Adaptive vs truncation vs random vs selective on the same infer prompts (qa, F1)."""
+    inf, demos, _ = run_inference(spark, sf, ratios=[0.25])
+    adaptive = inf.select("task", "sample_id", "ratio", "n_tok", "compressed", "em", "f1") \
+        .withColumn("method", F.lit("adaptive"))
+    roles = adapt_infer_split(build_samples(spark, sf, ("qa",)), ADAPT_SIZE)
+    base = score(candidates(roles.where("is_infer").select(*SAMPLE_COLS), [0.25],
+                            ["selective-context", "random", "selective"]))
+    base = base.select("task", "sample_id", "ratio", "n_tok", "compressed", "em", "f1",
+                       F.col("style").alias("method"))
+    allm = adaptive.unionByName(base).withColumn(
+        "achieved", actual_ratio(n_tokens(ws_tokens("compressed")), "n_tok"))
+    n_demos = demos.groupBy("task", "ratio").agg(F.count(F.lit(1)).alias("num_demonstrations"))
+    out = allm.groupBy("task", "ratio", "method").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.avg("achieved")).alias("avg_ratio"),
+        r6(F.avg("em")).alias("em"), r6(F.avg("f1")).alias("f1"))
+    return (out.join(n_demos, ["task", "ratio"], "left")
+            .withColumn("num_demonstrations",
+                        F.when(F.col("method") == "adaptive", F.col("num_demonstrations")).otherwise(F.lit(0)))
+            .withColumn("error", F.when(F.col("n") == 0, F.lit("no prompts")))
+            .where(F.col("error").isNull()))
