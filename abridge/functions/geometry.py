@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 
 def euclid3(ax, ay, az, bx, by, bz) -> Column:
-    return F.sqrt((ax - bx) ** 2 + (ay - by) ** 2 + (az - bz) ** 2)
+    dx, dy, dz = ax - bx, ay - by, az - bz
+    return F.sqrt(dx * dx + dy * dy + dz * dz)
 
 
 def euclid_n(a, b) -> Column:
     """n-dimensional Euclidean distance of two numeric arrays (computed in double)."""
-    diff = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) ** 2)
+    diff = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
     return F.sqrt(F.aggregate(diff, F.lit(0.0), lambda acc, v: acc + v))
 
 
@@ -30,7 +31,8 @@ def cylinder_geodesic(radius, ax, ay, az, bx, by, bz) -> Column:
     """sqrt((r * wrapped dtheta)^2 + dz^2) with dtheta wrapped into [-pi, pi]."""
     d = F.atan2(by, bx) - F.atan2(ay, ax)
     d = (F.when(d > math.pi, d - 2 * math.pi).when(d < -math.pi, d + 2 * math.pi).otherwise(d))
-    return F.sqrt((radius * F.abs(d)) ** 2 + F.abs(bz - az) ** 2)
+    arc, dz = radius * F.abs(d), F.abs(bz - az)
+    return F.sqrt(arc * arc + dz * dz)
 
 
 def torus_geodesic_approx(major, minor, ax, ay, az, bx, by, bz) -> Column:

@@ -2,5 +2,5 @@
 
 
 def load_all() -> None:
-    from abridge.plans import (adapt_queries, eval_queries, prep_queries, request_queries,  # noqa: F401
-                               sweep_queries, text_queries)
+    from abridge.plans import (adapt_queries, eval_queries, geo_queries, prep_queries,  # noqa: F401
+                               request_queries, sweep_queries, text_queries)
