@@ -126,3 +126,15 @@ FROM events GROUP BY event_type
 def q_timing_stats(spark, sf):
     t = timing_stats(read_table(spark, sf, "events"), "event_type", "value")
     return t.select("event_type", "n", r6(F.col("mean")).alias("mean"), r6(F.col("std")).alias("std"))
+
+
+@query("stream_style_stats", sql="""
+SELECT event_type, round(sum(value), 6) AS perf_sum, count(*)::BIGINT AS n, round(avg(value), 6) AS avg_perf
+FROM events GROUP BY event_type
+""", operators=("stream_style_stats",))
+def q_stream_style_stats(spark, sf):
+    """Running per-key statistics through Structured Streaming (events as the score stream)."""
+    from abridge.streaming.style_stats import run_stream_style_stats
+    out = run_stream_style_stats(spark, sf)
+    return out.select("event_type", r6(F.col("perf_sum")).alias("perf_sum"), "n",
+                      r6(F.col("avg_perf")).alias("avg_perf"))
