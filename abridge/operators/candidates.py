@@ -60,9 +60,13 @@ def add_targets(df: DataFrame, min_one=True) -> DataFrame:
 
 
 def candidates(samples: DataFrame, ratios, methods, seed: int = 42,
-               floor0_methods=("selective-context",)) -> DataFrame:
-    """Rule candidates for the whole grid: one row per (task, sample_id, ratio, style)."""
+               floor0_methods=("selective-context",), corpus: DataFrame | None = None) -> DataFrame:
+    """Rule candidates for the whole grid: one row per (task, sample_id, ratio, style).
+
+    ``corpus``: samples whose document frequencies drive the extractive rule
+    (default: ``samples`` themselves).
+    """
     g = grid_cross(samples, ratios, methods)
     g = add_targets(g, ~F.col("style").isin(list(floor0_methods)) if floor0_methods else True)
-    ext = extractive_selection(g, samples) if "extractive" in {rule_of(m) for m in methods} else None
+    ext = extractive_selection(g, samples, corpus) if "extractive" in {rule_of(m) for m in methods} else None
     return apply_rules(g, seed=seed, extractive=ext)

@@ -130,7 +130,7 @@ def apply_rules(df: DataFrame, seed: int = 42, extractive: DataFrame | None = No
     return df.withColumn("compressed", comp).drop("extractive_text")
 
 
-def sentence_scores(samples: DataFrame) -> DataFrame:
+def sentence_scores(samples: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
     """Per sample: sentences with their idf score, as one sorted array.
 
     score = -mean(ln df(token)) over the sentence's ROUGE tokens, which ranks
@@ -141,7 +141,8 @@ def sentence_scores(samples: DataFrame) -> DataFrame:
     partitions otherwise.
     """
     docs = samples.select("task", "sample_id", "prompt")
-    df_tok = (docs.select(F.explode(F.array_distinct(rouge_tokens("prompt"))).alias("token"))
+    corpus_docs = (corpus if corpus is not None else samples).select("task", "sample_id", "prompt")
+    df_tok = (corpus_docs.select(F.explode(F.array_distinct(rouge_tokens("prompt"))).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("df")))
     sents = docs.select("task", "sample_id",
                         F.posexplode(F.split(F.col("prompt"), SENT_SEP)).alias("pos", "sent"))
@@ -161,15 +162,16 @@ def sentence_scores(samples: DataFrame) -> DataFrame:
             .agg(F.sort_array(F.collect_list("s")).alias("ranked")))
 
 
-def extractive_selection(cands: DataFrame, samples: DataFrame) -> DataFrame:
+def extractive_selection(cands: DataFrame, samples: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
     """``comp_extractive``: best-ranked sentences while the budget lasts, original order.
 
+    Document frequencies come from ``corpus`` (default: ``samples``).
     Returns ``task, sample_id, ratio, extractive_text``.
     """
     keys = cands.where(F.col("rule") == "extractive").select(
         "task", "sample_id", "ratio", "target").distinct()
     ranked = sentence_scores(samples.join(keys.select("task", "sample_id").distinct(),
-                                          ["task", "sample_id"], "left_semi"))
+                                          ["task", "sample_id"], "left_semi"), corpus)
     j = keys.join(ranked, ["task", "sample_id"])
     acc0 = F.struct(F.lit(0).cast("bigint").alias("s"), F.lit(0).alias("k"), F.lit(True).alias("ok"))
     fit = F.aggregate(

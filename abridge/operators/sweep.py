@@ -12,9 +12,9 @@ from abridge.operators.scoring import score
 METRIC_COLS = ["rouge1", "rouge2", "rougeL", "bertscore", "em", "f1"]
 
 
-def scored_grid(samples: DataFrame, ratios, methods, seed: int = 42) -> DataFrame:
+def scored_grid(samples: DataFrame, ratios, methods, seed: int = 42, corpus: DataFrame | None = None) -> DataFrame:
     """Candidates for every (sample, ratio, method) with all task metrics."""
-    return score(candidates(samples, ratios, methods, seed=seed))
+    return score(candidates(samples, ratios, methods, seed=seed, corpus=corpus))
 
 
 def to_long(scored: DataFrame, keys=("ratio", "task", "style")) -> DataFrame:

@@ -30,7 +30,7 @@ def run_adaptation(spark, sf, task="qa", adapt_size=ADAPT_SIZE, ratios=RATIOS, c
     s = build_samples(spark, sf, (task,))
     roles = cut_lineage(adapt_infer_split(s, adapt_size))
     adapt_samples = roles.where("is_adapt").select(*SAMPLE_COLS)
-    cand = cut_lineage(scored_grid(adapt_samples, ratios, STYLE_NAMES + ["icl"])
+    cand = cut_lineage(scored_grid(adapt_samples, ratios, STYLE_NAMES + ["icl"], corpus=s)
                        .select("task", "sample_id", "ratio", "style", "prompt", "compressed",
                                F.round("primary_score", 12).alias("score")))
     demos, stats = adaptation(cand, roles, ratios, adapt_size=adapt_size, configs=configs)
@@ -44,7 +44,17 @@ def run_inference(spark, sf, task="qa", ratios=RATIOS, configs=FULL):
     return score(inf), demos, stats
 
 
-@query("adaptation", sql=None, operators=("adaptation", "sample_style", "running_style_state",
+_ADAPT_SQL = None
+
+
+def _adapt_sql(select: str) -> str:
+    from abridge.plans import sql as S
+    return f"WITH {S.adaptation_sql('qa', RATIOS, ADAPT_SIZE, FULL[0][1], FULL[0][2])}\n{select}"
+
+
+@query("adaptation", sql=_adapt_sql("""
+SELECT config, task, ratio, grp, iteration, sample_id, style_used, round(score, 6) AS score, round(ca, 6) AS ca
+FROM demos"""), operators=("adaptation", "sample_style", "running_style_state",
                                           "running_pool", "ca_min", "ca_mid", "best_candidate",
                                           "adapt_infer_split"))
 def q_adaptation(spark, sf):
@@ -62,7 +72,10 @@ def q_adaptation_summarization(spark, sf):
                         r6(F.col("score")).alias("score"), r6(F.col("ca")).alias("ca"))
 
 
-@query("style_stats", sql=None, operators=("style_stats", "style_weights"))
+@query("style_stats", sql=_adapt_sql("""
+SELECT config, task, ratio, grp, style, round(perf_sum, 6) AS perf_sum, n,
+       round(CASE WHEN n > 0 THEN perf_sum / n ELSE 0.0 END, 6) AS avg_perf
+FROM stats"""), operators=("style_stats", "style_weights"))
 def q_style_stats(spark, sf):
     _, _, _, stats = run_adaptation(spark, sf)
     return stats.select(*GKEY, "style", r6(F.col("perf_sum")).alias("perf_sum"), "n",
@@ -76,7 +89,10 @@ def q_style_analysis(spark, sf):
     return style_ranking(stats).select(*GKEY, "rank", "style", r6(F.col("avg_perf")).alias("avg_perf"), "n")
 
 
-@query("top_demos", sql=None, operators=("top_demos", "icl_demos", "task_settings"))
+@query("top_demos", sql=_adapt_sql("""
+SELECT config, task, ratio, grp, rank, iteration, sample_id, style_used, round(ca, 6) AS ca FROM (
+  SELECT *, row_number() OVER (PARTITION BY config, task, ratio, grp ORDER BY ca DESC, iteration) AS rank FROM demos)
+WHERE rank <= 2"""), operators=("top_demos", "icl_demos", "task_settings"))
 def q_top_demos(spark, sf):
     _, _, demos, _ = run_adaptation(spark, sf)
     return top_demos(demos).select(*GKEY, "rank", "iteration", "sample_id", "style_used",

@@ -340,3 +340,68 @@ def parse_reconstruction(r: str) -> str:
 def truncate(text: str, target_: str) -> str:
     tok = ws_tok(text)
     return f"(CASE WHEN len({tok}) <= {target_} THEN {text} ELSE array_to_string({tok}[1:{target_}], ' ') END)"
+
+
+def adaptation_sql(task: str, ratios, adapt_size: int = 10, n_style: int = 2, n_icl: int = 3,
+                   warmup: float = 0.5, seed: int = 42, config: str = "full") -> str:
+    """Unrolled SQL restatement of the adaptation rounds (CTE ``demos`` and final ``stats``)."""
+    from abridge.operators.catalog import STYLE_NAMES, TASK_SETTINGS
+    g = "config, task, ratio, grp"
+    kind = TASK_SETTINGS[task][1]
+    styles = ", ".join(f"({i}, '{s}')" for i, s in enumerate(STYLE_NAMES))
+    ratio_rows = ", ".join(f"(CAST({r} AS DOUBLE))" for r in ratios)
+    parts = [scored_cte((task,), STYLE_NAMES + ["icl"], ratios, seed), f""",
+sc2 AS (SELECT task, sample_id, ratio, style, round(primary_score, 12) AS score FROM sc),
+roles AS (SELECT task, grp, sample_id, row_number() OVER (PARTITION BY task, grp ORDER BY sample_id) - 1 AS pos
+          FROM samples WHERE task = '{task}'),
+adapt AS (SELECT '{config}' AS config, r.task, rr.ratio, r.grp, r.sample_id, r.pos
+          FROM roles r CROSS JOIN (VALUES {ratio_rows}) AS rr(ratio) WHERE r.pos < {adapt_size}),
+sty AS (SELECT * FROM (VALUES {styles}) AS t(style_idx, style)),
+st0 AS (SELECT DISTINCT {g}, style_idx, style, 0.0::DOUBLE AS perf_sum, 0::BIGINT AS n
+        FROM adapt CROSS JOIN sty),"""]
+    demos = []
+    for i in range(adapt_size):
+        uniform = i < warmup * adapt_size
+        u = (f"(('0x' || substr(md5('{seed}|' || c.task || '|' || CAST(CAST(round(c.ratio * 1000) AS BIGINT) AS VARCHAR)"
+             f" || '|' || c.grp || '|{i}|' || CAST(s.slot AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0)")
+        uni = f"least(CAST(floor(u * {len(STYLE_NAMES)}) AS BIGINT), {len(STYLE_NAMES) - 1})"
+        parts.append(f"""
+cur{i} AS (SELECT {g}, sample_id FROM adapt WHERE pos = {i}),
+dr{i} AS (SELECT c.*, s.slot, {u} AS u FROM cur{i} c CROSS JOIN (SELECT unnest(range(0, {n_style})) AS slot) s),
+w{i} AS (SELECT *, CASE WHEN n > 0 THEN greatest(perf_sum / n, 0.1) ELSE 0.1 END AS w FROM st{i}),
+cw{i} AS (SELECT {g}, style_idx,
+            round(sum(w) OVER (PARTITION BY {g} ORDER BY style_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                  / sum(w) OVER (PARTITION BY {g}), 12) AS cum,
+            sum(n) OVER (PARTITION BY {g}) AS total_n FROM w{i}),""")
+        if uniform:
+            parts.append(f"""
+pk{i} AS (SELECT {g}, sample_id, slot, {uni} AS style_idx FROM dr{i}),""")
+        else:
+            parts.append(f"""
+pk{i} AS (SELECT d.config, d.task, d.ratio, d.grp, d.sample_id, d.slot,
+            CASE WHEN max(cw.total_n) = 0 THEN {uni.replace('u *', 'd.u *')}
+                 ELSE least(sum(CASE WHEN cw.cum <= d.u THEN 1 ELSE 0 END), {len(STYLE_NAMES) - 1}) END AS style_idx
+          FROM dr{i} d JOIN cw{i} cw USING ({g}) GROUP BY d.config, d.task, d.ratio, d.grp, d.sample_id, d.slot, d.u),""")
+        icl = ""
+        if i > 0 and n_icl > 0:
+            icl = (f" UNION ALL SELECT {g}, sample_id, slot, 'icl' AS style FROM cur{i} "
+                   f"CROSS JOIN (SELECT unnest(range({n_style}, {n_style + n_icl})) AS slot)")
+        ca = ("CASE WHEN count(*) <= 1 THEN 0.0 ELSE max(score) - " +
+              ("median(score)" if kind == "mid" else "min(score)") + " END")
+        parts.append(f"""
+tr{i} AS (SELECT t.*, sc2.score FROM (
+            SELECT {g}, sample_id, slot, sty.style FROM pk{i} JOIN sty USING (style_idx){icl}) t
+          JOIN sc2 USING (task, sample_id, ratio, style)),
+ca{i} AS (SELECT {g}, {ca} AS ca FROM tr{i} GROUP BY {g}),
+d{i} AS (SELECT b.config, b.task, b.ratio, b.grp, {i} AS iteration, b.sample_id, b.style AS style_used, b.score, ca{i}.ca
+         FROM (SELECT *, row_number() OVER (PARTITION BY {g} ORDER BY score DESC, slot) AS rn FROM tr{i}) b
+         JOIN ca{i} USING ({g}) WHERE b.rn = 1),
+st{i + 1} AS (SELECT s.config, s.task, s.ratio, s.grp, s.style_idx, s.style,
+               s.perf_sum + coalesce(d.score, 0.0) AS perf_sum,
+               s.n + CASE WHEN d.score IS NOT NULL THEN 1 ELSE 0 END AS n
+             FROM st{i} s LEFT JOIN (SELECT * FROM d{i} WHERE style_used <> 'icl') d
+             ON d.config = s.config AND d.task = s.task AND d.ratio = s.ratio AND d.grp = s.grp
+                AND d.style_used = s.style),""")
+        demos.append(f"SELECT * FROM d{i}")
+    parts.append("\ndemos AS (" + " UNION ALL ".join(demos) + f"),\nstats AS (SELECT * FROM st{adapt_size})")
+    return "".join(parts)
