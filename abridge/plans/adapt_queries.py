@@ -82,11 +82,21 @@ def q_style_stats(spark, sf):
                         r6(F.col("avg_perf")).alias("avg_perf"))
 
 
-@query("style_analysis", sql=None, operators=("style_analysis", "rank_styles"))
+def _analysis_sql() -> str:
+    from abridge.plans import sql as S
+    return f"""WITH {S.adaptation_sql('qa', [0.25], ADAPT_SIZE, FULL[0][1], FULL[0][2])}
+SELECT config, task, ratio, grp, rank, style, round(avg_perf, 6) AS avg_perf, n FROM (
+  SELECT *, row_number() OVER (PARTITION BY config, task, ratio, grp ORDER BY avg_perf DESC, style) AS rank
+  FROM (SELECT *, CASE WHEN n > 0 THEN perf_sum / n ELSE 0.0 END AS avg_perf FROM stats))
+WHERE rank <= 10"""
+
+
+@query("style_analysis", sql=_analysis_sql(), operators=("style_analysis", "rank_styles"))
 def q_style_analysis(spark, sf):
     """Styles ranked by mean winning score per group (first 10)."""
     _, _, _, stats = run_adaptation(spark, sf, ratios=[0.25])
-    return style_ranking(stats).select(*GKEY, "rank", "style", r6(F.col("avg_perf")).alias("avg_perf"), "n")
+    return style_ranking(stats).select(*GKEY, F.col("rank").cast("bigint").alias("rank"), "style",
+                                       r6(F.col("avg_perf")).alias("avg_perf"), "n")
 
 
 @query("top_demos", sql=_adapt_sql("""
@@ -95,7 +105,7 @@ SELECT config, task, ratio, grp, rank, iteration, sample_id, style_used, round(c
 WHERE rank <= 2"""), operators=("top_demos", "icl_demos", "task_settings"))
 def q_top_demos(spark, sf):
     _, _, demos, _ = run_adaptation(spark, sf)
-    return top_demos(demos).select(*GKEY, "rank", "iteration", "sample_id", "style_used",
+    return top_demos(demos).select(*GKEY, F.col("rank").cast("bigint").alias("rank"), "iteration", "sample_id", "style_used",
                                    r6(F.col("ca")).alias("ca"))
 
 
