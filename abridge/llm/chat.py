@@ -37,7 +37,7 @@ def chat_examples(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "
     """
     t = turns.select(F.col(conv_col).alias("conv_id"), F.struct(
         F.col(turn_col).alias("turn"), text_of(role_col).alias("role"), text_of(text_col).alias("text")).alias("t"))
-    conv = t.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    conv = t.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     head = lambda x: F.concat(F.lit(OPEN), escape(x["role"]), F.lit(MID))
     conv = conv.withColumn("parts", F.transform("turns", lambda x: F.struct(
         F.concat(head(x), escape(x["text"]), F.lit(CLOSE)).alias("text"),
@@ -82,7 +82,7 @@ def read_back(examples: DataFrame) -> DataFrame:
     e = e.withColumns({"n_turns": F.size("turns").cast("long"), "turns_sha256": F.sha2(line.cast("binary"), 256)})
     g = e.groupBy("conv_id").agg(
         F.max(F.struct("example", "n_turns", "turns_sha256")).alias("last"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("example", "loss"))),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("example", "loss"))),
                                  lambda x: x["loss"]), "").alias("loss"),
         F.sum("n").alias("formatted_chars"))
     return g.select("conv_id", "last.n_turns", "last.turns_sha256", F.length("loss").cast("long").alias("loss_chars"),

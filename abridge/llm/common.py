@@ -18,11 +18,6 @@ def text_of(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
-def words_of(col: str | Column) -> Column:
-    """Array of the words of a text; empty for null."""
-    return F.regexp_extract_all(text_of(col), F.lit(WORD), F.lit(0))
-
-
 def lower_ascii(col: str | Column) -> Column:
     """Lower-case A-Z only; every other character stays."""
     return F.translate(text_of(col), UPPER, UPPER.lower())

@@ -186,6 +186,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
 def sequences(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The packed sequences themselves: (sequence_id, ids, length); at most ``capacity`` ids each."""
-    g = placed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("p"))
+    g = placed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("p"))
     ids = F.flatten(F.transform("p", lambda x: x["ids"]))
     return g.select("sequence_id", ids.alias("ids"), F.size(ids).alias("length"))

@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from abridge.llm.common import text_of, words_of
+from abridge.llm.common import text_of
 
 SYMBOLS = "#*$%&|<>"
+SPACE = r"[\x20\x09-\x0D]"  # what words do not hold
 
 # Frequent function words of the corpus languages (fixed values).
 STOP_WORDS = (
@@ -19,6 +20,7 @@ STOP_WORDS = (
     "der die das und ist von zu den mit sich nicht ein eine auf im dem "
     "el los las y de que en una por con para no se su es lo del al"
 ).split()
+STOP_FORMS = sorted({form for x in STOP_WORDS for form in (x, x.capitalize())})
 
 
 @dataclass(frozen=True)
@@ -42,7 +44,7 @@ RULES = (
     Rule("mean_word_length", "mean_word_length", least=2.0, most=20.0),
     Rule("stop_word_ratio", "stop_word_ratio", least=0.01, min_words=50),
     Rule("duplicate_lines", "dup_line_ratio", most=0.30),
-    Rule("capital_ratio", "capital_ratio", most=0.5),
+    Rule("exclaim_ratio", "exclaim_ratio", most=0.5),
 )
 
 
@@ -56,7 +58,7 @@ def _metrics() -> dict[str, Column]:
         "mean_word_length": F.col("word_chars") / n,
         "stop_word_ratio": F.col("n_stop_words") / n,
         "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-        "capital_ratio": F.col("n_capitals") / F.greatest(F.col("word_chars"), F.lit(1)),
+        "exclaim_ratio": F.col("n_exclaims") / n,
     }
 
 
@@ -72,17 +74,32 @@ def failed(rules: tuple[Rule, ...]) -> Column:
     return reduce(Column.__or__, tests)
 
 
+def _with_window_hashes(df: DataFrame, w: int) -> DataFrame:
+    """Add ``_h``, the hashes of all ``w``-word windows, from ``_ids``, the words' hashes.
+
+    Hashes of m words and of the m words after them make those of 2m words, so a few passes suffice. Each
+    step is a projection of its own because a lambda would evaluate an inlined array for every element.
+    """
+    pair = lambda a, b, shift: F.zip_with(
+        a, F.slice(b, F.lit(shift + 1), F.greatest(F.size(b), F.lit(1))), lambda x, y: F.xxhash64(x, y))
+    m, df = 1, df.withColumn("_h", F.col("_ids"))
+    for digit in bin(w)[3:]:
+        df, m = df.withColumn("_h", pair(F.col("_h"), F.col("_h"), m)), 2 * m
+        if digit == "1":
+            df, m = df.withColumn("_h", pair(F.col("_h"), F.col("_ids"), m)), m + 1
+    n = F.size("_ids")
+    return df.withColumn("_h", F.when(n > w, F.slice("_h", F.lit(1), n - (w - 1))).otherwise(F.array().cast("array<long>")))
+
+
 def _repeat_words(w: int) -> Column:
     """Words covered by ``w``-word windows that occur twice or more.
 
-    ``_sorted`` holds (hash, hash, start) of each window in hash order, so equal windows are
-    neighbours; starts of windows with an equal neighbour are put in order and their spans united.
+    ``_sorted`` holds (hash, start) of each window in hash order, so equal windows are neighbours; starts of windows with
+    an equal neighbour are put in order and their spans united.
     """
-    s, k = F.col("_sorted"), F.lit(1)
-    same = lambda a, b: (a["a"] == b["a"]) & (a["b"] == b["b"])
-    starts = F.array_sort(F.transform(
-        F.filter(s, lambda x, i: F.coalesce(same(x, F.get(s, i - k)), F.lit(False))
-                 | F.coalesce(same(x, F.get(s, i + k)), F.lit(False))), lambda x: x["i"]))
+    s = F.col("_sorted")
+    same = lambda x, i: F.coalesce(x["h"] == F.get(s, i)["h"], F.lit(False))
+    starts = F.sort_array(F.transform(F.filter(s, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["i"]))
     zero = F.struct(F.lit(0).alias("n"), F.lit(-w).alias("last"))
     return F.aggregate(starts, zero, lambda acc, p: F.struct(
         (acc["n"] + F.least(F.lit(w), p - acc["last"])).alias("n"), p.alias("last")), lambda acc: acc["n"])
@@ -95,33 +112,34 @@ def quality_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ..
     Null or empty text: all counts 0, ``base_failed`` true (too short), ``kept`` false.
     Rows are judged one by one, so repeated rows get equal verdicts; an empty table gives an
     empty table. Input columns named like an output column are replaced by it.
-    ``window`` words make a repeated window; windows are compared by two independent hashes
-    (96 bits) within one document.
+    ``window`` words make a repeated window; windows are compared by 64-bit hashes within
+    one document.
     """
-    clash = ["word_chars", "n_words", "n_symbols", "n_dup_lines", "n_lines", "n_stop_words", "n_capitals",
+    clash = ["word_chars", "n_words", "n_symbols", "n_dup_lines", "n_lines", "n_stop_words", "n_exclaims",
              "n_repeat_words", "base_failed", "kept"]
     out = docs.drop(*[c for c in clash if c != text_col])
     text = text_of(text_col)
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     size = lambda c: F.size(c).cast("long")
-    out = out.withColumns({"_words": words_of(text_col), "_lines": lines})
+    without = lambda chars: reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), chars, text)
+    out = out.withColumns({"_words": F.array_remove(F.split(text, SPACE, -1), ""), "_lines": lines})
     words = F.col("_words")
-    at = lambda i, j: F.get(words, i + F.lit(j))
-    starts = F.when(F.size(words) > window, F.sequence(F.lit(0), F.size(words) - window)) \
-        .otherwise(F.array().cast("array<int>"))
-    windows = F.transform(starts, lambda i: F.struct(
-        F.xxhash64(*[at(i, j) for j in range(window)]).alias("a"),
-        F.hash(*[at(i, j) for j in range(window)]).alias("b"), i.alias("i")))
     out = out.withColumns({
         "n_words": size(words),
         "word_chars": F.length(F.array_join(words, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-        "n_lines": size(F.col("_lines")),
-        "n_dup_lines": size(F.col("_lines")) - size(F.array_distinct(F.col("_lines"))),
-        "n_stop_words": size(F.filter(words, lambda x: F.lower(x).isin(STOP_WORDS))),
-        "n_capitals": (F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long"),
-        "_sorted": F.array_sort(windows),
+        "n_symbols": (F.length(text) - F.length(without(SYMBOLS))).cast("long"),
+        "n_lines": size("_lines"),
+        "n_dup_lines": size("_lines") - size(F.array_distinct("_lines")),
+        "n_stop_words": size(F.filter(words, lambda x: x.isin(STOP_FORMS))),
+        "n_exclaims": (F.length(text) - F.length(without("!"))).cast("long"),
+        "_ids": F.transform(words, lambda x: F.xxhash64(x)),
     })
+    out = _with_window_hashes(out, window)
+    # Most texts repeat no window; only the others are sorted.
+    repeats = F.size(F.array_distinct("_h")) < F.size("_h")
+    out = out.withColumn("_sorted", F.when(repeats, F.sort_array(F.transform("_h", lambda x, i: F.struct(
+        x.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
     out = out.withColumn("n_repeat_words", _repeat_words(window).cast("long"))
     out = out.withColumn("base_failed", failed(base_rules))
-    return out.withColumn("kept", ~F.col("base_failed") & ~failed(rules)).drop("_words", "_lines", "_sorted")
+    return out.withColumn("kept", ~F.col("base_failed") & ~failed(rules)).drop(
+        "_words", "_lines", "_ids", "_h", "_sorted")

@@ -117,7 +117,7 @@ def _rule_sql(rules) -> str:
         "mean_word_length": "(word_chars / greatest(n_words, 1)::DOUBLE)",
         "stop_word_ratio": "(n_stop_words / greatest(n_words, 1)::DOUBLE)",
         "dup_line_ratio": "(n_dup_lines / greatest(n_lines, 1)::DOUBLE)",
-        "capital_ratio": "(n_capitals / greatest(word_chars, 1)::DOUBLE)",
+        "exclaim_ratio": "(n_exclaims / greatest(n_words, 1)::DOUBLE)",
     }
     tests = []
     for r in rules:
@@ -137,8 +137,8 @@ cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(
 m AS (SELECT d.doc_id, len(w) AS n_words, coalesce(length(array_to_string(w, '')), 0) AS word_chars,
              length(text) - length(translate(text, '{quality_rules.SYMBOLS}', '')) AS n_symbols,
              len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
-             len(list_filter(w, lambda x: lower(x) IN ({', '.join(repr(x) for x in dict.fromkeys(quality_rules.STOP_WORDS))}))) AS n_stop_words,
-             length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_capitals,
+             len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in quality_rules.STOP_FORMS)}))) AS n_stop_words,
+             length(text) - length(replace(text, '!', '')) AS n_exclaims,
              coalesce(cov.n, 0) AS n_repeat_words
       FROM d LEFT JOIN cov ON d.doc_id = cov.doc_id),
 b AS (SELECT *, ({_rule_sql(quality_rules.BASE_RULES)}) AS base_failed, ({_rule_sql(quality_rules.RULES)}) AS more FROM m)
