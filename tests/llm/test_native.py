@@ -61,13 +61,13 @@ def test_exact_dedup_spreads_a_hot_text(spark):
     from abridge.llm.exact_dedup import exact_dedup
     d = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "Hot TEXT").otherwise(
         F.concat(F.lit("t"), (F.col("id") / 2).cast("int").cast("string"))).alias("text"))
-    assert hot_keys(d.withColumn("_hash", F.xxhash64("text")), "_hash", "doc_id").count() == 1
+    hot, = hot_keys(d.withColumn("_hash", F.xxhash64("text")), "_hash", "doc_id").collect()
+    assert hot["n_parts"] > 8  # several ranges of several partitions
     got = exact_dedup(d, keep="min")
     hot = got.where("text = 'Hot TEXT'").agg(F.min("keep_id"), F.max("keep_id"), F.min("group_size"), F.max("group_size"),
                                              F.sum(F.col("kept").cast("int"))).first()
     assert tuple(hot) == (0, 0, 6667, 6667, 1)
-    sizes = got.select(F.spark_partition_id().alias("p"), "text").where("text = 'Hot TEXT'").select("p").distinct().count()
-    assert sizes > 1 and got.count() == 20_000
+    assert got.count() == 20_000
 
 
 TURNS = [
