@@ -2,10 +2,13 @@
 
 A group is ``(task, ratio, grp)``. Adaptation visits the first ``M`` prompts
 of every group in ``sample_id`` order; in round ``i`` all groups advance
-together: style draws from the group's running style statistics, scores
-looked up in the precomputed candidate ``scores``, best candidate and its
-comparative advantage appended to the demonstration pool, statistics
-updated unless the few-shot ("icl") try won. The state per group is 13
+together: style draws from the group's running style statistics and, once the
+group's demonstration pool is not empty, few-shot ("icl") tries that see the
+pool's best ``ICL_DEMOS``. Scores are looked up in the precomputed candidate ``scores``; the
+best candidate and its comparative advantage join the pool, and statistics
+are updated unless a few-shot try won. The stand-in model answers the j-th few-shot try in the
+style of the j-th best demonstration (the last one there is, if the pool is smaller), so the pool
+decides the text: ``text_style`` is the style a demonstration's text was made in. The state per group is 13
 (sum, count) rows plus at most ``M`` demonstrations; each round's state is
 checkpointed to the shared checkpoint folder.
 
@@ -15,8 +18,6 @@ Draws are deterministic: ``u`` = first 8 hex digits of
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,7 @@ from abridge.session import cut_lineage
 
 GKEY = ["config", "task", "ratio", "grp"]
 N_STYLES = len(STYLE_NAMES)
+ICL_DEMOS = 3  # demonstrations that a few-shot try sees
 
 
 def ratio_key(c="ratio"):
@@ -85,8 +87,8 @@ def comparative_advantage(scores: DataFrame, keys, kind_col: str = "ca_kind") ->
 def best_candidate(scores: DataFrame, keys) -> DataFrame:
     """``best_candidate``: the first slot holding the maximum score."""
     return scores.groupBy(*keys).agg(
-        F.min_by(F.struct("slot", "style", "score"), F.struct((-F.col("score")).alias("s"), F.col("slot")))
-        .alias("best")).select(*keys, "best.slot", "best.style", "best.score")
+        F.min_by(F.struct("slot", "style", "text_style", "score"), F.struct((-F.col("score")).alias("s"), F.col("slot")))
+        .alias("best")).select(*keys, "best.slot", "best.style", "best.text_style", "best.score")
 
 
 # --------------------------------------------------------------------------- style statistics
@@ -122,8 +124,7 @@ def adaptation(scores: DataFrame, roles: DataFrame, ratios, adapt_size: int = 10
                configs=None):
     """``adaptation``: run ``adapt_size`` rounds for all groups at once.
 
-    ``scores``: ``task, sample_id, ratio, style, score`` for every style and
-    ``icl``; ``roles``: output of :func:`adapt_infer_split` (with ``grp``).
+    ``scores``: ``task, sample_id, ratio, style, score`` for every style; ``roles``: output of :func:`adapt_infer_split` (with ``grp``).
     ``configs``: ``[(config, n_style, n_icl)]``, run side by side as a group
     column (default: one ``full`` config with ``N//2`` style draws and the
     rest few-shot tries). Returns ``(demonstrations, style_stats)``.
@@ -153,18 +154,15 @@ def adaptation(scores: DataFrame, roles: DataFrame, ratios, adapt_size: int = 10
                                                  F.lit(i), F.col("slot")))
         uniform = i < warmup_ratio * adapt_size
         drawn = sample_style(slots, style_weights(stats), uniform)
-        drawn = drawn.select(*GKEY, "sample_id", "slot", style_name().alias("style"))
-        tries = drawn
-        if i > 0:
-            icl = (cur.where(F.col("n_icl") > 0)
-                   .withColumn("slot", F.explode(F.sequence(F.col("n_style"), F.col("n_style") + F.col("n_icl") - 1)))
-                   .withColumn("style", F.lit("icl")).drop("n_style", "n_icl"))
-            tries = tries.unionByName(icl)
-        tries = tries.join(sc, ["task", "sample_id", "ratio", "style"]).withColumn("ca_kind", kinds[F.col("task")])
+        tries = drawn.select(*GKEY, "sample_id", "slot", style_name().alias("style"), style_name().alias("text_style"))
+        if demos is not None:
+            tries = tries.unionByName(icl_tries(cur, demos))
+        tries = tries.join(sc.withColumnRenamed("style", "text_style"), ["task", "sample_id", "ratio", "text_style"])
+        tries = tries.withColumn("ca_kind", kinds[F.col("task")])
         ca = comparative_advantage(tries, GKEY).select(*GKEY, "ca")
         best = best_candidate(tries, [*GKEY, "sample_id"])
         demo = best.join(ca, GKEY).select(*GKEY, F.lit(i).alias("iteration"), "sample_id",
-                                          F.col("style").alias("style_used"), "score", "ca")
+                                          F.col("style").alias("style_used"), "text_style", "score", "ca")
         win = demo.where(F.col("style_used") != "icl").select(*GKEY, F.col("style_used").alias("style"),
                                                                F.col("score").alias("win"))
         stats = (stats.join(win, [*GKEY, "style"], "left")
@@ -180,6 +178,25 @@ def adaptation(scores: DataFrame, roles: DataFrame, ratios, adapt_size: int = 10
     return demos, stats
 
 
+def running_pool(demos: DataFrame, size: int = ICL_DEMOS) -> DataFrame:
+    """``running_pool``: the pool's best ``size`` demonstrations by (ca desc, iteration), ranked from 1.
+
+    A pool has at most one demonstration a round, so a group is small whatever the corpus.
+    """
+    w = Window.partitionBy(*GKEY)
+    return (demos.withColumn("rank", F.row_number().over(w.orderBy(F.col("ca").desc(), F.col("iteration"))))
+            .withColumn("n_pool", F.least(F.count(F.lit(1)).over(w), F.lit(size))).where(F.col("rank") <= size))
+
+
+def icl_tries(cur: DataFrame, demos: DataFrame) -> DataFrame:
+    """``icl_demos``: the few-shot tries of a round; none for a group with an empty pool."""
+    tries = (cur.where(F.col("n_icl") > 0)
+             .withColumn("slot", F.explode(F.sequence(F.col("n_style"), F.col("n_style") + F.col("n_icl") - 1))))
+    pool = running_pool(demos).select(*GKEY, "rank", "n_pool", "text_style")
+    tries = tries.join(pool, GKEY).where(F.col("rank") == F.least(F.col("slot") - F.col("n_style") + 1, F.col("n_pool")))
+    return tries.select(*GKEY, "sample_id", "slot", F.lit("icl").alias("style"), "text_style")
+
+
 def top_demos(demos: DataFrame, s_col="S") -> DataFrame:
     """``top_demos``: the S best demonstrations per group by (ca desc, iteration asc)."""
     s_map = F.create_map(*[x for t, (s, _) in TASK_SETTINGS.items() for x in (F.lit(t), F.lit(s))])
@@ -194,37 +211,37 @@ def style_ranking(stats: DataFrame, top: int = 10) -> DataFrame:
     return stats.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
-def union_all(dfs):
-    return reduce(DataFrame.unionByName, dfs)
-
-
 def demo_arrays(demos: DataFrame, texts: DataFrame) -> DataFrame:
     """Top-S demonstrations of each group as ``array<struct<rank, original, compressed>>``.
 
     ``texts``: ``task, sample_id, ratio, style, prompt, compressed`` of the
     adapted candidates. The array holds at most S (<= 3) entries per group.
     """
-    td = top_demos(demos).join(texts.withColumnRenamed("style", "style_used"),
-                               ["task", "sample_id", "ratio", "style_used"])
+    td = top_demos(demos).join(texts.withColumnRenamed("style", "text_style"),
+                               ["task", "sample_id", "ratio", "text_style"])
     return td.groupBy(*GKEY).agg(F.sort_array(F.collect_list(
-        F.struct("rank", F.col("prompt").alias("original"), "compressed"))).alias("demos"))
+        F.struct("rank", F.col("prompt").alias("original"), "compressed", "text_style"))).alias("demos"))
 
 
-def inference(infer_samples: DataFrame, demo_arr: DataFrame, ratios, configs, completions_fn=None):
+def inference(infer_samples: DataFrame, demo_arr: DataFrame, ratios, configs, corpus: DataFrame | None = None,
+              completions_fn=None):
     """``inference``: few-shot request with the group's top-S demos, style ``for_<task>``.
 
-    Returns candidate rows (``compressed``, ``source``, ``request_id``) ready
-    for scoring; groups without demonstrations are dropped (the reference
-    raises for an empty pool).
+    Returns candidate rows (``compressed``, ``source``, ``request_id``) ready for scoring, one for each prompt, ratio
+    and config. Groups without demonstrations have no request and fall back to the prefix, like a failed call.
+    The stand-in model answers in the style of the best demonstration shown.
     """
-    from abridge.operators.candidates import add_targets, with_tokens
+    from abridge.operators.candidates import add_targets, rule_of, with_tokens
+    from abridge.operators.compress import apply_rules, extractive_selection
     from abridge.operators.requests import join_completions, standin_completions, with_request
     cfg = F.array(*[F.lit(c) for c, _, _ in configs])
+    rules = F.create_map(*[F.lit(x) for s in STYLE_NAMES for x in (s, rule_of(s))])
     df = (with_tokens(infer_samples)
           .withColumn("ratio", F.explode(F.array(*[F.lit(float(r)) for r in ratios])))
-          .withColumn("config", F.explode(cfg))
-          .withColumn("style", F.concat(F.lit("for_"), F.col("task"))))
-    df = add_targets(df).join(demo_arr, GKEY)
-    req = with_request(df, "style", demos_col="demos").withColumn("compressed", F.lit(None).cast("string"))
-    comps = completions_fn(req) if completions_fn else standin_completions(req)
-    return join_completions(req, comps)
+          .withColumn("config", F.explode(cfg)).join(demo_arr, GKEY, "left"))
+    df = df.withColumn("answer_style", F.coalesce(F.get(F.col("demos"), F.lit(0))["text_style"], F.lit("loc-begin")))
+    df = add_targets(df.withColumn("rule", rules[F.col("answer_style")]))
+    df = apply_rules(df, extractive=extractive_selection(df, infer_samples, corpus))
+    df = with_request(df.withColumn("style", F.concat(F.lit("for_"), F.col("task"))), "style", demos_col="demos")
+    asked = df.where(F.col("demos").isNotNull()).select("request_id", F.col("answer_style").alias("style"), "compressed")
+    return join_completions(df, completions_fn(asked) if completions_fn else standin_completions(asked))

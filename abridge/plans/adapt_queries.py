@@ -26,48 +26,70 @@ def r6(c):
     return F.round(c, 6)
 
 
+def labelled(samples):
+    """Only prompts that can be scored take part (Q5)."""
+    return samples.where(F.coalesce("reference", "answer",
+                                    F.when(F.col("task") == "reconstruction", F.col("prompt"))).isNotNull())
+
+
 def run_adaptation(spark, sf, task="qa", adapt_size=ADAPT_SIZE, ratios=RATIOS, configs=FULL):
+    """(infer samples, adapt candidates, demonstrations, style statistics, all samples)."""
     s = build_samples(spark, sf, (task,))
-    roles = cut_lineage(adapt_infer_split(s, adapt_size))
-    adapt_samples = roles.where("is_adapt").select(*SAMPLE_COLS)
-    cand = cut_lineage(scored_grid(adapt_samples, ratios, STYLE_NAMES + ["icl"], corpus=s)
+    roles = cut_lineage(adapt_infer_split(labelled(s).select("task", "grp", "sample_id"), adapt_size))
+    keys = ["task", "grp", "sample_id"]
+    adapt_samples = cut_lineage(s.join(roles.where("is_adapt").select(*keys), keys, "left_semi").select(*SAMPLE_COLS))
+    infer_samples = s.join(roles.where("is_infer").select(*keys), keys, "left_semi").select(*SAMPLE_COLS)
+    cand = cut_lineage(scored_grid(adapt_samples, ratios, STYLE_NAMES, corpus=s)
                        .select("task", "sample_id", "ratio", "style", "prompt", "compressed",
                                F.round("primary_score", 12).alias("score")))
     demos, stats = adaptation(cand, roles, ratios, adapt_size=adapt_size, configs=configs)
-    return roles, cand, demos, stats
+    return infer_samples, cand, demos, stats, s
 
 
 def run_inference(spark, sf, task="qa", ratios=RATIOS, configs=FULL):
-    roles, cand, demos, stats = run_adaptation(spark, sf, task, ratios=ratios, configs=configs)
+    infer_samples, cand, demos, _, s = run_adaptation(spark, sf, task, ratios=ratios, configs=configs)
     arr = demo_arrays(demos, cand.select("task", "sample_id", "ratio", "style", "prompt", "compressed"))
-    inf = inference(roles.where("is_infer").select(*SAMPLE_COLS), arr, ratios, configs)
-    return score(inf), demos, stats
+    return score(inference(infer_samples, arr, ratios, configs, corpus=s)), demos, infer_samples, s
 
 
-_ADAPT_SQL = None
+def _inference_sql(select: str, ratios=RATIOS, config=FULL[0], more_methods=()) -> str:
+    from abridge.plans import sql as S
+    return f"WITH {S.inference_sql('qa', ratios, ADAPT_SIZE, *config, more_methods=more_methods)}\n{select}"
 
 
-def _adapt_sql(select: str) -> str:
+def _adapt_sql(select: str, task: str = "qa", ratios=RATIOS) -> str:
     from abridge.plans import sql as S
-    return f"WITH {S.adaptation_sql('qa', RATIOS, ADAPT_SIZE, FULL[0][1], FULL[0][2])}\n{select}"
+    return f"WITH {S.adaptation_sql(task, ratios, ADAPT_SIZE, FULL[0][1], FULL[0][2])}\n{select}"
 
 
 @query("adaptation", sql=_adapt_sql("""
 SELECT config, task, ratio, grp, iteration, sample_id, style_used, round(score, 6) AS score, round(ca, 6) AS ca
 FROM demos"""), operators=("adaptation", "sample_style", "running_style_state",
-                                          "running_pool", "ca_min", "ca_mid", "best_candidate",
+                                          "running_pool", "icl_demos", "ca_min", "best_candidate",
                                           "adapt_infer_split"))
 def q_adaptation(spark, sf):
     """Demonstration pool of every (task, ratio, grp) group after M rounds (qa task, F1)."""
-    _, _, demos, _ = run_adaptation(spark, sf)
+    _, _, demos, _, _ = run_adaptation(spark, sf)
+    return demos.select(*GKEY, "iteration", "sample_id", "style_used",
+                        r6(F.col("score")).alias("score"), r6(F.col("ca")).alias("ca"))
+
+
+@query("adaptation_reasoning", sql=_adapt_sql("""
+SELECT config, task, ratio, grp, iteration, sample_id, style_used, round(score, 6) AS score, round(ca, 6) AS ca
+FROM demos""", "reasoning", [0.25]), operators=("adaptation", "ca_mid"))
+def q_adaptation_reasoning(spark, sf):
+    """Adaptation bound to reasoning (exact match; advantage over the median)."""
+    _, _, demos, _, _ = run_adaptation(spark, sf, "reasoning", ratios=[0.25])
     return demos.select(*GKEY, "iteration", "sample_id", "style_used",
                         r6(F.col("score")).alias("score"), r6(F.col("ca")).alias("ca"))
 
 
-@query("adaptation_summarization", sql=None, operators=("adaptation", "eval_summarization"))
+@query("adaptation_summarization", sql=_adapt_sql("""
+SELECT config, task, ratio, grp, iteration, sample_id, style_used, round(score, 6) AS score, round(ca, 6) AS ca
+FROM demos""", "summarization", [0.25]), operators=("adaptation", "eval_summarization"))
 def q_adaptation_summarization(spark, sf):
     """Adaptation bound to summarization (hashed reference line; primary = mean of 3 ROUGE)."""
-    _, _, demos, _ = run_adaptation(spark, sf, "summarization", ratios=[0.25])
+    _, _, demos, _, _ = run_adaptation(spark, sf, "summarization", ratios=[0.25])
     return demos.select(*GKEY, "iteration", "sample_id", "style_used",
                         r6(F.col("score")).alias("score"), r6(F.col("ca")).alias("ca"))
 
@@ -77,7 +99,7 @@ SELECT config, task, ratio, grp, style, round(perf_sum, 6) AS perf_sum, n,
        round(CASE WHEN n > 0 THEN perf_sum / n ELSE 0.0 END, 6) AS avg_perf
 FROM stats"""), operators=("style_stats", "style_weights"))
 def q_style_stats(spark, sf):
-    _, _, _, stats = run_adaptation(spark, sf)
+    _, _, _, stats, _ = run_adaptation(spark, sf)
     return stats.select(*GKEY, "style", r6(F.col("perf_sum")).alias("perf_sum"), "n",
                         r6(F.col("avg_perf")).alias("avg_perf"))
 
@@ -94,7 +116,7 @@ WHERE rank <= 10"""
 @query("style_analysis", sql=_analysis_sql(), operators=("style_analysis", "rank_styles"))
 def q_style_analysis(spark, sf):
     """Styles ranked by mean winning score per group (first 10)."""
-    _, _, _, stats = run_adaptation(spark, sf, ratios=[0.25])
+    _, _, _, stats, _ = run_adaptation(spark, sf, ratios=[0.25])
     return style_ranking(stats).select(*GKEY, F.col("rank").cast("bigint").alias("rank"), "style",
                                        r6(F.col("avg_perf")).alias("avg_perf"), "n")
 
@@ -102,55 +124,74 @@ def q_style_analysis(spark, sf):
 @query("top_demos", sql=_adapt_sql("""
 SELECT config, task, ratio, grp, rank, iteration, sample_id, style_used, round(ca, 6) AS ca FROM (
   SELECT *, row_number() OVER (PARTITION BY config, task, ratio, grp ORDER BY ca DESC, iteration) AS rank FROM demos)
-WHERE rank <= 2"""), operators=("top_demos", "icl_demos", "task_settings"))
+WHERE rank <= 2"""), operators=("top_demos", "task_settings"))
 def q_top_demos(spark, sf):
-    _, _, demos, _ = run_adaptation(spark, sf)
+    _, _, demos, _, _ = run_adaptation(spark, sf)
     return top_demos(demos).select(*GKEY, F.col("rank").cast("bigint").alias("rank"), "iteration", "sample_id", "style_used",
                                    r6(F.col("ca")).alias("ca"))
 
 
-@query("inference", sql=None, operators=("inference", "tmpl_few_shot", "compress_batch"))
+@query("inference", sql=_inference_sql("""
+SELECT config, task, ratio, grp, sample_id, request_id, source, target, n_out, round(f1, 6) AS f1, round(f1, 6) AS primary_score
+FROM inf"""), operators=("inference", "tmpl_few_shot", "compress_batch"))
 def q_inference(spark, sf):
     """Infer-role prompts compressed with the top-S demonstrations, scored."""
-    inf, _, _ = run_inference(spark, sf)
+    inf = run_inference(spark, sf)[0]
     return inf.select(*GKEY, "sample_id", "request_id", "source", "target",
                       n_tokens(ws_tokens("compressed")).alias("n_out"), r6(F.col("f1")).alias("f1"),
                       r6(F.col("primary_score")).alias("primary_score"))
 
 
-@query("ratio_sweep", sql=None, operators=("ratio_sweep", "avg_ratio", "actual_ratio"))
+_ACHIEVED = "CASE WHEN n_tok > 0 THEN n_out / n_tok::DOUBLE ELSE 0.0 END"
+
+
+@query("ratio_sweep", sql=_inference_sql(f"""
+SELECT task, ratio, count(*) AS n, round(avg({_ACHIEVED}), 6) AS avg_ratio, round(avg(em), 6) AS em, round(avg(f1), 6) AS f1
+FROM inf GROUP BY task, ratio"""), operators=("ratio_sweep", "avg_ratio", "actual_ratio"))
 def q_ratio_sweep(spark, sf):
     """Per ratio: mean achieved ratio and mean quality of the adaptive method on infer prompts."""
-    inf, _, _ = run_inference(spark, sf)
+    inf = run_inference(spark, sf)[0]
     inf = inf.withColumn("achieved", actual_ratio(n_tokens(ws_tokens("compressed")), "n_tok"))
     return inf.groupBy("task", "ratio").agg(
         F.count(F.lit(1)).alias("n"), r6(F.avg("achieved")).alias("avg_ratio"),
         r6(F.avg("em")).alias("em"), r6(F.avg("f1")).alias("f1"))
 
 
-@query("ablation", sql=None, operators=("ablation",))
+_PER_CONFIG = "SELECT config, task, ratio, count(*) AS n, round(avg(f1), 6) AS f1, round(avg(em), 6) AS em FROM {} GROUP BY ALL"
+_TRUNCATED = ("(SELECT 'truncation' AS config, sc.task, sc.ratio, sc.f1, sc.em FROM sc JOIN keys USING (sample_id, ratio) "
+              "WHERE sc.style = 'loc-begin')")
+
+
+@query("ablation", sql=" UNION ALL ".join(
+    f"SELECT * FROM ({_inference_sql(_PER_CONFIG.format('inf'), [0.25], c)})" for c in ABLATION)
+    + f" UNION ALL SELECT * FROM ({_inference_sql(_PER_CONFIG.format(_TRUNCATED), [0.25])})", operators=("ablation",))
 def q_ablation(spark, sf):
-    """style_only / icl_only / full side by side (config column) plus truncation."""
-    inf, _, _ = run_inference(spark, sf, ratios=[0.25], configs=ABLATION)
-    adaptive = inf.groupBy("config", "task", "ratio").agg(
-        F.count(F.lit(1)).alias("n"), r6(F.avg("f1")).alias("f1"), r6(F.avg("em")).alias("em"))
-    s = build_samples(spark, sf, ("qa",))
-    trunc = score(candidates(s, [0.25], ["loc-begin"])).groupBy("task", "ratio").agg(
-        F.count(F.lit(1)).alias("n"), r6(F.avg("f1")).alias("f1"), r6(F.avg("em")).alias("em")) \
-        .withColumn("config", F.lit("truncation"))
+    """style_only / icl_only / full side by side (config column) plus truncation, all on the infer prompts."""
+    inf, _, infer_samples, _ = run_inference(spark, sf, ratios=[0.25], configs=ABLATION)
+    cols = [r6(F.avg("f1")).alias("f1"), r6(F.avg("em")).alias("em")]
+    adaptive = inf.groupBy("config", "task", "ratio").agg(F.count(F.lit(1)).alias("n"), *cols)
+    trunc = score(candidates(infer_samples, [0.25], ["loc-begin"])).groupBy("task", "ratio").agg(
+        F.count(F.lit(1)).alias("n"), *cols).withColumn("config", F.lit("truncation"))
     return adaptive.unionByName(trunc)
 
 
-@query("method_comparison", sql=None, operators=("method_comparison", "method_summary", "drop_errors",
-                                                 "comp_random_window", "comp_sentences"))
+_METHODS = ["selective-context", "random", "selective"]
+
+
+@query("method_comparison", sql=_inference_sql(f"""
+, every AS (SELECT task, ratio, 'adaptive' AS method, n_tok, n_out, em, f1 FROM inf
+  UNION ALL SELECT sc.task, sc.ratio, sc.style, sc.n_tok, len(regexp_extract_all(sc.compressed, '\\S+')), sc.em, sc.f1
+  FROM sc JOIN keys USING (sample_id, ratio) WHERE sc.style IN ({", ".join(f"'{m}'" for m in _METHODS)}))
+SELECT task, ratio, method, count(*) AS n, round(avg({_ACHIEVED}), 6) AS avg_ratio, round(avg(em), 6) AS em, round(avg(f1), 6) AS f1,
+       CASE WHEN method = 'adaptive' THEN (SELECT count(*) FROM demos) ELSE 0 END AS num_demonstrations
+FROM every GROUP BY task, ratio, method""", [0.25], more_methods=_METHODS),
+       operators=("method_comparison", "method_summary", "comp_random_window", "comp_sentences"))
 def q_method_comparison(spark, sf):
     """Adaptive vs truncation vs random vs selective on the same infer prompts (qa, F1)."""
-    inf, demos, _ = run_inference(spark, sf, ratios=[0.25])
+    inf, demos, infer_samples, s = run_inference(spark, sf, ratios=[0.25])
     adaptive = inf.select("task", "sample_id", "ratio", "n_tok", "compressed", "em", "f1") \
         .withColumn("method", F.lit("adaptive"))
-    roles = adapt_infer_split(build_samples(spark, sf, ("qa",)), ADAPT_SIZE)
-    base = score(candidates(roles.where("is_infer").select(*SAMPLE_COLS), [0.25],
-                            ["selective-context", "random", "selective"]))
+    base = score(candidates(infer_samples, [0.25], _METHODS, corpus=s))
     base = base.select("task", "sample_id", "ratio", "n_tok", "compressed", "em", "f1",
                        F.col("style").alias("method"))
     allm = adaptive.unionByName(base).withColumn(
@@ -160,7 +201,5 @@ def q_method_comparison(spark, sf):
         F.count(F.lit(1)).alias("n"), r6(F.avg("achieved")).alias("avg_ratio"),
         r6(F.avg("em")).alias("em"), r6(F.avg("f1")).alias("f1"))
     return (out.join(n_demos, ["task", "ratio"], "left")
-            .withColumn("num_demonstrations",
-                        F.when(F.col("method") == "adaptive", F.col("num_demonstrations")).otherwise(F.lit(0)))
-            .withColumn("error", F.when(F.col("n") == 0, F.lit("no prompts")))
-            .where(F.col("error").isNull()))
+            .withColumn("num_demonstrations", F.when(F.col("method") == "adaptive", F.col("num_demonstrations"))
+                        .otherwise(F.lit(0))))

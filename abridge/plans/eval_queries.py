@@ -18,10 +18,7 @@ def r6(c):
     return F.round(c, 6)
 
 
-# Styles whose candidates are subsequences of the original tokens (ROUGE-L closed form in SQL).
-SUBSEQ_METHODS = [s for s in STYLE_NAMES if s != "unreadable"] + ["selective-context"]
 ALL_METHODS = STYLE_NAMES + ["selective-context"]
-KEY = "task, sample_id, ratio, style"
 
 
 # --------------------------------------------------------------------------- ROUGE on pairs
@@ -56,7 +53,14 @@ def q_rouge_pairs(spark, sf):
                     r6(F.col("rouge1")).alias("rouge1"), r6(F.col("rouge2")).alias("rouge2"))
 
 
-@query("rougeL_pairs", sql=None, operators=("rougeL", "bertscore"))
+@query("rougeL_pairs", sql=f"""
+WITH p AS (SELECT a.doc_id AS pair_id, {S.rouge_tok('a.text')} AS rt, {S.rouge_tok('b.text')} AS ct
+           FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
+l AS (SELECT *, {S.lcs('rt', 'ct')} AS lcs FROM p)
+SELECT pair_id, lcs, len(rt)::BIGINT AS n_ref, len(ct)::BIGINT AS n_cand,
+       round({S.fmeasure('lcs', 'len(rt)', 'len(ct)')}, 6) AS rougeL, round({S.fmeasure('lcs', 'len(rt)', 'len(ct)')}, 6) AS bertscore
+FROM l
+""", operators=("rougeL", "bertscore"))
 def q_rougeL_pairs(spark, sf):
     """ROUGE-L (LCS) on next-document pairs; checked against a DP brute force in tests."""
     d = read_table(spark, sf, "documents").select("doc_id", "text")
@@ -77,7 +81,7 @@ SELECT task, sample_id, {S.exact_match('answer', 'question')} AS em_question,
 FROM samples WHERE task IN ('qa', 'reasoning')
 """, operators=("exact_match", "token_f1", "token_intersect", "distinct_tokens"))
 def q_qa_metrics(spark, sf):
-    s = build_samples(spark, sf, ("qa", "reasoning"))
+    s = build_samples(spark, sf, ("qa", "reasoning"), distribute=False)
     from abridge.sources.samples import final_answer
     return s.select("task", "sample_id", exact_match("answer", "question").alias("em_question"),
                     r6(token_f1("answer", "prompt")).alias("f1_context"),
@@ -87,57 +91,41 @@ def q_qa_metrics(spark, sf):
 
 # --------------------------------------------------------------------------- task evaluation
 def _eval_sql(task, methods, select):
-    extra = ""
-    if task in ("reconstruction", "summarization"):
-        ref = "prompt" if task == "reconstruction" else "reference"
-        extra = f""",
-p AS (SELECT {KEY}, {S.rouge_tok(ref)} AS rt, {S.rouge_tok('compressed')} AS ct FROM cands WHERE {ref} IS NOT NULL),
-{S.rouge_hits_cte('p', KEY, 'rt', 'ct')}"""
     return f"""
 WITH {S.SAMPLES_CTE},
 base AS (SELECT * FROM samples WHERE task = '{task}'),
-{S.candidates_cte('base', RATIOS, methods)}{extra}
+{S.candidates_cte('base', RATIOS, methods)}
 {select}"""
 
 
-REC_SELECT = f"""
-SELECT sample_id, ratio, style, len(rt)::BIGINT AS n_ref, len(ct)::BIGINT AS n_cand,
-       round({S.fmeasure('coalesce(hit1, 0)', 'len(rt)', 'len(ct)')}, 6) AS rouge1,
-       round({S.fmeasure('coalesce(hit2, 0)', 'greatest(len(rt) - 1, 0)', 'greatest(len(ct) - 1, 0)')}, 6) AS rouge2,
-       round({S.fmeasure('len(ct)', 'len(rt)', 'len(ct)')}, 6) AS rougeL,
-       round({S.fmeasure('len(ct)', 'len(rt)', 'len(ct)')}, 6) AS bertscore
-FROM p LEFT JOIN h1 USING ({KEY}) LEFT JOIN h2 USING ({KEY})"""
-
-
 def _scored(spark, sf, task, methods):
     return scored_grid(build_samples(spark, sf, (task,)), RATIOS, methods)
 
 
-@query("eval_reconstruction", sql=_eval_sql("reconstruction", SUBSEQ_METHODS, REC_SELECT),
+def _rouge_sql(task: str, cols: str) -> str:
+    return f"""
+WITH {S.scored_cte((task,), ALL_METHODS, RATIOS)}
+SELECT sample_id, ratio, style, {cols} FROM sc WHERE n_ref IS NOT NULL"""
+
+
+_ROUGE = ", ".join(f"round({m}, 6) AS {m}" for m in ("rouge1", "rouge2", "rougeL", "bertscore"))
+
+
+@query("eval_reconstruction", sql=_rouge_sql("reconstruction", f"n_ref, n_cand, {_ROUGE}"),
        operators=("eval_reconstruction", "rougeL", "bertscore", "join_scores"))
 def q_eval_reconstruction(spark, sf):
-    s = _scored(spark, sf, "reconstruction", SUBSEQ_METHODS)
+    s = _scored(spark, sf, "reconstruction", ALL_METHODS)
     return s.select("sample_id", "ratio", "style", "n_ref", "n_cand",
                     *[r6(F.col(m)).alias(m) for m in ("rouge1", "rouge2", "rougeL", "bertscore")])
 
 
-@query("eval_summarization", sql=_eval_sql("summarization", ALL_METHODS, f"""
-SELECT sample_id, ratio, style, len(rt)::BIGINT AS n_ref, len(ct)::BIGINT AS n_cand,
-       round({S.fmeasure('coalesce(hit1, 0)', 'len(rt)', 'len(ct)')}, 6) AS rouge1,
-       round({S.fmeasure('coalesce(hit2, 0)', 'greatest(len(rt) - 1, 0)', 'greatest(len(ct) - 1, 0)')}, 6) AS rouge2
-FROM p LEFT JOIN h1 USING ({KEY}) LEFT JOIN h2 USING ({KEY})"""), operators=("eval_summarization",))
+@query("eval_summarization", sql=_rouge_sql(
+    "summarization", f"n_ref, n_cand, lcs, {_ROUGE}, round(primary_score, 6) AS primary_score"),
+       operators=("eval_summarization", "rougeL", "primary_score"))
 def q_eval_summarization(spark, sf):
     s = _scored(spark, sf, "summarization", ALL_METHODS).where(F.col("n_ref").isNotNull())
-    return s.select("sample_id", "ratio", "style", "n_ref", "n_cand",
-                    r6(F.col("rouge1")).alias("rouge1"), r6(F.col("rouge2")).alias("rouge2"))
-
-
-@query("eval_summarization_lcs", sql=None, operators=("eval_summarization", "rougeL", "primary_score"))
-def q_eval_summarization_lcs(spark, sf):
-    """ROUGE-L of summaries (not a subsequence: no SQL closed form); tested against DP."""
-    s = _scored(spark, sf, "summarization", ALL_METHODS).where(F.col("n_ref").isNotNull())
-    return s.select("sample_id", "ratio", "style", "lcs", r6(F.col("rougeL")).alias("rougeL"),
-                    r6(F.col("primary_score")).alias("primary_score"))
+    return s.select("sample_id", "ratio", "style", "n_ref", "n_cand", "lcs",
+                    *[r6(F.col(m)).alias(m) for m in ("rouge1", "rouge2", "rougeL", "bertscore", "primary_score")])
 
 
 @query("eval_qa", sql=_eval_sql("qa", ALL_METHODS, f"""

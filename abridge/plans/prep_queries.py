@@ -66,7 +66,7 @@ SELECT task, sample_id FROM (
 WHERE rn <= 200
 """, operators=("cap_samples",))
 def q_cap_samples(spark, sf):
-    return cap_per_group(build_samples(spark, sf), ["task"], ["sample_id"], 200).select("task", "sample_id")
+    return cap_per_group(build_samples(spark, sf, distribute=False), ["task"], ["sample_id"], 200).select("task", "sample_id")
 
 
 @query("cap_tokens", sql=f"""
@@ -89,7 +89,7 @@ WHERE (task, grp) IN (SELECT task, grp FROM samples GROUP BY ALL HAVING count(*)
 GROUP BY ALL
 """, operators=("min_rows_filter",))
 def q_min_rows_filter(spark, sf):
-    s = min_rows_filter(build_samples(spark, sf), ["task", "grp"], 12)
+    s = min_rows_filter(build_samples(spark, sf, distribute=False), ["task", "grp"], 12)
     return s.groupBy("task", "grp").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -104,7 +104,7 @@ UNION ALL
 SELECT task, grp, sample_id, NULL::BIGINT FROM g WHERE group_n >= 12
 """, operators=("replicate_rows",))
 def q_replicate_rows(spark, sf):
-    s = build_samples(spark, sf).select("task", "grp", "sample_id")
+    s = build_samples(spark, sf, distribute=False).select("task", "grp", "sample_id")
     return replicate_rows(s, ["task", "grp"], "sample_id", 12).select("task", "grp", "sample_id", "rep_pos")
 
 
@@ -115,7 +115,7 @@ SELECT task, grp, sample_id FROM (
   FROM samples) WHERE rn <= 2
 """, operators=("tail_rows",))
 def q_tail_rows(spark, sf):
-    return tail_per_group(build_samples(spark, sf), ["task", "grp"], "sample_id", 2) \
+    return tail_per_group(build_samples(spark, sf, distribute=False), ["task", "grp"], "sample_id", 2) \
         .select("task", "grp", "sample_id")
 
 

@@ -78,6 +78,49 @@ def rouge_hits_cte(pairs: str, key: str, ref: str, cand: str, prefix: str = "")
 {p}h2 AS (SELECT {key}, sum(least(a.n, b.n))::BIGINT AS hit2 FROM {p}r2 a JOIN {p}c2 b USING ({key}, g) GROUP BY {key})"""
 
 
+def inference_sql(task: str, ratios, adapt_size: int, config: str, n_style: int, n_icl: int, more_methods=()) -> str:
+    """CTEs ending in ``inf``: infer-role prompts answered in the style of the best demonstration shown."""
+    from abridge.functions.text import TMPL_EXAMPLE, TMPL_FEW_SHOT
+    from abridge.operators.catalog import STYLE_RULE, TASK_SETTINGS
+    from abridge.operators.requests import STANDIN_PREFIX, STANDIN_SUFFIX
+    shown = TASK_SETTINGS[task][0]
+    ruled = ", ".join(f"'{s}'" for s in STYLE_RULE)
+    request = render(TMPL_FEW_SHOT, target="k.target", instruction=instruction(f"'for_{task}'"), examples="e.examples",
+                     text="k.prompt")
+    return f"""{adaptation_sql(task, ratios, adapt_size, n_style, n_icl, config=config, more_methods=more_methods)},
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY config, task, ratio, grp ORDER BY ca DESC, iteration) AS rank FROM demos)
+         WHERE rank <= {shown}),
+ex AS (SELECT b.ratio, b.grp, min_by(b.text_style, b.rank) AS text_style,
+              string_agg({render(TMPL_EXAMPLE, original='c.prompt', compressed='c.compressed')}, chr(10) ORDER BY b.rank) AS examples
+       FROM best b JOIN sc c ON c.sample_id = b.sample_id AND c.ratio = b.ratio AND c.style = b.text_style GROUP BY b.ratio, b.grp),
+keys AS (SELECT k.*, e.text_style, md5({request}) AS request_id
+         FROM (SELECT sc.* FROM sc JOIN roles r ON r.sample_id = sc.sample_id WHERE style = 'loc-begin'
+               AND (r.pos >= {adapt_size} OR r.group_n < {adapt_size})) k
+         LEFT JOIN ex e ON e.ratio = k.ratio AND e.grp = k.grp),
+said AS (SELECT k.*, CASE WHEN k.text_style IN ({ruled}) THEN {sq(STANDIN_PREFIX)} || c.compressed || {sq(STANDIN_SUFFIX)} END AS response
+         FROM keys k LEFT JOIN sc c ON c.sample_id = k.sample_id AND c.ratio = k.ratio AND c.style = k.text_style),
+parsed AS (SELECT *, {parse_compression('response')} AS said_text FROM said),
+out AS (SELECT * EXCLUDE (compressed), CASE WHEN response IS NOT NULL THEN 'completion' ELSE 'fallback' END AS source,
+               CASE WHEN response IS NOT NULL THEN {truncate('said_text', 'target')} ELSE {truncate('prompt', 'target')} END AS compressed
+        FROM parsed),
+inf AS (SELECT '{config}' AS config, * EXCLUDE (em, f1), len({ws_tok('compressed')})::BIGINT AS n_out,
+               {exact_match('answer', 'compressed')} AS em, {token_f1('answer', 'compressed')} AS f1 FROM out)"""
+
+
+def lcs(ref: str, cand: str) -> str:
+    """LCS length of two token lists.
+
+    Hunt and Szymanski's thresholds: entry k is the least reference position at which a common
+    subsequence of length k can end. Each candidate token lowers entries to its next match position;
+    the number of entries at the end is the length.
+    """
+    at = (f"list_transform({cand}, lambda y: list_filter(range(1, len({ref}) + 1), lambda i: {ref}[i] = y))")
+    steps = f"list_prepend([]::BIGINT[], list_filter({at}, lambda m: len(m) > 0))"
+    step = ("list_filter(list_transform(range(1, len(t) + 2), lambda k: least(t[k], list_min(list_filter(m, "
+            "lambda q: q > CASE WHEN k = 1 THEN 0 ELSE t[k - 1] END)))), lambda x: x IS NOT NULL)")
+    return f"len(list_reduce({steps}, lambda t, m: {step}))::BIGINT"
+
+
 def fmeasure(h: str, nr: str, nc: str) -> str:
     return f"(CASE WHEN {h} > 0 THEN 2.0 * {h} / CAST({nr} + {nc} AS DOUBLE) ELSE 0.0 END)"
 
@@ -232,24 +275,28 @@ KEY4 = "task, sample_id, ratio, style"
 def scored_cte(tasks, methods, ratios, seed: int = 42) -> str:
     """CTEs ending in ``sc``: every rule candidate with its task metrics and primary score.
 
-    ROUGE-L uses the subsequence closed form (LCS = candidate length), so only
-    subsequence-producing methods and the reconstruction task may use it.
+    ROUGE-L of a reconstruction candidate that is a subsequence of the prompt by its rule has the closed
+    form LCS = candidate length; all others (abbreviations, summaries) run the LCS itself.
     """
     tl = ", ".join(f"'{t}'" for t in tasks)
     r1 = fmeasure("coalesce(hit1, 0)", "len(rt)", "len(ct)")
     r2 = fmeasure("coalesce(hit2, 0)", "greatest(len(rt) - 1, 0)", "greatest(len(ct) - 1, 0)")
-    rl = fmeasure("len(ct)", "len(rt)", "len(ct)")
+    rl = fmeasure("lcs", "len(rt)", "len(ct)")
+    rouge = "c.task IN ('reconstruction', 'summarization') AND rt IS NOT NULL"
     return f"""{SAMPLES_CTE},
 base AS (SELECT * FROM samples WHERE task IN ({tl})),
 {candidates_cte('base', ratios, methods, seed)},
-p AS (SELECT {KEY4}, {rouge_tok('prompt')} AS rt, {rouge_tok('compressed')} AS ct FROM cands WHERE task = 'reconstruction'),
+p0 AS (SELECT {KEY4}, {rouge_tok("CASE task WHEN 'reconstruction' THEN prompt ELSE reference END")} AS rt, {rouge_tok('compressed')} AS ct
+       FROM cands WHERE task = 'reconstruction' OR task = 'summarization' AND reference IS NOT NULL),
+p AS (SELECT *, CASE WHEN task = 'reconstruction' AND style <> 'unreadable' THEN len(ct) ELSE {lcs('rt', 'ct')} END AS lcs FROM p0),
 {rouge_hits_cte('p', KEY4, 'rt', 'ct')},
 sc0 AS (
-  SELECT c.task, c.sample_id, c.grp, c.ratio, c.style, c.prompt, c.compressed, c.n_tok, c.target,
-         CASE WHEN c.task = 'reconstruction' THEN {r1} END AS rouge1,
-         CASE WHEN c.task = 'reconstruction' THEN {r2} END AS rouge2,
-         CASE WHEN c.task = 'reconstruction' THEN {rl} END AS rougeL,
-         CASE WHEN c.task = 'reconstruction' THEN {rl} END AS bertscore,
+  SELECT c.task, c.sample_id, c.grp, c.ratio, c.style, c.prompt, c.reference, c.question, c.answer, c.tok, c.compressed, c.n_tok, c.target,
+         len(rt)::BIGINT AS n_ref, len(ct)::BIGINT AS n_cand, lcs::BIGINT AS lcs,
+         CASE WHEN {rouge} THEN {r1} END AS rouge1,
+         CASE WHEN {rouge} THEN {r2} END AS rouge2,
+         CASE WHEN {rouge} THEN {rl} END AS rougeL,
+         CASE WHEN {rouge} THEN {rl} END AS bertscore,
          CASE WHEN c.task = 'qa' THEN {exact_match('c.answer', 'c.compressed')}
               WHEN c.task = 'reasoning' THEN {exact_match('c.answer', final_answer('c.compressed'))} END AS em,
          CASE WHEN c.task = 'qa' THEN {token_f1('c.answer', 'c.compressed')} END AS f1
@@ -343,17 +390,19 @@ def truncate(text: str, target_: str) -> str:
 
 
 def adaptation_sql(task: str, ratios, adapt_size: int = 10, n_style: int = 2, n_icl: int = 3,
-                   warmup: float = 0.5, seed: int = 42, config: str = "full") -> str:
+                   warmup: float = 0.5, seed: int = 42, config: str = "full", icl_demos: int = 3,
+                   more_methods=()) -> str:
     """Unrolled SQL restatement of the adaptation rounds (CTE ``demos`` and final ``stats``)."""
     from abridge.operators.catalog import STYLE_NAMES, TASK_SETTINGS
     g = "config, task, ratio, grp"
     kind = TASK_SETTINGS[task][1]
     styles = ", ".join(f"({i}, '{s}')" for i, s in enumerate(STYLE_NAMES))
     ratio_rows = ", ".join(f"(CAST({r} AS DOUBLE))" for r in ratios)
-    parts = [scored_cte((task,), STYLE_NAMES + ["icl"], ratios, seed), f""",
+    parts = [scored_cte((task,), STYLE_NAMES + list(more_methods), ratios, seed), f""",
 sc2 AS (SELECT task, sample_id, ratio, style, round(primary_score, 12) AS score FROM sc),
-roles AS (SELECT task, grp, sample_id, row_number() OVER (PARTITION BY task, grp ORDER BY sample_id) - 1 AS pos
-          FROM samples WHERE task = '{task}'),
+roles AS (SELECT task, grp, sample_id, row_number() OVER (PARTITION BY task, grp ORDER BY sample_id) - 1 AS pos,
+                 count(*) OVER (PARTITION BY task, grp) AS group_n
+          FROM samples WHERE task = '{task}' AND coalesce(reference, answer, CASE task WHEN 'reconstruction' THEN prompt END) IS NOT NULL),
 adapt AS (SELECT '{config}' AS config, r.task, rr.ratio, r.grp, r.sample_id, r.pos
           FROM roles r CROSS JOIN (VALUES {ratio_rows}) AS rr(ratio) WHERE r.pos < {adapt_size}),
 sty AS (SELECT * FROM (VALUES {styles}) AS t(style_idx, style)),
@@ -384,16 +433,21 @@ pk{i} AS (SELECT d.config, d.task, d.ratio, d.grp, d.sample_id, d.slot,
           FROM dr{i} d JOIN cw{i} cw USING ({g}) GROUP BY d.config, d.task, d.ratio, d.grp, d.sample_id, d.slot, d.u),""")
         icl = ""
         if i > 0 and n_icl > 0:
-            icl = (f" UNION ALL SELECT {g}, sample_id, slot, 'icl' AS style FROM cur{i} "
-                   f"CROSS JOIN (SELECT unnest(range({n_style}, {n_style + n_icl})) AS slot)")
+            pool = " UNION ALL ".join(f"SELECT * FROM d{j}" for j in range(i))
+            parts.append(f"""
+pool{i} AS (SELECT {g}, text_style, least(count(*) OVER (PARTITION BY {g}), {icl_demos}) AS n_pool,
+              row_number() OVER (PARTITION BY {g} ORDER BY ca DESC, iteration) AS rank FROM ({pool})),""")
+            icl = (f" UNION ALL SELECT {g}, sample_id, slot, 'icl' AS style, text_style FROM cur{i} "
+                   f"CROSS JOIN (SELECT unnest(range({n_style}, {n_style + n_icl})) AS slot) "
+                   f"JOIN pool{i} USING ({g}) WHERE rank = least(slot - {n_style} + 1, n_pool)")
         ca = ("CASE WHEN count(*) <= 1 THEN 0.0 ELSE max(score) - " +
               ("median(score)" if kind == "mid" else "min(score)") + " END")
         parts.append(f"""
 tr{i} AS (SELECT t.*, sc2.score FROM (
-            SELECT {g}, sample_id, slot, sty.style FROM pk{i} JOIN sty USING (style_idx){icl}) t
-          JOIN sc2 USING (task, sample_id, ratio, style)),
+            SELECT {g}, sample_id, slot, sty.style, sty.style AS text_style FROM pk{i} JOIN sty USING (style_idx){icl}) t
+          JOIN sc2 ON sc2.task = t.task AND sc2.sample_id = t.sample_id AND sc2.ratio = t.ratio AND sc2.style = t.text_style),
 ca{i} AS (SELECT {g}, {ca} AS ca FROM tr{i} GROUP BY {g}),
-d{i} AS (SELECT b.config, b.task, b.ratio, b.grp, {i} AS iteration, b.sample_id, b.style AS style_used, b.score, ca{i}.ca
+d{i} AS (SELECT b.config, b.task, b.ratio, b.grp, {i} AS iteration, b.sample_id, b.style AS style_used, b.text_style, b.score, ca{i}.ca
          FROM (SELECT *, row_number() OVER (PARTITION BY {g} ORDER BY score DESC, slot) AS rn FROM tr{i}) b
          JOIN ca{i} USING ({g}) WHERE b.rn = 1),
 st{i + 1} AS (SELECT s.config, s.task, s.ratio, s.grp, s.style_idx, s.style,

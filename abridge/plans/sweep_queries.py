@@ -11,8 +11,7 @@ from abridge.plans import sql as S
 from abridge.plans.registry import query
 from abridge.sources.samples import build_samples
 
-CHECK_TASKS = ("reconstruction", "qa", "reasoning")
-SUBSEQ_METHODS = [s for s in STYLE_NAMES if s != "unreadable"] + ["selective-context"]
+ALL_TASKS = ("reconstruction", "summarization", "qa", "reasoning")
 ALL_METHODS = STYLE_NAMES + ["selective-context"]
 
 
@@ -20,47 +19,40 @@ def r6(c):
     return F.round(c, 6)
 
 
-def _results_long(spark, sf, tasks=CHECK_TASKS, methods=SUBSEQ_METHODS):
+def _results_long(spark, sf, tasks=ALL_TASKS, methods=ALL_METHODS):
     s = scored_grid(build_samples(spark, sf, tasks), RATIOS, methods)
     return avg_metrics_all(to_long(s))
 
 
 @query("style_sweep", sql=f"""
-WITH {S.scored_cte(CHECK_TASKS, SUBSEQ_METHODS, RATIOS)},
+WITH {S.scored_cte(ALL_TASKS, ALL_METHODS, RATIOS)},
 {S.long_cte()}
 SELECT ratio, task, style, metric, round(value, 6) AS value FROM results_long
-""", operators=("style_sweep", "grid_cross", "avg_metrics_all", "union_results", "sink_long_csv"))
+""", operators=("style_sweep", "grid_cross", "avg_metrics_all", "union_results"))
 def q_style_sweep(spark, sf):
     """ratio x task x (styles + baseline) mean metrics, long format (failed scores count 0)."""
     return _results_long(spark, sf).select("ratio", "task", "style", "metric", r6(F.col("value")).alias("value"))
 
 
-@query("style_sweep_full", sql=None, operators=("style_sweep", "eval_summarization", "comp_abbrev"))
-def q_style_sweep_full(spark, sf):
-    """All four tasks and all 13 styles + baseline (ROUGE-L of non-subsequences: no SQL form)."""
-    r = _results_long(spark, sf, ("reconstruction", "summarization", "qa", "reasoning"), ALL_METHODS)
-    return r.select("ratio", "task", "style", "metric", r6(F.col("value")).alias("value"))
-
-
-_PIVOT_VALUES = [(t, m) for t in CHECK_TASKS for m in TASK_METRICS[t]]
+_PIVOT_VALUES = [(t, m) for t in ALL_TASKS for m in TASK_METRICS[t]]
 
 
 @query("pivot_long", sql=f"""
-WITH {S.scored_cte(CHECK_TASKS, SUBSEQ_METHODS, RATIOS)},
+WITH {S.scored_cte(ALL_TASKS, ALL_METHODS, RATIOS)},
 {S.long_cte()}
 SELECT ratio, style, {", ".join(f"round(avg(value) FILTER (WHERE task = '{t}' AND metric = '{m}'), 6) AS {t}_{m}" for t, m in _PIVOT_VALUES)}
 FROM results_long GROUP BY ratio, style
-""", operators=("pivot_long", "sink_pivot_csv"))
+""", operators=("pivot_long",))
 def q_pivot_long(spark, sf):
-    p = pivot_long(_results_long(spark, sf), list(CHECK_TASKS))
+    p = pivot_long(_results_long(spark, sf), list(ALL_TASKS))
     return p.select("ratio", "style", *[r6(F.col(f"{t}_{m}")).alias(f"{t}_{m}") for t, m in _PIVOT_VALUES])
 
 
-_PRIMARY = {"reconstruction": "rougeL", "qa": "f1", "reasoning": "em"}
+_PRIMARY = {"reconstruction": "rougeL", "summarization": "rougeL", "qa": "f1", "reasoning": "em"}
 
 
 @query("primary_series", sql=f"""
-WITH {S.scored_cte(CHECK_TASKS, SUBSEQ_METHODS, RATIOS)},
+WITH {S.scored_cte(ALL_TASKS, ALL_METHODS, RATIOS)},
 {S.long_cte()}
 SELECT task, style, {", ".join(f"round(coalesce(avg(value) FILTER (WHERE ratio = {r}), 0), 6) AS {ratio_col(r)}" for r in RATIOS)}
 FROM results_long
@@ -72,7 +64,22 @@ def q_primary_series(spark, sf):
     return p.select("task", "style", *[r6(F.col(ratio_col(r))).alias(ratio_col(r)) for r in RATIOS])
 
 
-@query("report_text", sql=None, operators=("report_text", "title_case", "preview"))
+def _report_sql() -> str:
+    order = [(t, m) for t, ms in TASK_METRICS.items() for m in ms]
+    cell = " || ' ' || ".join(
+        f"coalesce(printf('{t[:5]}/{m}=%.3f', max(value) FILTER (WHERE task = '{t}' AND metric = '{m}')), '{t[:5]}/{m}=-')"
+        for t, m in order)
+    title = "array_to_string(list_transform(string_split(replace(style, '_', ' '), ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ')"
+    return f"""
+WITH {S.scored_cte(ALL_TASKS, ALL_METHODS, RATIOS)},
+{S.long_cte()},
+w AS (SELECT ratio, style, CASE WHEN style = 'selective-context' THEN 'baseline' ELSE 'style' END AS section,
+             printf('%-20s', {title}) || ' ' || {cell} AS line FROM results_long GROUP BY ratio, style)
+SELECT ratio, section, row_number() OVER (PARTITION BY ratio ORDER BY section DESC, style) AS line_no, line FROM w
+UNION ALL SELECT DISTINCT ratio, 'header', 0, printf('Compression ratio %.2f', ratio) FROM results_long"""
+
+
+@query("report_text", sql=_report_sql(), operators=("report_text", "title_case"))
 def q_report_text(spark, sf):
     """Fixed-width report lines per ratio: header, style rows, baseline rows."""
     return report_lines(_results_long(spark, sf), ["selective-context"])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,10 +30,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by the cluster.
+    """Return the shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when nothing is
-    set (local tests) a scratch folder is created.
+    Only a local master may go without the setting; it gets a scratch folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -42,7 +40,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="abridge-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder shared by driver and executors")
+        conf_dir = tempfile.mkdtemp(prefix="abridge-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
@@ -53,23 +53,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def work_partitions(df: DataFrame, per_core: int = 4) -> int:
-    """Partitions for compute-heavy rows: at least ``per_core`` tasks per core,
-    and never fewer than the scan produced (so it grows with the input)."""
-    sc = df.sparkSession.sparkContext
-    try:
-        scan = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001
-        scan = 1
-    return max(scan, per_core * sc.defaultParallelism)
-
-
 def spread(df: DataFrame, *keys: str, per_core: int = 4) -> DataFrame:
-    """Hash-partition ``df`` on ``keys`` into :func:`work_partitions` parts.
+    """Hash-partition ``df`` on ``keys``: at least ``per_core`` tasks a core, and the session's shuffle partitions.
 
-    Text rows are few bytes but much work each (a sample expands into ~40
-    scored candidates), so byte-based coalescing would squeeze them into one
-    task; an explicit partition count keeps the work spread, and the hash
-    partitioning on the sample key is reused by later joins on that key.
+    Text rows are few bytes but much work each, so byte-based coalescing would squeeze them into one task;
+    an explicit count keeps the work spread. The count comes from settings alone: no job runs.
     """
-    return df.repartition(work_partitions(df, per_core), *keys)
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), per_core * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)

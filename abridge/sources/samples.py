@@ -27,8 +27,9 @@ from abridge.session import spread
 from abridge.sources.tables import read_table
 
 TASKS = ("reconstruction", "summarization", "qa", "reasoning")
-# Fixed value: a conversation turn index stays below this, sample_id = conv_id * TURN_BASE + turn.
+# Fixed value: sample_id = conv_id * TURN_BASE + turn; rows that would not fit fail.
 TURN_BASE = 1_000_000
+CONV_LIMIT = (1 << 63) // TURN_BASE - 1
 SAMPLE_COLS = ["task", "sample_id", "grp", "prompt", "reference", "question", "answer"]
 
 
@@ -61,19 +62,14 @@ def summary_line(doc_id, text) -> Column:
                   F.element_at(lines, (F.pmod(md5_bucket(doc_id), F.size(lines)) + 1).cast("int")))
 
 
-def document_samples(docs: DataFrame) -> DataFrame:
-    base = docs.select("doc_id", "text", "source")
-    recon = base.select(F.lit("reconstruction").alias("task"), F.col("doc_id").alias("sample_id"),
-                        F.col("source").alias("grp"), F.col("text").alias("prompt"),
-                        F.lit(None).cast("string").alias("reference"),
-                        F.lit(None).cast("string").alias("question"),
-                        F.lit(None).cast("string").alias("answer"))
-    summ = base.select(F.lit("summarization").alias("task"), F.col("doc_id").alias("sample_id"),
-                       F.col("source").alias("grp"), F.col("text").alias("prompt"),
-                       summary_line("doc_id", "text").alias("reference"),
-                       F.lit(None).cast("string").alias("question"),
-                       F.lit(None).cast("string").alias("answer"))
-    return recon.unionByName(summ)
+def document_samples(docs: DataFrame, tasks=("reconstruction", "summarization")) -> DataFrame:
+    """Both document tasks from one scan: each document is exploded to the tasks asked for."""
+    reference = {"reconstruction": F.lit(None).cast("string"), "summarization": summary_line("doc_id", "text")}
+    shapes = F.array(*[F.struct(F.lit(t).alias("task"), r.alias("reference")) for t, r in reference.items() if t in tasks])
+    none = F.lit(None).cast("string")
+    return (docs.select("doc_id", "text", "source", F.explode(shapes).alias("s"))
+            .select("s.task", F.col("doc_id").alias("sample_id"), F.col("source").alias("grp"),
+                    F.col("text").alias("prompt"), "s.reference", none.alias("question"), none.alias("answer")))
 
 
 def conversation_samples(conv: DataFrame) -> DataFrame:
@@ -85,7 +81,9 @@ def conversation_samples(conv: DataFrame) -> DataFrame:
     nxt = c.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("q_turn"), F.col("text").alias("a_text"))
     pairs = user.join(nxt, ["conv_id", "q_turn"])
-    sid = (F.col("conv_id") * F.lit(TURN_BASE) + F.col("q_turn")).alias("sample_id")
+    fits = F.col("q_turn").between(0, TURN_BASE - 1) & F.col("conv_id").between(0, CONV_LIMIT)
+    sid = F.when(fits, F.col("conv_id") * F.lit(TURN_BASE) + F.col("q_turn")).otherwise(
+        F.raise_error(F.lit("conversation id or turn too large for a sample id")).cast("bigint")).alias("sample_id")
     qa = pairs.join(prev, ["conv_id", "q_turn"]).select(
         F.lit("qa").alias("task"), sid, F.col("p_role").alias("grp"),
         F.col("p_text").alias("prompt"), F.lit(None).cast("string").alias("reference"),
@@ -105,7 +103,7 @@ def build_samples(spark: SparkSession, sf_dir: str, tasks=TASKS, distribute: boo
     """
     parts = []
     if {"reconstruction", "summarization"} & set(tasks):
-        parts.append(document_samples(read_table(spark, sf_dir, "documents")))
+        parts.append(document_samples(read_table(spark, sf_dir, "documents"), tasks))
     if {"qa", "reasoning"} & set(tasks):
         parts.append(conversation_samples(read_table(spark, sf_dir, "conversations")))
     out = parts[0]

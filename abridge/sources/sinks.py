@@ -10,14 +10,9 @@ def sink_long(results_long: DataFrame, path: str, fmt: str = "parquet") -> None:
     """``sink_long_csv``: long results partitioned by (ratio, task); only the written
     partitions are replaced (dynamic partition overwrite), so a grid cell can be
     rewritten without touching the others."""
-    spark = results_long.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        w = results_long.write.mode("overwrite").partitionBy("ratio", "task")
-        (w.option("header", True).csv(path) if fmt == "csv" else w.parquet(path))
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    w = (results_long.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("ratio", "task"))
+    (w.option("header", True).csv(path) if fmt == "csv" else w.parquet(path))
 
 
 def sink_csv(df: DataFrame, path: str) -> None:

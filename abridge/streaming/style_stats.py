@@ -3,7 +3,7 @@
 Structured Streaming in update mode; every micro-batch's updated keys are
 appended (with the batch id) to a table in the shared checkpoint folder,
 and the final state is the latest row per key. The stream's own checkpoint
-lives next to it, so a restarted job resumes where it stopped. No watermark
+lives next to it, so a job restarted with its run id resumes where it stopped. No watermark
 is needed: the state is one row per key (13 styles / a handful of event
 types), not per event.
 """
@@ -16,7 +16,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from abridge.session import ensure_checkpoint_dir
-from abridge.sources.tables import TABLE_SCHEMAS
+from abridge.sources.tables import TABLE_SCHEMAS, table_path
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Is ``path`` a folder, in whatever store Spark reads it from?"""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
 def running_stats(stream: DataFrame, key: str, value: str) -> DataFrame:
@@ -26,13 +32,21 @@ def running_stats(stream: DataFrame, key: str, value: str) -> DataFrame:
 
 def run_stream_style_stats(spark: SparkSession, sf_dir: str, table: str = "events", key: str = "event_type",
                            value: str = "value", run_id: str | None = None) -> DataFrame:
-    """Run the stream to completion (``availableNow``) and return the final per-key table."""
+    """Run the stream to completion (``availableNow``) and return the final per-key table.
+
+    The table may be one file or a folder of parts; one file makes one micro-batch. A run with the ``run_id`` of an
+    earlier one goes on from its checkpoint and reads only what is new; without one the run starts afresh.
+    """
     base = ensure_checkpoint_dir(spark).rstrip("/")
     run = run_id or uuid.uuid4().hex
     out_path = f"{base}/stream_style_stats/{run}/updates"
     ckpt = f"{base}/stream_style_stats/{run}/checkpoint"
-    src = (spark.readStream.schema(TABLE_SCHEMAS[table]).option("pathGlobFilter", f"{table}.parquet")
-           .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    path = table_path(sf_dir, table)
+    reader = spark.readStream.schema(TABLE_SCHEMAS[table]).option("maxFilesPerTrigger", 1)
+    if is_folder(spark, path):
+        src = reader.parquet(path)
+    else:  # a stream reads folders: the parent, narrowed to the file
+        src = reader.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
     agg = running_stats(src, key, value)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
