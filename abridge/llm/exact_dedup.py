@@ -31,14 +31,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("_norm", lower_ascii(text_col))
     rows = rows.withColumns({"_prefix": F.substring("_norm", 1, PREFIX), "_hash": F.xxhash64("_norm")})
     hot = hot_keys(rows.select(id_col, "_hash"), "_hash", id_col)
-    if hot is None:
-        rows = rows.withColumn("_salt", F.lit(0))
-    else:  # at most four rows a partition
+    key = ["_prefix", "_hash"]
+    if hot is not None:  # at most four rows a partition
         rows = rows.join(F.broadcast(hot), "_hash", "left")
         rows = rows.withColumn("_salt", F.when(F.col("n_parts").isNull(), F.lit(0)).otherwise(
             1 + F.pmod(F.xxhash64(F.col(id_col)), F.col("n_parts")).cast("int"))).drop("n_parts")
-    dealt = rows.repartitionByRange("_prefix", "_hash", "_salt")
-    group = Window.partitionBy("_prefix", "_hash", "_salt", "_norm")
+        key.append("_salt")
+    dealt = rows.repartitionByRange(*key)
+    group = Window.partitionBy(*key, "_norm")  # the ranges hold whole groups, so nothing is shuffled again
     marked = dealt.withColumns({"keep_id": pick(id_col).over(group),
                                 "group_size": F.count(F.lit(1)).over(group)})
     if digest:
