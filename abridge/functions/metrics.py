@@ -8,8 +8,6 @@ way the counts can differ from exact string counts (odds ~ V^2 / 2^65).
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -33,24 +31,13 @@ def token_ids(tokens) -> Column:
     return F.transform(_c(tokens), lambda t: F.xxhash64(t))
 
 
-def _clipped_hits(a: np.ndarray, b: np.ndarray) -> int:
-    if len(a) == 0 or len(b) == 0:
-        return 0
-    ca = Counter(a.tolist())
-    hits = 0
-    for x, m in Counter(b.tolist()).items():
-        k = ca.get(x)
-        if k:
-            hits += k if k < m else m
-    return hits
-
-
 def _bigram_ids(a: np.ndarray) -> np.ndarray:
     if len(a) < 2:
         return a[:0]
-    # Pairs of ids as one fixed-width 16-byte key.
-    pairs = np.ascontiguousarray(np.stack([a[:-1], a[1:]], axis=1))
-    return pairs.view(np.dtype((np.void, 16))).ravel()
+    # A pair of ids as one scrambled 64-bit id.
+    x, y = a[:-1].astype(np.uint64), a[1:].astype(np.uint64)
+    h = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + y
+    return ((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
 
 def lcs_length(a, b, masks: dict | None = None) -> int:
@@ -83,44 +70,50 @@ def _match_masks(a) -> dict:
     return masks
 
 
-@F.pandas_udf(OVERLAP_SCHEMA)
-def pair_overlap(ref: pd.Series, cand: pd.Series) -> pd.DataFrame:
-    """Clipped unigram hits, clipped bigram hits and LCS of two id arrays.
+def _counts(a: np.ndarray) -> dict:
+    return dict(zip(*(x.tolist() for x in np.unique(a, return_counts=True))))
+
+
+def _clipped(ref: dict, cand: np.ndarray) -> int:
+    get = ref.get
+    return sum(min(get(x, 0), m) for x, m in _counts(cand).items())
 
-    Consecutive rows with the same reference (candidates of one sample are
-    adjacent after the candidate explode) reuse its match masks and counts.
+
+def _overlaps(ref, cands, subsequence) -> list[dict]:
+    """Clipped unigram and bigram hits and LCS of each candidate against one reference.
+
+    The reference's counts and match masks are made once; a candidate known to be a subsequence needs no LCS.
     """
-    h1 = np.zeros(len(ref), dtype=np.int64)
-    h2 = np.zeros(len(ref), dtype=np.int64)
-    lc = np.zeros(len(ref), dtype=np.int64)
-    last_key = None
-    masks = uni = bi = None
-    for i, (a, b) in enumerate(zip(ref, cand)):
-        if a is None or b is None or len(a) == 0 or len(b) == 0:
+    a = np.asarray(ref, dtype=np.int64)
+    uni, bi = _counts(a), _counts(_bigram_ids(a))
+    masks = None
+    out = []
+    for c, sub in zip(cands, subsequence, strict=True):
+        if c is None or len(c) == 0 or len(a) == 0:
+            out.append({"hit1": 0, "hit2": 0, "lcs": 0})
             continue
-        a = np.asarray(a, dtype=np.int64)
-        b = np.asarray(b, dtype=np.int64)
-        key = a.tobytes()
-        if key != last_key:
-            last_key = key
-            masks = _match_masks(a)
-            uni = Counter(a.tolist())
-            bi = Counter(_bigram_ids(a).tolist())
-        hits = 0
-        for x, m in Counter(b.tolist()).items():
-            k = uni.get(x)
-            if k:
-                hits += k if k < m else m
-        h1[i] = hits
-        hits = 0
-        if len(b) > 1 and bi:
-            for x, m in Counter(_bigram_ids(b).tolist()).items():
-                k = bi.get(x)
-                if k:
-                    hits += k if k < m else m
-        h2[i] = hits
-        lc[i] = lcs_length(a, b, masks)
-    return pd.DataFrame({"hit1": h1, "hit2": h2, "lcs": lc})
+        b = np.asarray(c, dtype=np.int64)
+        if sub:
+            lcs = len(b)
+        else:
+            masks = masks if masks is not None else _match_masks(a)
+            lcs = lcs_length(a, b, masks)
+        out.append({"hit1": _clipped(uni, b), "hit2": _clipped(bi, _bigram_ids(b)), "lcs": lcs})
+    return out
+
+
+@F.pandas_udf(T.ArrayType(OVERLAP_SCHEMA))
+def overlaps(ref: pd.Series, cands: pd.Series, subsequence: pd.Series) -> pd.Series:
+    """:func:`_overlaps` for each sample; null without a reference."""
+    return pd.Series([None if r is None else _overlaps(r, c, s) for r, c, s in zip(ref, cands, subsequence)])
+
+
+@F.pandas_udf(OVERLAP_SCHEMA)
+def pair_overlap(ref: pd.Series, cand: pd.Series) -> pd.DataFrame:
+    """Clipped unigram hits, clipped bigram hits and LCS of two id arrays."""
+    none = {"hit1": 0, "hit2": 0, "lcs": 0}
+    return pd.DataFrame([none if a is None else _overlaps(a, [b], [False])[0] for a, b in zip(ref, cand)],
+                        columns=["hit1", "hit2", "lcs"])
 
 
 def f_measure(hits, n_ref, n_cand) -> Column:

@@ -232,16 +232,17 @@ def inference(infer_samples: DataFrame, demo_arr: DataFrame, ratios, configs, co
     The stand-in model answers in the style of the best demonstration shown.
     """
     from abridge.operators.candidates import add_targets, rule_of, with_tokens
-    from abridge.operators.compress import apply_rules, extractive_selection
+    from abridge.operators.compress import compress_by, with_ranked
     from abridge.operators.requests import join_completions, standin_completions, with_request
     cfg = F.array(*[F.lit(c) for c, _, _ in configs])
     rules = F.create_map(*[F.lit(x) for s in STYLE_NAMES for x in (s, rule_of(s))])
-    df = (with_tokens(infer_samples)
+    names = {rule_of(s) for s in STYLE_NAMES}
+    df = (with_tokens(with_ranked(infer_samples, names, corpus))
           .withColumn("ratio", F.explode(F.array(*[F.lit(float(r)) for r in ratios])))
           .withColumn("config", F.explode(cfg)).join(demo_arr, GKEY, "left"))
     df = df.withColumn("answer_style", F.coalesce(F.get(F.col("demos"), F.lit(0))["text_style"], F.lit("loc-begin")))
     df = add_targets(df.withColumn("rule", rules[F.col("answer_style")]))
-    df = apply_rules(df, extractive=extractive_selection(df, infer_samples, corpus))
+    df = df.withColumn("compressed", compress_by(F.col("rule"), F.col("target"), F.col("ratio"), names)).drop("ranked")
     df = with_request(df.withColumn("style", F.concat(F.lit("for_"), F.col("task"))), "style", demos_col="demos")
     asked = df.where(F.col("demos").isNotNull()).select("request_id", F.col("answer_style").alias("style"), "compressed")
     return join_completions(df, completions_fn(asked) if completions_fn else standin_completions(asked))

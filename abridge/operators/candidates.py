@@ -1,8 +1,7 @@
 """Grid expansion and candidate generation.
 
-``grid_cross`` is an ``explode`` of literal arrays (ratios x methods), a
-narrow generator on each sample row: no join and no shuffle. Tokens of the
-original are computed once per sample before the explode.
+The grid (ratios x methods) is a literal array; a sample's candidates are one array computed from it, exploded
+last. Tokens of the original are computed once per sample; no grid row is ever shuffled.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from abridge.functions.tokens import n_tokens, rouge_tokens, target_tokens, ws_tokens
 from abridge.functions.metrics import token_ids
 from abridge.operators.catalog import BASELINE_RULE, STYLE_NAMES, STYLE_RULE
-from abridge.operators.compress import apply_rules, extractive_selection
+from abridge.operators.compress import compress_by, with_ranked
 
 
 def rule_of(method: str) -> str:
@@ -39,34 +38,46 @@ def with_tokens(samples: DataFrame) -> DataFrame:
             .withColumn("ref_ids", token_ids("ref_rt")))
 
 
-def grid_cross(samples: DataFrame, ratios, methods) -> DataFrame:
-    """``grid_cross``: every sample x ratio x method, with token budget columns."""
-    for m in methods:
-        rule_of(m)  # unknown names fail when the plan is built (Q9)
-    pairs = F.array(*[F.struct(F.lit(m).alias("style"), F.lit(rule_of(m)).alias("rule"))
-                      for m in methods])
-    return (with_tokens(samples)
-            .withColumn("ratio", F.explode(F.array(*[F.lit(float(r)) for r in ratios])))
-            .withColumn("m", F.explode(pairs))
-            .withColumn("style", F.col("m.style")).withColumn("rule", F.col("m.rule")).drop("m"))
+def add_targets(df: DataFrame) -> DataFrame:
+    """``target_tokens`` of each row's ratio."""
+    return df.withColumn("target", target_tokens("n_tok", "ratio"))
 
 
-def add_targets(df: DataFrame, min_one=True) -> DataFrame:
-    """``target_tokens`` (``min_one`` may be a bool or a boolean Column)."""
-    if isinstance(min_one, bool):
-        return df.withColumn("target", target_tokens("n_tok", "ratio", min_one))
-    return df.withColumn("target", F.when(min_one, target_tokens("n_tok", "ratio", True))
-                         .otherwise(target_tokens("n_tok", "ratio", False)))
+def grid_array(ratios, methods, floor0_methods=()) -> F.Column:
+    """``grid_cross``: ratio x method as a literal array (ratio, style, rule, min_one)."""
+    return F.array(*[F.struct(F.lit(float(r)).alias("ratio"), F.lit(m).alias("style"), F.lit(rule_of(m)).alias("rule"),
+                              F.lit(m not in floor0_methods).alias("min_one"))
+                     for r in ratios for m in methods])
 
 
-def candidates(samples: DataFrame, ratios, methods, seed: int = 42,
-               floor0_methods=("selective-context",), corpus: DataFrame | None = None) -> DataFrame:
-    """Rule candidates for the whole grid: one row per (task, sample_id, ratio, style).
+def _budget(ratio: F.Column, min_one: F.Column) -> F.Column:
+    return F.when(min_one, target_tokens("n_tok", ratio, True)).otherwise(target_tokens("n_tok", ratio, False))
+
 
-    ``corpus``: samples whose document frequencies drive the extractive rule
-    (default: ``samples`` themselves).
+def candidate_arrays(samples: DataFrame, ratios, methods, seed: int = 42,
+                     floor0_methods=("selective-context",), corpus: DataFrame | None = None) -> DataFrame:
+    """One row a sample: its columns, tokens, and ``grid``, the array of all its candidates.
+
+    No grid row is shuffled: what a rule needs is joined to the sample before. ``corpus``: samples whose document
+    frequencies drive the extractive rule (default: ``samples`` themselves).
     """
-    g = grid_cross(samples, ratios, methods)
-    g = add_targets(g, ~F.col("style").isin(list(floor0_methods)) if floor0_methods else True)
-    ext = extractive_selection(g, samples, corpus) if "extractive" in {rule_of(m) for m in methods} else None
-    return apply_rules(g, seed=seed, extractive=ext)
+    rules = {rule_of(m) for m in methods}
+    df = with_tokens(with_ranked(samples, rules, corpus))
+
+    def make(g: F.Column) -> F.Column:
+        t = _budget(g["ratio"], g["min_one"])
+        return F.struct(g["ratio"].alias("ratio"), g["style"].alias("style"), g["rule"].alias("rule"), t.alias("target"),
+                        compress_by(g["rule"], t, g["ratio"], rules, seed).alias("compressed"))
+
+    df = df.withColumn("grid", F.transform(grid_array(ratios, methods, floor0_methods), make))
+    return df.drop("ranked")
+
+
+def candidates(samples: DataFrame, ratios, methods, seed: int = 42,
+               floor0_methods=("selective-context",), corpus: DataFrame | None = None) -> DataFrame:
+    """Rule candidates for the whole grid: one row per (task, sample_id, ratio, style)."""
+    rules = {rule_of(m) for m in methods}
+    df = with_tokens(with_ranked(samples, rules, corpus))
+    df = df.withColumn("g", F.explode(grid_array(ratios, methods, floor0_methods))).select("*", "g.*").drop("g")
+    df = df.withColumn("target", _budget(F.col("ratio"), F.col("min_one"))).drop("min_one")
+    return df.withColumn("compressed", compress_by(F.col("rule"), F.col("target"), F.col("ratio"), rules, seed)).drop("ranked")

@@ -1,12 +1,9 @@
 """Rule compressors (text in, at most ``target`` whitespace tokens out).
 
-All row-local rules are one ``CASE`` over the ``rule`` column, so every
-(sample, ratio, style) candidate is produced in a single fused projection
-right after the grid explode. Only ``extractive`` needs corpus statistics
-(document frequency), computed once per sample and joined back.
-
-Input columns: ``prompt`` (text), ``tok`` (whitespace tokens), ``n_tok``,
-``target`` and ``rule``; output column ``compressed``.
+A rule is an expression of the budget over one sample row (``prompt``, ``tok``
+whitespace tokens, ``n_tok``), so a sample's whole grid of candidates is one array made in one
+projection. Only ``extractive`` needs corpus statistics (document frequency): its ranked sentences
+are joined to the sample once, before the grid.
 """
 
 from __future__ import annotations
@@ -27,107 +24,109 @@ STOP_WORDS = [
 SENT_SEP = r"\. "   # regex for the literal sentence separator ". "
 
 
-def _lit_array(values) -> str:
-    return "array(" + ", ".join("'" + v + "'" for v in values) + ")"
+def _int(c: Column) -> Column:
+    return c.cast("int")
+
+
+def _join(tokens: Column) -> Column:
+    return F.array_join(tokens, " ")
 
 
-def rule_prefix() -> Column:
-    return F.expr("array_join(slice(tok, 1, cast(target as int)), ' ')")
+def rule_prefix(t: Column) -> Column:
+    return _join(F.slice("tok", F.lit(1), _int(t)))
 
 
-def rule_middle() -> Column:
-    return F.expr("array_join(slice(tok, cast((n_tok - target) div 2 + 1 as int), cast(target as int)), ' ')")
+def rule_middle(t: Column) -> Column:
+    return _join(F.slice("tok", _int(F.floor((F.col("n_tok") - t) / 2) + 1), _int(t)))
 
 
-def rule_suffix() -> Column:
-    return F.expr("array_join(slice(tok, cast(n_tok - target + 1 as int), cast(target as int)), ' ')")
+def rule_suffix(t: Column) -> Column:
+    return _join(F.slice("tok", _int(F.col("n_tok") - t + 1), _int(t)))
 
 
-def rule_stride() -> Column:
+def rule_stride(t: Column) -> Column:
     """Even stride: token ``i*n div t`` for i in 0..t-1."""
-    return F.expr("array_join(transform(sequence(0L, target - 1), "
-                  "i -> element_at(tok, cast(i * n_tok div target + 1 as int))), ' ')")
+    return _join(F.transform(F.sequence(F.lit(0).cast("bigint"), t - 1),
+                             lambda i: F.get(F.col("tok"), _int(F.floor(i * F.col("n_tok") / t)))))
 
 
-def window_start(seed: int) -> Column:
-    """0-based start of the random window: md5 draw mod (n - t + 1)."""
+def rule_window(t: Column, ratio: Column, seed: int) -> Column:
+    """``comp_random_window``: contiguous window of ``target`` tokens at a seeded draw, md5 mod (n - t + 1)."""
     key = F.concat_ws("|", F.lit(str(seed)), F.col("task"), F.col("sample_id").cast("string"),
-                      F.round(F.col("ratio") * 1000).cast("bigint").cast("string"))
+                      F.round(ratio * 1000).cast("bigint").cast("string"))
     draw = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
-    return F.pmod(draw, F.col("n_tok") - F.col("target") + 1)
+    start = F.pmod(draw, F.col("n_tok") - t + 1)
+    return _join(F.slice("tok", _int(start + 1), _int(t)))
 
 
-def rule_window(seed: int) -> Column:
-    """``comp_random_window``: contiguous window of ``target`` tokens at a seeded draw."""
-    return F.array_join(F.slice(F.col("tok"), (window_start(seed) + 1).cast("int"),
-                                F.col("target").cast("int")), " ")
+def fitting(sizes: Column, t: Column) -> Column:
+    """How many leading entries fit: one ``aggregate`` pass over token counts, linear in sentences."""
+    acc0 = F.struct(F.lit(0).cast("bigint").alias("s"), F.lit(0).alias("k"), F.lit(True).alias("ok"))
+    return F.aggregate(
+        sizes, acc0,
+        lambda acc, c: F.when(acc["ok"] & (acc["s"] + c <= t),
+                              F.struct((acc["s"] + c).alias("s"), (acc["k"] + 1).alias("k"), F.lit(True).alias("ok")))
+                        .otherwise(F.struct(acc["s"].alias("s"), acc["k"].alias("k"), F.lit(False).alias("ok"))),
+        lambda acc: acc["k"])
+
 
+def _sentences_text(sents: Column, k: Column) -> Column:
+    return F.trim(F.when(k > 0, F.concat(F.array_join(sents, ". "), F.lit(". "))).otherwise(F.lit("")), F.lit(WS_CHARS))
 
-def rule_sentences() -> Column:
+
+def rule_sentences(t: Column) -> Column:
     """``comp_sentences``: leading sentences while the running token total fits.
 
     Every kept sentence is followed by ". " and the result is stripped, so a
     text kept whole ends in ".." when it already ended with a dot (Q18).
-    The running total is one ``aggregate`` pass (linear in sentences).
     """
     sents = F.split(F.col("prompt"), SENT_SEP)
-    counts = F.transform(sents, lambda s: F.size(ws_tokens(s)).cast("bigint"))
-    acc0 = F.struct(F.lit(0).cast("bigint").alias("s"), F.lit(0).alias("k"), F.lit(True).alias("ok"))
-    fit = F.aggregate(
-        counts, acc0,
-        lambda acc, c: F.when(acc["ok"] & (acc["s"] + c <= F.col("target")),
-                              F.struct((acc["s"] + c).alias("s"), (acc["k"] + 1).alias("k"),
-                                       F.lit(True).alias("ok")))
-                       .otherwise(F.struct(acc["s"].alias("s"), acc["k"].alias("k"),
-                                           F.lit(False).alias("ok"))))
-    k = fit["k"]
-    kept = F.array_join(F.slice(sents, F.lit(1), k), ". ")
-    return F.trim(F.when(k > 0, F.concat(kept, F.lit(". "))).otherwise(F.lit("")), F.lit(WS_CHARS))
-
-
-def rule_lines() -> Column:
+    k = fitting(F.transform(sents, lambda s: F.size(ws_tokens(s)).cast("bigint")), t)
+    return _sentences_text(F.slice(sents, F.lit(1), k), k)
+
+
+def rule_lines(t: Column) -> Column:
     """Format-aware: every line keeps its first ``floor(len*t/n)`` tokens; line breaks stay."""
-    return F.expr(
-        "array_join(filter(transform(split(prompt, '\\n'), line -> "
-        "array_join(slice(regexp_extract_all(line, '\\\\S+', 0), 1, "
-        "cast(size(regexp_extract_all(line, '\\\\S+', 0)) * target div n_tok as int)), ' ')), "
-        "x -> x != ''), '\\n')")
+    cut = lambda w: _join(F.slice(w, F.lit(1), _int(F.floor(F.size(w) * t / F.col("n_tok")))))
+    lines = F.transform(F.split("prompt", "\n"), lambda line: cut(ws_tokens(line)))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
-def rule_abbrev() -> Column:
+def abbreviated(tok) -> Column:
+    """Tokens without stop words and without inner vowels of longer words."""
+    n = lambda w: F.char_length(w)
+    inner = lambda w: F.regexp_replace(F.substr(w, F.lit(2), n(w) - 2), "[aeiouAEIOU]", "")
+    return F.transform(F.filter(tok, lambda w: ~F.lower(w).isin(STOP_WORDS)),
+                       lambda w: F.when(n(w) > 2, F.concat(F.substring(w, 1, 1), inner(w), F.substr(w, n(w), F.lit(1))))
+                       .otherwise(w))
+
+
+def rule_abbrev(t: Column) -> Column:
     """Unreadable: drop stop words, drop inner vowels of longer words, keep ``target`` tokens."""
-    stop = _lit_array(STOP_WORDS)
-    return F.expr(
-        "array_join(slice(transform(filter(tok, w -> NOT array_contains(" + stop + ", lower(w))), "
-        "w -> CASE WHEN char_length(w) > 2 THEN concat(substring(w, 1, 1), "
-        "regexp_replace(substring(w, 2, char_length(w) - 2), '[aeiouAEIOU]', ''), "
-        "substring(w, char_length(w), 1)) ELSE w END), 1, cast(target as int)), ' ')")
+    return _join(F.slice(abbreviated("tok"), F.lit(1), _int(t)))
+
+
+def rule_extractive(t: Column) -> Column:
+    """``comp_extractive``: best-ranked sentences while the budget lasts, original order (``ranked`` per sample)."""
+    k = fitting(F.transform("ranked", lambda x: x["ntok"]), t)
+    chosen = F.sort_array(F.transform(F.slice("ranked", F.lit(1), k),
+                                      lambda x: F.struct(x["pos"].alias("pos"), x["sent"].alias("sent"))))
+    return _sentences_text(F.transform(chosen, lambda x: x["sent"]), k)
 
 
-def apply_rules(df: DataFrame, seed: int = 42, extractive: DataFrame | None = None) -> DataFrame:
-    """Add ``compressed`` for every row from its ``rule``.
+def compress_by(rule: Column, t: Column, ratio: Column, rules, seed: int = 42) -> Column:
+    """The candidate text for ``rule`` and budget ``t`` of a sample row (prompt, tok, n_tok, task, sample_id, ranked).
 
     A text that already fits its budget is kept whole, except by the sentence
-    rules, which always re-join their sentences with ". ".
-    ``extractive`` (from :func:`extractive_selection`) supplies that rule.
+    rules, which always re-join their sentences with ". ". ``rules``: the rules that can occur.
     """
-    if extractive is not None:
-        df = df.join(extractive, ["task", "sample_id", "ratio"], "left")
-    else:
-        df = df.withColumn("extractive_text", F.lit(None).cast("string"))
-    r = F.col("rule")
-    fits = (F.col("n_tok") <= F.col("target")) & ~r.isin("sentences", "extractive")
-    comp = (F.when(fits, F.col("prompt"))
-            .when(r == "prefix", rule_prefix())
-            .when(r == "middle", rule_middle())
-            .when(r == "suffix", rule_suffix())
-            .when(r == "stride", rule_stride())
-            .when(r == "window", rule_window(seed))
-            .when(r == "sentences", rule_sentences())
-            .when(r == "lines", rule_lines())
-            .when(r == "abbrev", rule_abbrev())
-            .when(r == "extractive", F.col("extractive_text")))
-    return df.withColumn("compressed", comp).drop("extractive_text")
+    make = {"prefix": rule_prefix, "middle": rule_middle, "suffix": rule_suffix, "stride": rule_stride,
+            "window": lambda t: rule_window(t, ratio, seed), "sentences": rule_sentences, "lines": rule_lines,
+            "abbrev": rule_abbrev, "extractive": rule_extractive}
+    out = F.when((F.col("n_tok") <= t) & ~rule.isin("sentences", "extractive"), F.col("prompt"))
+    for name in sorted(set(rules)):
+        out = out.when(rule == name, make[name](t))
+    return out
 
 
 def sentence_scores(samples: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
@@ -162,27 +161,9 @@ def sentence_scores(samples: DataFrame, corpus: DataFrame | None = None) -> Data
             .agg(F.sort_array(F.collect_list("s")).alias("ranked")))
 
 
-def extractive_selection(cands: DataFrame, samples: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
-    """``comp_extractive``: best-ranked sentences while the budget lasts, original order.
-
-    Document frequencies come from ``corpus`` (default: ``samples``).
-    Returns ``task, sample_id, ratio, extractive_text``.
-    """
-    keys = cands.where(F.col("rule") == "extractive").select(
-        "task", "sample_id", "ratio", "target").distinct()
-    ranked = sentence_scores(samples.join(keys.select("task", "sample_id").distinct(),
-                                          ["task", "sample_id"], "left_semi"), corpus)
-    j = keys.join(ranked, ["task", "sample_id"])
-    acc0 = F.struct(F.lit(0).cast("bigint").alias("s"), F.lit(0).alias("k"), F.lit(True).alias("ok"))
-    fit = F.aggregate(
-        F.col("ranked"), acc0,
-        lambda acc, x: F.when(acc["ok"] & (acc["s"] + x["ntok"] <= F.col("target")),
-                              F.struct((acc["s"] + x["ntok"]).alias("s"), (acc["k"] + 1).alias("k"),
-                                       F.lit(True).alias("ok")))
-                       .otherwise(F.struct(acc["s"].alias("s"), acc["k"].alias("k"),
-                                           F.lit(False).alias("ok"))))
-    chosen = F.sort_array(F.transform(F.slice(F.col("ranked"), F.lit(1), fit["k"]),
-                                      lambda x: F.struct(x["pos"].alias("pos"), x["sent"].alias("sent"))))
-    text = F.array_join(F.transform(chosen, lambda x: x["sent"]), ". ")
-    out = F.trim(F.when(fit["k"] > 0, F.concat(text, F.lit(". "))).otherwise(F.lit("")), F.lit(WS_CHARS))
-    return j.select("task", "sample_id", "ratio", out.alias("extractive_text"))
+def with_ranked(samples: DataFrame, rules, corpus: DataFrame | None = None) -> DataFrame:
+    """Add ``ranked`` where a rule needs it: one join on the sample key, before any grid row exists."""
+    if "extractive" not in rules:
+        return samples
+    ranked = sentence_scores(samples, corpus)
+    return samples.join(ranked, ["task", "sample_id"], "left")

@@ -80,10 +80,16 @@ def standin_completions(cands_with_requests: DataFrame) -> DataFrame:
 def join_completions(requests: DataFrame, completions: DataFrame, kind: str = "style") -> DataFrame:
     """Left-join responses, parse, truncate to ``target``; prefix fallback when missing.
 
-    Adds ``compressed`` and ``source`` (``completion`` / ``fallback``).
+    Adds ``compressed`` and ``source`` (``completion`` / ``fallback``). Only request ids and responses are dealt out by
+    request; a sample's answers (at most one for each of its requests) come back to it as a map, so no prompt moves for it.
     """
     parse = PARSERS[kind]
-    j = requests.drop("compressed").join(completions, "request_id", "left")
+    keys = ["task", "sample_id"]
+    ids = requests.select(*keys, "request_id").where(F.col("request_id").isNotNull()).distinct()
+    said = (ids.join(completions, "request_id").groupBy(*keys)
+            .agg(F.map_from_entries(F.collect_list(F.struct("request_id", "response"))).alias("_said")))
+    j = requests.drop("compressed").join(said, keys, "left")
+    j = j.withColumn("response", F.col("_said")[F.col("request_id")]).drop("_said")
     parsed = parse(F.col("response"))
     ptok = ws_tokens(parsed)
     from_model = truncate_tokens(parsed, ptok, F.col("target"))

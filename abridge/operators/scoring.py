@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from abridge.functions.metrics import exact_match, finish_rouge, rouge_columns, token_f1
+from abridge.functions.metrics import exact_match, finish_rouge, overlaps, rouge_columns, token_f1, token_ids
 from abridge.functions.tokens import rouge_tokens
 from abridge.sources.samples import final_answer
 
@@ -40,7 +40,33 @@ def score(cands: DataFrame, text_col: str = "compressed", compat_self_summary: b
     else:
         cols = rouge_columns(rouge_tokens(ref_text), rouge_tokens(cand_text))
     df = cands.select("*", *cols)
-    df = finish_rouge(df)
+    return _task_metrics(finish_rouge(df), pred)
+
+
+def score_arrays(df: DataFrame) -> DataFrame:
+    """Score the ``grid`` of :func:`~abridge.operators.candidates.candidate_arrays`: one row a candidate.
+
+    A sample's candidates are scored in one call, its reference is sent once, and only then the array is exploded.
+    A candidate made of the prompt's tokens in order (every rule but the abbreviations) is a subsequence of the prompt.
+    """
+    task = F.col("task")
+    rouge = task.isin(*ROUGE_TASKS)
+    ids = F.transform("grid", lambda g: F.when(rouge, token_ids(rouge_tokens(g["compressed"]))))
+    sub = F.transform("grid", lambda g: (task == "reconstruction") & (g["rule"] != "abbrev"))
+    df = df.withColumn("_ids", ids)
+    df = df.withColumn("_ov", overlaps(F.when(rouge, F.col("ref_ids")), "_ids", sub))
+    rows = F.zip_with("grid", F.zip_with("_ids", F.coalesce("_ov", F.array().cast(df.schema["_ov"].dataType)), lambda i, o: F.struct(
+        F.size(i).cast("bigint").alias("n_cand"), o.alias("ov"))), lambda g, o: F.struct(g.alias("g"), o.alias("o")))
+    df = df.withColumn("n_ref", F.when(rouge, F.size("ref_rt").cast("bigint"))).withColumn("n_ref", F.when(F.col("n_ref") >= 0, F.col("n_ref")))
+    df = df.withColumn("_r", F.explode(rows)).drop("grid", "_ids", "_ov", "ref_ids", "ref_rt")
+    df = df.select("*", "_r.g.*", F.col("_r.o.ov").alias("ov"), F.when(rouge, F.col("_r.o.n_cand")).alias("n_cand")).drop("_r")
+    zero = F.lit(0).cast("bigint")
+    df = df.withColumns({"n_ref2": F.greatest(F.col("n_ref") - 1, zero), "n_cand2": F.greatest(F.col("n_cand") - 1, zero)})
+    return _task_metrics(finish_rouge(df), F.col("pred") if "pred" in df.columns else F.col("compressed"))
+
+
+def _task_metrics(df: DataFrame, pred) -> DataFrame:
+    task = F.col("task")
     rouge_ok = task.isin(*ROUGE_TASKS) & F.col("n_ref").isNotNull()
     for m in ("rouge1", "rouge2", "rougeL", "bertscore"):
         df = df.withColumn(m, F.when(rouge_ok, F.col(m)))

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from abridge.operators.candidates import candidates
+from abridge.operators.candidates import candidate_arrays
 from abridge.operators.catalog import TASK_METRICS
-from abridge.operators.scoring import score
+from abridge.operators.scoring import score_arrays
 
 METRIC_COLS = ["rouge1", "rouge2", "rougeL", "bertscore", "em", "f1"]
 
 
 def scored_grid(samples: DataFrame, ratios, methods, seed: int = 42, corpus: DataFrame | None = None) -> DataFrame:
     """Candidates for every (sample, ratio, method) with all task metrics."""
-    return score(candidates(samples, ratios, methods, seed=seed, corpus=corpus))
+    return score_arrays(candidate_arrays(samples, ratios, methods, seed=seed, corpus=corpus))
 
 
 def to_long(scored: DataFrame, keys=("ratio", "task", "style")) -> DataFrame:
