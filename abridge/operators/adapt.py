@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from abridge.operators.catalog import STYLE_NAMES, TASK_SETTINGS
 from abridge.session import cut_lineage
+from abridge.sources.prep import cap_per_group
 
 GKEY = ["config", "task", "ratio", "grp"]
 N_STYLES = len(STYLE_NAMES)
@@ -57,12 +58,12 @@ def adapt_infer_split(samples: DataFrame, adapt_size: int, keys=("task", "grp"))
 
     The first ``adapt_size`` rows of a group (by sample_id) adapt, the rest
     infer; a group smaller than ``adapt_size`` uses all rows for both. The
-    top-``adapt_size`` window is limited map-side (WindowGroupLimit) and the
-    group size is a partial aggregate, so a hot group never sorts whole.
+    first rows are found in two steps and the group size is a partial
+    aggregate, so a hot group never sorts whole.
     """
     w = Window.partitionBy(*keys).orderBy("sample_id")
-    head = (samples.select(*keys, "sample_id").withColumn("pos", F.row_number().over(w) - 1)
-            .where(F.col("pos") < adapt_size))
+    head = cap_per_group(samples.select(*keys, "sample_id"), keys, ["sample_id"], adapt_size)
+    head = head.withColumn("pos", F.row_number().over(w) - 1)
     sizes = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_n"))
     out = (samples.join(head, [*keys, "sample_id"], "left").join(sizes, list(keys)))
     small = F.col("group_n") < adapt_size

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,16 +25,28 @@ def split_sample(df: DataFrame, key: str, seed: int = 42, test_n: int = 200,
             .withColumn("in_adapt", F.col("position").between(adapt_from, adapt_to)))
 
 
+GROUP_BUCKETS = 64
+
+
+def first_per_group(df: DataFrame, keys, by: list[str], order: list[Column], n: int) -> DataFrame:
+    """First ``n`` rows of each group, in two steps: of each hash bucket of a group, then of the group.
+
+    A hot group is dealt over the buckets, so its last step sees at most ``GROUP_BUCKETS * n`` rows.
+    """
+    df = df.withColumn("_b", F.pmod(F.xxhash64(*by), F.lit(GROUP_BUCKETS)))
+    for part in ([*keys, "_b"], list(keys)):
+        df = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*part).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn")
+    return df.drop("_b")
+
+
 def cap_per_group(df: DataFrame, keys, order, n: int) -> DataFrame:
-    """``cap_samples``: first ``n`` rows per group (map-side WindowGroupLimit)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).drop("rn")
+    """``cap_samples``: first ``n`` rows per group."""
+    return first_per_group(df, keys, list(order), [F.col(c) for c in order], n)
 
 
 def tail_per_group(df: DataFrame, keys, order_col: str, n: int = 2) -> DataFrame:
     """``tail_rows``: last ``n`` rows per group."""
-    w = Window.partitionBy(*keys).orderBy(F.col(order_col).desc())
-    return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).drop("rn")
+    return first_per_group(df, keys, [order_col], [F.col(order_col).desc()], n)
 
 
 def min_rows_filter(df: DataFrame, keys, minimum: int = 12) -> DataFrame:
