@@ -57,7 +57,8 @@ def _metrics() -> dict[str, Column]:
         "symbol_ratio": F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)),
         "mean_word_length": F.col("word_chars") / n,
         "stop_word_ratio": F.col("n_stop_words") / n,
-        "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
+        # Two repeats are let pass, so that a text of a few lines is not judged by one of them.
+        "dup_line_ratio": F.greatest(F.col("n_dup_lines") - 2, F.lit(0)) / F.greatest(F.col("n_lines"), F.lit(1)),
         "exclaim_ratio": F.col("n_exclaims") / n,
     }
 

@@ -116,7 +116,7 @@ def _rule_sql(rules) -> str:
         "symbol_ratio": "(n_symbols / greatest(word_chars, 1)::DOUBLE)",
         "mean_word_length": "(word_chars / greatest(n_words, 1)::DOUBLE)",
         "stop_word_ratio": "(n_stop_words / greatest(n_words, 1)::DOUBLE)",
-        "dup_line_ratio": "(n_dup_lines / greatest(n_lines, 1)::DOUBLE)",
+        "dup_line_ratio": "(greatest(n_dup_lines - 2, 0) / greatest(n_lines, 1)::DOUBLE)",
         "exclaim_ratio": "(n_exclaims / greatest(n_words, 1)::DOUBLE)",
     }
     tests = []
