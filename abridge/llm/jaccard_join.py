@@ -210,15 +210,12 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alike = rows.where("signature is not null").groupBy("signature").agg(F.min("doc_id").alias("rep"),
                                                                          F.count(F.lit(1)).alias("copies"))
     alike = scratch.store(alike, "alike")
-    reps = (rows.where("signature is not null").join(alike.select(F.col("signature").alias("_s"), "rep"),
-                                                     (F.col("doc_id") == F.col("rep")) & (F.col("signature") == F.col("_s")))
-            .select("rep", "n", "grams", "prefix"))
-    reps = scratch.store(reps, "reps")
-    links = _family_links(reps, scratch, percent)
-    # Repeated ids with different sets: rows of one id are one class.
-    edges = (links.unionByName(reps.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
-             .unionByName(rows.where("signature is not null").join(alike, "signature")
-                          .where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
+    reps = alike.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    heads = rows.where("signature is not null").join(alike.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
+    links = _family_links(heads.withColumnRenamed("doc_id", "rep").drop("signature"), scratch, percent)
+    # Rows with the set of their representative are linked with it.
+    copies = rows.select("doc_id", "signature").join(alike.where("copies > 1"), "signature").where("doc_id <> rep")
+    edges = links.unionByName(reps).unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     classes = connected_components(edges, scratch, "classes")
     done = rows.select("doc_id", F.col("n").alias("n_shingles")).join(classes, F.col("doc_id") == F.col("node"), "left")
     done = done.select(B.least_as_null(F.col("doc_id")).alias("doc_id"), "n_shingles",
@@ -229,7 +226,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _family_links(reps: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Links (a, b) between representatives that span the classes; reps: (rep, n, grams, prefix, row)."""
+    """Links (a, b) between representatives that span the classes; reps: (rep, n, grams, prefix).
+
+    The sets are dealt out twice: to the family of their row, and with it to a task.
+    """
     spark = reps.sparkSession
     post = reps.select("rep", F.explode("prefix").alias("gram"))
     low = post.groupBy("gram").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
