@@ -15,7 +15,7 @@ from abridge.llm.common import Scratch, text_of
 
 CAPACITY = 1024
 END_ID = 2
-RANK_ROWS = 20_000      # pieces of one length that are ranked together
+RANK_ROWS = 2_000  # pieces of one length that are ranked together
 
 # How the byte-level tokenizer parts a text before it merges (fixed value).
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
