@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,6 +20,10 @@ RANK_ROWS = 2_000  # pieces of one length that are ranked together
 
 # How the byte-level tokenizer parts a text before it merges (fixed value).
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# tiktoken's engine keeps a place to return to for each character of a run of white space and fails at 1,000,000.
+# Longer runs than this are parted here; the class is that of its \s, which is not Python's.
+LONG_RUN = 1 << 16
+BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 
 
 class Encoder:
@@ -40,6 +45,16 @@ class Encoder:
         self.encoding = tiktoken.Encoding("byte-level", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
+        """A run of white space is one part but for its last character, which goes with what follows (PARTS)."""
+        out, at = [], 0
+        for run in BLANKS.finditer(text) if len(text) >= LONG_RUN else ():
+            stop = run.end() - (run.end() < len(text))
+            out.append(self._merge(text[at:run.start()]))
+            out.append(np.array(self.encoding._core_bpe.encode_single_piece(text[run.start():stop].encode()), "<u4").tobytes())
+            at = stop
+        return b"".join([*out, self._merge(text[at:])])
+
+    def _merge(self, text: str) -> bytes:
         return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 

@@ -66,6 +66,19 @@ def test_encoder_equals_the_tokenizer(tokenizer):
     assert [np.frombuffer(enc.encode(x), "<u4").tolist() for x in texts] == [e.ids for e in t.encode_batch(texts)]
 
 
+def test_encoder_takes_white_space_of_any_length(tokenizer):
+    from tokenizers import Tokenizer
+
+    from abridge.llm.packing import LONG_RUN, Encoder
+    t, enc = Tokenizer.from_file(tokenizer), Encoder(tokenizer)
+    texts = ["a" + " " * 3_000_000 + "b", "a" + "\n" * 3_000_000, "\n" * 1_500_000 + "x"]
+    for n in (LONG_RUN - 1, LONG_RUN, LONG_RUN + 1):
+        for run in (" " * n, "\n" * n, " \n\t\u3000" * (n // 4 + 1), "\x1c" * n, "\x85\u2028\xa0" * n):
+            texts += [run, "a" + run + "b", run + "'s", "a." + run + "\x1c" + run + "1 " + run]
+    for x in texts:
+        assert np.frombuffer(enc.encode(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+
+
 def test_best_fit_plan():
     from abridge.llm.packing import best_fit_plan
     rng = np.random.default_rng(3)
