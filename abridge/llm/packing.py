@@ -27,12 +27,14 @@ BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit bytes, special tokens' strings being ordinary text.
+    """Ids of texts as little-endian 32-bit bytes, those of the file's ``Tokenizer.encode(text, add_special_tokens=False)``.
 
     The vocabulary is the tokenizer file's; it is merged by tiktoken, which gives the same ids several times faster.
+    With ``added`` the strings of added tokens give these tokens' ids; without, they are ordinary text, as with the
+    tokenizer's ``encode_special_tokens``.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import tiktoken
         from tokenizers import Tokenizer
         # A byte-level vocabulary writes bytes that do not print as the characters from 256 on.
@@ -40,11 +42,25 @@ class Encoder:
         letters = {chr(b): b for b in plain}
         letters |= {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
         tokenizer = Tokenizer.from_file(path)
-        special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+        tokens = tokenizer.get_added_tokens_decoder()
+        special = {t.content for t in tokens.values()}
         ranks = {bytes(map(letters.__getitem__, token)): i for token, i in tokenizer.get_vocab().items() if token not in special}
         self.encoding = tiktoken.Encoding("byte-level", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={})
+        self.added = {t.content: np.array([i], "<u4").tobytes() for i, t in tokens.items()} if added else {}
+        # Added tokens that take blanks with them or stand for whole words only are left to the tokenizer.
+        self.tokenizer = tokenizer if any(t.lstrip or t.rstrip or t.single_word for t in tokens.values()) else None
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.added else None
 
     def encode(self, text: str) -> bytes:
+        if self.cut is None:
+            return self._plain(text)
+        if self.tokenizer is not None and self.cut.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        parts = self.cut.split(text)  # the file's tokenizer takes added tokens out before it parts a text
+        return b"".join(self.added[x] if i % 2 else self._plain(x) for i, x in enumerate(parts))
+
+    def _plain(self, text: str) -> bytes:
         """A run of white space is one part but for its last character, which goes with what follows (PARTS)."""
         out, at = [], 0
         for run in BLANKS.finditer(text) if len(text) >= LONG_RUN else ():
@@ -60,7 +76,7 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return Encoder(path, added=True)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",

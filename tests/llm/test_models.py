@@ -79,6 +79,21 @@ def test_encoder_takes_white_space_of_any_length(tokenizer):
         assert np.frombuffer(enc.encode(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def test_added_tokens_have_their_ids(spark, tokenizer):
+    from tokenizers import Tokenizer
+
+    from abridge.llm.packing import encoder, pack_documents
+    t, end = Tokenizer.from_file(tokenizer), "<|endoftext|>"
+    texts = [f"a {end} b", end, end * 3, f"{end}\n {end}  x", f"x  {end}'s", "<|endoftext|", f"<|<|endoftext|>|>{end}",
+             "plain  text\n", "", f"a{' ' * 70_000}{end}{' ' * 70_000}b", "<|ENDOFTEXT|>"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [np.frombuffer(encoder(tokenizer).encode(x), "<u4").tolist() for x in texts] == want
+    d = spark.createDataFrame(list(enumerate(texts[:9])), "doc_id long, text string")
+    assert {r["doc_id"]: r["ids"] for r in pack_documents(d, tokenizer, with_ids=True).collect()} == {
+        i: x + [2] for i, x in enumerate(want[:9])}
+
+
 def test_best_fit_plan():
     from abridge.llm.packing import best_fit_plan
     rng = np.random.default_rng(3)
