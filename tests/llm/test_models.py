@@ -162,6 +162,28 @@ def test_language_model(docs, rows, clashing, no_docs, monkeypatch, hot_share):
     assert M.score_documents(no_docs, expr).count() == 0
 
 
+@pytest.mark.parametrize("dictionary", [None, 8])
+def test_production_model_counts_trigrams(docs, rows, monkeypatch, dictionary):
+    """The registered order, with all frequent words in the dictionary and with nearly none."""
+    from abridge.llm import ngram_lm as M
+    if dictionary:
+        monkeypatch.setattr(M, "DICTIONARY", dictionary)
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    want = brute_model([(r[0], r[1]) for r in rows], held, 3)
+    expr = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    for r in M.score_documents(docs, expr).collect():
+        assert r["score"] == pytest.approx(want[r["doc_id"]][5], abs=3 * r["n_tokens"] / M.STEP)
+
+
+def test_columns_round_trip():
+    from abridge.llm.ngram_lm import expand_columns, squeeze_columns
+    rng = np.random.default_rng(2)
+    for n, top in ((0, 1), (1, 1 << 32), (1000, 5), (1000, 1 << 20), (1000, 1 << 32)):
+        rows = sorted(map(tuple, rng.integers(0, top, (n, 3)).tolist()))
+        cols = [np.array([r[i] for r in rows], np.int64) for i in range(3)]
+        assert all((a == b).all() for a, b in zip(expand_columns(squeeze_columns(cols), 3), cols, strict=True))
+
+
 def test_split_contexts_are_found(docs, monkeypatch):
     """Every context counts as hot: the scores above hold with all of them split."""
     from abridge.llm import ngram_lm as M
