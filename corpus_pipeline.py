@@ -33,10 +33,20 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup(docs, keep="max").where("kept").select(*docs.columns)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each row. ``docs`` is a stored table: each read of it gives the same numbers."""
+    return docs.withColumn("_row", F.monotonically_increasing_id())
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one with the smallest id."""
-    gone = jaccard_classes(docs, k=SHINGLE, percent=PERCENT).where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each class of near duplicates: the one with the smallest id (null last), of equal ids the first row."""
+    keyed = numbered(docs)
+    classes = jaccard_classes(keyed, id_col="_row", k=SHINGLE, percent=PERCENT)
+    rows = classes.select(F.col("doc_id").alias("_row"), "component_id").join(keyed.select("_row", "doc_id"), "_row")
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row"))["_row"]
+    heads = rows.groupBy("component_id").agg(head.alias("_head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = rows.join(heads, "component_id").where("_row <> _head").select("_row")
+    return keyed.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

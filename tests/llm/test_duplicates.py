@@ -138,3 +138,18 @@ def test_difference_cover(r):
     v, d = difference_cover(r)
     assert len({(int(a) - int(b)) % v for a in d for b in d}) == v and d.max() < v
     assert cover_for(400)[0] <= 200
+
+
+def test_pipeline_near_dedup_leaves_one_row_of_each_class(spark):
+    from corpus_pipeline import near_dedup
+    a, b = "a b c d e f g h i j k l m n o p", "q r s t u v w x y z 1 2 3 4 5 6"
+    near = a + " " + a.replace("p", "p2")
+    rows = [(5, a), (5, b), (6, b.upper()), (4, a.upper()), (None, "lone words here"), (None, near), (None, near.upper()),
+            (9, near + " end"), (None, None), (None, "q q q q q q"), (None, "Q q q q q q"), (7, b)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    d.count()
+    got = near_dedup(spark, d, "")
+    assert got.columns == d.columns
+    kept = sorted(((i, (t or "").lower()) for i, t in got.collect()), key=str)
+    assert kept == sorted([(4, a), (5, b), (None, "lone words here"), (9, near + " end"), (None, ""), (None, "q q q q q q")],
+                          key=str)
