@@ -44,14 +44,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if digest:
         marked = marked.withColumn("text_sha256", F.sha2(F.col("_norm").cast("binary"), 256))
     if hot is not None:
-        heads = (marked.where((F.col("_salt") > 0) & (F.col(id_col) == F.col("keep_id")))
-                 .groupBy("_norm", "_salt").agg(F.first("keep_id").alias("_head"), F.first("group_size").alias("_n")))
+        heads = (marked.where((F.col("_salt") > 0) & F.col(id_col).eqNullSafe(F.col("keep_id")))
+                 .groupBy("_norm", "_hash", "_salt").agg(F.first("keep_id").alias("_head"), F.first("group_size").alias("_n")))
         whole = Window.partitionBy("_norm")
-        heads = heads.select("_head", pick("_head").over(whole).alias("_keep"), F.sum("_n").over(whole).alias("_size"))
-        marked = marked.withColumn("_head", F.when(F.col("_salt") > 0, F.col("keep_id")))
-        marked = (marked.join(heads, "_head", "left")
+        # Texts may share ids and so salts: a range is told by its text's hash, its salt and its head (null for null ids).
+        heads = heads.select(F.col("_hash").alias("_h"), F.col("_salt").alias("_s"), "_head",
+                             pick("_head").over(whole).alias("_keep"), F.sum("_n").over(whole).alias("_size"))
+        same = ((F.col("_hash") == F.col("_h")) & (F.col("_salt") == F.col("_s"))
+                & F.col("keep_id").eqNullSafe(F.col("_head")))
+        marked = (marked.join(heads, same, "left")
                   .withColumns({"keep_id": F.coalesce("_keep", "keep_id"),
                                 "group_size": F.coalesce("_size", "group_size")})
-                  .drop("_head", "_keep", "_size"))
+                  .drop("_h", "_s", "_head", "_keep", "_size"))
     return (marked.withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
             .drop("_norm", "_prefix", "_hash", "_salt"))

@@ -70,6 +70,20 @@ def test_exact_dedup_spreads_a_hot_text(spark):
     assert got.count() == 20_000
 
 
+@pytest.mark.parametrize("keep", ["min", "max"])
+def test_exact_dedup_of_hot_texts_that_share_ids(spark, keep):
+    """Two hot texts with the same ids, null ids among them: the same rows as below the hot limit."""
+    from abridge.llm.exact_dedup import exact_dedup
+    ids = F.when(F.col("id") % 50 != 0, F.col("id") % 4_000).alias("doc_id")
+    d = spark.range(8_000).select(ids, F.when(F.col("id") < 4_000, "hot TEXT").otherwise("Hot edited text").alias("text"))
+    got = exact_dedup(d, keep=keep)
+    want = 1 if keep == "min" else 3_999
+    assert [tuple(r) for r in got.groupBy("text").agg(
+        F.count(F.lit(1)), F.min("keep_id"), F.max("keep_id"), F.count("keep_id"), F.min("group_size"), F.max("group_size"),
+        F.sum(F.col("kept").cast("int"))).orderBy("text").collect()] == [
+            (t, 4_000, want, want, 4_000, 4_000, 4_000, 1) for t in ("Hot edited text", "hot TEXT")]
+
+
 TURNS = [
     (1, 0, "system", "be brief"), (1, 1, "user", "hi </s>\n & &amp; [x] <s>[user]\n"), (1, 2, "assistant", "A&lt;B"),
     (1, 3, "user", None), (1, 4, "assistant", ""), (1, 5, "assistant", "again\n"), (1, 6, "user", "tail"),
