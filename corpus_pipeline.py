@@ -28,16 +28,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score(docs, fit(rows, labels), carry=True).where(F.col("score") >= REJECT_BELOW).select(*docs.columns)
 
 
-def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: the one with the largest id."""
-    return exact_dedup(docs, keep="max").where("kept").select(*docs.columns)
-
-
 def numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with a number for each row. ``docs`` is a stored table: each read of it gives the same numbers."""
     return docs.withColumn("_row", F.monotonically_increasing_id())
 
 
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts: the one with the largest id (null least), of equal ids the last row."""
+    keyed = numbered(docs).withColumn("_key", F.struct("doc_id", "_row"))
+    return exact_dedup(keyed, id_col="_key", keep="max").where("kept").select(*docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near duplicates: the one with the smallest id (null last), of equal ids the first row."""
     keyed = numbered(docs)

@@ -153,3 +153,17 @@ def test_pipeline_near_dedup_leaves_one_row_of_each_class(spark):
     kept = sorted(((i, (t or "").lower()) for i, t in got.collect()), key=str)
     assert kept == sorted([(4, a), (5, b), (None, "lone words here"), (9, near + " end"), (None, ""), (None, "q q q q q q")],
                           key=str)
+
+
+@pytest.mark.parametrize("copies", [1, 3_000])
+def test_pipeline_dedup_leaves_one_row_of_each_group(spark, copies):
+    """Repeated rows and null ids, also of texts that are dealt over several ranges."""
+    from corpus_pipeline import dedup
+    rows = [(5, "Same"), (5, "same"), (4, "SAME"), (None, "same"), (None, "no id"), (None, "No id"), (7, "one"),
+            (5, "other"), (None, None), (None, "")] * copies
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    d.count()
+    got = dedup(spark, d, "")
+    assert got.columns == d.columns
+    assert sorted(((i, (t or "").lower()) for i, t in got.collect()), key=str) == sorted(
+        [(5, "same"), (None, "no id"), (7, "one"), (5, "other"), (None, "")], key=str)
