@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # A word is a run without the six ASCII space characters.
@@ -57,7 +57,7 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def store_bucketed(self, df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+    def store_bucketed(self, df: DataFrame, name: str, key: str | list[str], n: int) -> DataFrame:
         """Store ``df`` bucketed by ``key``: joins and groupings on it need no shuffle of the table."""
         table = f"{name}_{uuid.uuid4().hex}"
         (df.write.bucketBy(n, key).option("path", f"{self.folder}/{name}").option("compression", "zstd")
@@ -73,9 +73,19 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def result_table(df: DataFrame, name: str) -> DataFrame:
-    """Write a finished result to the shared folder and read it back."""
-    return Scratch(df.sparkSession, name).store(df, "result")
+def numbered(df: DataFrame, order: list[str], scratch: Scratch, name: str, col: str = "at") -> DataFrame:
+    """``df`` with its places from 0 in the order of the columns ``order``, without a sort in one task.
+
+    The rows are sorted by ranges and stored; the sizes of the sorted parts (one row a partition) shift them.
+    """
+    rows = scratch.store(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), name)
+    part = rows.withColumn("_part", F.shiftright("_at", 33))
+    sizes = part.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    local = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return (part.join(F.broadcast(starts), "_part").withColumn(col, F.col("_start") + local)
+            .drop("_part", "_start", "_at"))
 
 
 def hot_keys(df: DataFrame, key: str, id_col: str, per_partition: int = 100) -> DataFrame | None:

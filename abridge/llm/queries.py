@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from abridge.llm import mixing, quality_rules, warc
 from abridge.llm.chat import ESCAPES, CLOSE, MID, OPEN, chat_examples, read_back
-from abridge.llm.common import Scratch
+from abridge.llm.common import Scratch, lower_ascii
+from abridge.llm.conversation_trie import conversation_trie
 from abridge.llm.exact_dedup import exact_dedup
 from abridge.llm.jaccard_join import jaccard_classes
+from abridge.llm.merkle import merkle_manifest
 from abridge.llm.nb_svm import fit, score, training_rows
 from abridge.llm.ngram_lm import score_documents
 from abridge.llm.packing import pack_documents
@@ -100,10 +102,20 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.col("text").isNotNull() & (id_crc("doc_id") % 3 == 0), lower_ascii("text")).otherwise(F.col("text"))
+    return merkle_manifest(table(spark, sf_dir, "documents"), found={"text": text})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1, "op2_exact_dedup": op2, "op3_best_fit_packing": op3, "op4_lm_scoring": op4,
     "op5_chat_formatting": op5, "op6_ngram_jaccard_join": op6, "op7_quality_classifier": op7, "op8_warc": op8,
     "op9_source_mixing": op9, "op10_suffix_array_dedup": op10,
+    "op12_conversation_trie": op12, "op13_merkle_manifest": op13,
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -209,7 +221,68 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
+def _crc32_sql(x: str) -> str:
+    """The unsigned CRC-32 of an ASCII string, bit by bit."""
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, 3988292384 * (r & 1)))"
+    codes = f"list_transform(string_split({x}, ''), lambda ch: ord(ch)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda c, b: {bits}), 4294967295)"
+
+
+OP12_SQL = f"""
+WITH t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, {_crc32_sql('c::VARCHAR')} % 6 AS h,
+               list({{'r': r, 't': t}} ORDER BY turn NULLS FIRST, left(sha256(strlen(r)::VARCHAR || ':' || r || t), 32)) AS s FROM t GROUP BY c),
+reb AS (SELECT a.c, CASE WHEN a.c = a.c - a.c % 100 THEN a.s ELSE list_concat(coalesce(b.s, [])[1:a.h], a.s[a.h + 1:]) END AS s
+        FROM own a LEFT JOIN own b ON b.c = a.c - a.c % 100),
+p AS (SELECT c, s, len(s) AS n, unnest(range(0, len(s) + 1)) AS d FROM reb),
+k AS (SELECT c, n, d, s[1:d] AS key, CASE WHEN d > 0 THEN s[1:d - 1] END AS up, CASE WHEN d > 0 THEN length(s[d].t) ELSE 0 END AS chars FROM p),
+nodes AS (SELECT key, d, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+                 sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256 FROM k GROUP BY key, d),
+kids AS (SELECT up, count(*) AS n FROM nodes WHERE d > 0 GROUP BY up),
+own_sums AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children, (n_convs - 1) * chars AS saved
+             FROM nodes LEFT JOIN kids ON kids.up = nodes.key),
+over AS (SELECT key[1:e] AS key, n_children, saved FROM (SELECT key, n_children, saved, unnest(range(0, d + 1)) AS e FROM own_sums)),
+sums AS (SELECT key, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM over GROUP BY key)
+SELECT x.conv_id, x.d::BIGINT AS depth, u.conv_id AS parent_conv_id, x.n_convs, x.n_children, n_leaves, saved_tokens, x.ends_sha256
+FROM own_sums x JOIN sums ON sums.key = x.key LEFT JOIN nodes u ON x.d > 0 AND u.key = x.up
+"""
+
+
+def _merkle_sql(depth: int = 7, wide: int = 3) -> str:
+    """Up to ``8 ** depth`` leaves a language and ``8 ** wide`` languages."""
+    f = lambda x: f"coalesce(strlen({x}::VARCHAR)::VARCHAR || ':' || {x}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(f(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    lower = LOWER.replace("coalesce(text, '')", "text")
+    tampered = f"CASE WHEN {_crc32_sql('doc_id::VARCHAR')} % 3 = 0 THEN {lower} ELSE text END"
+    out = [f"""d AS (SELECT doc_id, coalesce('1' || lang, '0') AS g, {leaf('text')} AS leaf, {leaf('found')} AS bad
+                    FROM (SELECT *, {tampered} AS found FROM documents)),
+n0 AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n, leaf AS h,
+              doc_id, bad FROM d)""",
+           "f0 AS (SELECT g, i, doc_id, h AS leaf, coalesce(bad, h) AS cur, '' AS proof FROM n0)"]
+
+    def level(a: str, b: str, fa: str, fb: str) -> None:
+        out.append(f"r{a} AS (SELECT g, i // 8 AS run, any_value(n) AS n, list(h ORDER BY i) AS hs FROM n{a} GROUP BY g, i // 8)")
+        out.append(f"""n{b} AS (SELECT g, run AS i, (n + 7) // 8 AS n, CASE WHEN n > 1 THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS h FROM r{a})""")
+        out.append(f"""{fb} AS (SELECT * REPLACE (i // 8 AS i,
+                   CASE WHEN n > 1 THEN sha256(array_to_string(hs[1:i % 8], '') || cur || array_to_string(hs[i % 8 + 2:], '')) ELSE cur END AS cur,
+                   CASE WHEN n > 1 THEN proof || array_to_string(hs[1:i % 8], '') || array_to_string(hs[i % 8 + 2:], '') ELSE proof END AS proof)
+                   FROM (SELECT {fa}.*, r{a}.n, r{a}.hs FROM {fa} JOIN r{a} ON r{a}.g = {fa}.g AND r{a}.run = {fa}.i // 8))""".replace("SELECT * REPLACE", "SELECT * EXCLUDE (n, hs) REPLACE"))
+
+    for k in range(depth):
+        level(str(k), str(k + 1), f"f{k}", f"f{k + 1}")
+    out.append(f"""nt0 AS (SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n, h, g AS lang FROM n{depth})""")
+    out.append(f"""ft0 AS (SELECT '' AS g, nt0.i, doc_id, leaf, cur, proof, nt0.h AS subroot FROM f{depth} JOIN nt0 ON nt0.lang = f{depth}.g)""")
+    for k in range(wide):
+        level(f"t{k}", f"t{k + 1}", f"ft{k}", f"ft{k + 1}")
+    return "WITH " + ",\n".join(out) + f"""
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = h AS verified FROM ft{wide} JOIN nt{wide} USING (g)
+"""
+
+
+OP13_SQL = _merkle_sql()
+
 ORACLES: dict[str, str] = {
     "op1_quality_rules": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op5_chat_formatting": OP5_SQL,
     "op6_ngram_jaccard_join": OP6_SQL, "op8_warc": OP8_SQL, "op9_source_mixing": OP9_SQL,
+    "op12_conversation_trie": OP12_SQL, "op13_merkle_manifest": OP13_SQL,
 }

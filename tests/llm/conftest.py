@@ -5,7 +5,8 @@ import pytest
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 # Output columns of the operators, as extra input columns.
 CLASH = ("kept keep_id group_size n_words base_failed size source_size target taken copies piece start length offset "
-         "sequence_id score held_out component_id n_removed text_sha256").split()
+         "sequence_id score held_out component_id n_removed text_sha256 leaf g id at w b bits bad root top run total "
+         "whole last_draw n_parts _bucket _head").split()
 
 
 def corpus(seed: int = 5, n: int = 60) -> list[tuple]:
