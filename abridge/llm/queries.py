@@ -11,6 +11,7 @@ from abridge.llm import mixing, quality_rules, warc
 from abridge.llm.chat import ESCAPES, CLOSE, MID, OPEN, chat_examples, read_back
 from abridge.llm.common import Scratch, lower_ascii
 from abridge.llm.conversation_trie import conversation_trie
+from abridge.llm.embedding_passes import embedding_duplicates
 from abridge.llm.exact_dedup import exact_dedup
 from abridge.llm.jaccard_join import jaccard_classes
 from abridge.llm.merkle import merkle_manifest
@@ -102,6 +103,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -115,7 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1, "op2_exact_dedup": op2, "op3_best_fit_packing": op3, "op4_lm_scoring": op4,
     "op5_chat_formatting": op5, "op6_ngram_jaccard_join": op6, "op7_quality_classifier": op7, "op8_warc": op8,
     "op9_source_mixing": op9, "op10_suffix_array_dedup": op10,
-    "op12_conversation_trie": op12, "op13_merkle_manifest": op13,
+    "op11_embedding_near_dedup": op11, "op12_conversation_trie": op12, "op13_merkle_manifest": op13,
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
