@@ -23,6 +23,12 @@ def lower_ascii(col: str | Column) -> Column:
     return F.translate(text_of(col), UPPER, UPPER.lower())
 
 
+def by_place(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns named by their place, so that no column that an operator adds can clash with them, and the new names."""
+    new = {c: f"in_{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*new.values()), new
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -92,14 +98,14 @@ def hot_keys(df: DataFrame, key: str, id_col: str, per_partition: int = 100) ->
     """Keys that hold more than about a quarter of one shuffle partition's rows.
 
     A deterministic sample of about ``per_partition`` rows a partition is counted by
-    key; the result (key, n_parts) has at most ``4 * partitions`` rows, so it may be
+    key (rows are drawn by id and key, so null and repeated ids do not draw all rows at once); the result (key, n_parts) has at most ``4 * partitions`` rows, so it may be
     broadcast. None if there are no such keys.
     """
     spark = df.sparkSession
     parts = shuffle_partitions(spark)
     step = max(1, df.count() // (per_partition * parts))
     least = max(2, per_partition // 4)
-    found = (df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(step)) == 0)
+    found = (df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col), F.col(key)), F.lit(step)) == 0)
              .groupBy(key).count().where(F.col("count") >= least).collect())
     if not found:
         return None

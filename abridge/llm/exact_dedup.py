@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from abridge.llm.common import hot_keys, lower_ascii
+from abridge.llm.common import by_place, hot_keys, lower_ascii
 
 PREFIX = 32  # characters of the normalised text that the sampled splitters see
 
@@ -27,7 +27,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     pick = {"min": F.min, "max": F.max}[keep]
     extra = ["keep_id", "group_size", "kept"] + ["text_sha256"] * digest
-    rows = docs.drop(*[c for c in extra if c not in (id_col, text_col)])
+    rows, named = by_place(docs)
+    back = [F.col(n).alias(c) for c, n in named.items() if c not in extra or c in (id_col, text_col)]
+    id_col, text_col = named[id_col], named[text_col]
     rows = rows.withColumn("_norm", lower_ascii(text_col))
     rows = rows.withColumns({"_prefix": F.substring("_norm", 1, PREFIX), "_hash": F.xxhash64("_norm")})
     hot = hot_keys(rows.select(id_col, "_hash"), "_hash", id_col)
@@ -56,5 +58,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   .withColumns({"keep_id": F.coalesce("_keep", "keep_id"),
                                 "group_size": F.coalesce("_size", "group_size")})
                   .drop("_h", "_s", "_head", "_keep", "_size"))
-    return (marked.withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
-            .drop("_norm", "_prefix", "_hash", "_salt"))
+    return marked.withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id"))).select(*back, *extra)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from abridge.llm.common import WORD, Scratch, text_of
+from abridge.llm.common import WORD, Scratch, by_place, text_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
@@ -93,8 +93,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     no copies. Repeated ids draw alike. ``copies`` is at most ``max_epochs``. An empty table gives an empty one.
     Input columns named like an output column are replaced by it.
     """
-    out = docs.drop(*[c for c in ("size", "source_size", "target", "copies", "taken", "draw")
-                      if c not in (id_col, text_col, source_col)])
+    extra = ["size", "source_size", "target", "copies", "taken"]
+    out, named = by_place(docs)
+    back = [F.col(n).alias(c) for c, n in named.items() if c not in extra or c in (id_col, text_col, source_col)]
+    id_col, text_col, source_col = (named[c] for c in (id_col, text_col, source_col))
     scratch = Scratch(docs.sparkSession, "mix")
     sized = scratch.store(out.select(F.col(source_col).alias("source"), word_count(text_col).alias("size"),
                                      draw(id_col, seed).alias("draw")), "sized")
@@ -103,10 +105,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     out = out.join(plan, F.col(source_col).eqNullSafe(F.col("_s"))).drop("_s")
     out = out.withColumn("copies", F.when(F.col("source_size") > 0, F.col("whole")
                          + (F.col("_draw") <= F.col("last_draw")).cast("long")).otherwise(F.lit(0)).cast("long"))
-    return out.withColumn("taken", F.col("copies") * F.col("size")).drop("whole", "last_draw", "_draw")
+    return out.withColumn("taken", F.col("copies") * F.col("size")).select(*back, *extra)
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
     """The mix itself: each document ``copies`` times."""
-    return (mixed.where(F.col("copies") > 0).withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-            .drop("_c", "size", "source_size", "target", "copies", "taken"))
+    rows, named = by_place(mixed.where(F.col("copies") > 0))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(named["copies"]).cast("int"))))
+    return rows.select(*[F.col(n).alias(c) for c, n in named.items() if c not in ("size", "source_size", "target", "copies", "taken")])

@@ -70,6 +70,27 @@ def test_exact_dedup_spreads_a_hot_text(spark):
     assert got.count() == 20_000
 
 
+def test_exact_dedup_of_a_hot_text_beside_inner_names(spark):
+    """Columns that are called like the operator's own, on the path for hot texts too."""
+    from abridge.llm.exact_dedup import exact_dedup
+    names = ["n_parts", "_norm", "_prefix", "_hash", "_salt", "_h", "_s", "_head", "_keep", "_size", "_n"]
+    d = spark.range(5_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "Hot").otherwise(F.col("id").cast("string")).alias("text"),
+                                  *[F.lit(n).alias(n) for n in names])
+    got = exact_dedup(d, keep="max")
+    assert got.columns == ["doc_id", "text", *names, "keep_id", "group_size", "kept"]
+    assert got.where(" and ".join(f"{n} = '{n}'" for n in names)).count() == 5_000
+    assert got.where("text = 'Hot'").select("keep_id", "group_size").distinct().collect() == [(4998, 2500)]
+
+
+def test_mix_beside_inner_names(spark, docs):
+    from abridge.llm.mixing import mix, repeated
+    names = ["whole", "last_draw", "_s", "_draw", "_c", "copy", "draw"]
+    got = mix(docs.withColumns({n: F.lit(n) for n in names}))
+    assert sorted(got.select(docs.columns + ["taken"]).collect(), key=repr) == sorted(mix(docs).select(docs.columns + ["taken"]).collect(), key=repr)
+    assert got.columns == docs.columns + names + ["size", "source_size", "target", "copies", "taken"]
+    assert repeated(got).columns == docs.columns + names
+
+
 @pytest.mark.parametrize("keep", ["min", "max"])
 def test_exact_dedup_of_hot_texts_that_share_ids(spark, keep):
     """Two hot texts with the same ids, null ids among them: the same rows as below the hot limit."""
