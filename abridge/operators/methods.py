@@ -10,9 +10,9 @@ from abridge.functions.tokens import truncate_tokens, ws_tokens
 from abridge.operators.requests import with_request
 
 # The compared methods in table order, and the request each sends (none: selective-context).
-METHODS = ["selective-context", "LLM-Lingua", "vanilla", "style-compress"]
-REQUEST_KIND = {"LLM-Lingua": "lingua", "vanilla": "vanilla", "style-compress": "style"}
-PARSER = {"LLM-Lingua": parse_lingua, "vanilla": parse_vanilla, "style-compress": parse_compression}
+METHODS = ["selective-context", "LLM-Lingua", "vanilla", "adaptive"]
+REQUEST_KIND = {"LLM-Lingua": "lingua", "vanilla": "vanilla", "adaptive": "style"}
+PARSER = {"LLM-Lingua": parse_lingua, "vanilla": parse_vanilla, "adaptive": parse_compression}
 # Metrics of the method table, grouped in this order.
 PIVOT_METRICS = ["rouge1", "rouge2", "rougeL", "bertscore"]
 

@@ -25,7 +25,7 @@ from abridge.sources.sinks import filter_model, sink_csv, sink_json_report, sink
 MODELS = {"stand-in 7-B": ("loc-begin", 0), "stand-in 13-B": ("loc-all", 5)}
 STYLES = sorted({s for s, _ in MODELS.values()})
 WRAP = {"LLM-Lingua": ("Compressed (about right): ", "\n"), "vanilla": ("Here's the result: x\n\nCompressed: ", ""),
-        "style-compress": ("Compressed Text: ", STANDIN_SUFFIX)}
+        "adaptive": ("Compressed Text: ", STANDIN_SUFFIX)}
 
 
 def r6(c):

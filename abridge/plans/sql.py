@@ -121,6 +121,39 @@ def lcs(ref: str, cand: str) -> str:
     return f"len(list_reduce({steps}, lambda t, m: {step}))::BIGINT"
 
 
+LCS_BITS = 120  # a bit vector that fits a HUGEINT
+
+
+def lcs_cte(pairs: str, key: str, ref: str, cand: str, out: str) -> str:
+    """CTEs ending in ``out`` (key, lcs): the LCS of two token lists of each row of ``pairs``.
+
+    Equal pairs are done once, and tokens that only one side has cannot be in it. Of what is left the shorter side becomes
+    one bit a token: a token of the other with the bits M turns V into ``(V + (V & M)) | (V - (V & M))``, and the zero
+    bits at the end are the length. Where both sides keep more than ``LCS_BITS`` tokens, a side that is a subsequence
+    by the greedy match is the LCS, and else the thresholds of :func:`lcs` run.
+    """
+    ones = "((1::HUGEINT << n::INTEGER) - 1)"
+    step = "((v + (v & m)) | (v - (v & m))) & ones"
+    kept = lambda xs, ys: f"list_filter({xs}, lambda y: list_contains({ys}, y))"
+    greedy = ("list_reduce(list_prepend(0::BIGINT, short), lambda pos, c: CASE WHEN pos < 0 THEN -1 "
+              "ELSE coalesce(pos + nullif(list_position(long[pos + 1:], c), 0), -1) END)")
+    return f"""
+{out}_d AS (SELECT *, row_number() OVER () AS k FROM (SELECT DISTINCT {ref} AS rt, {cand} AS ct FROM {pairs})),
+{out}_f AS (SELECT k, CASE WHEN len(a) <= len(b) THEN a ELSE b END AS a, CASE WHEN len(a) <= len(b) THEN b ELSE a END AS b
+            FROM (SELECT k, {kept('rt', 'ct')} AS a, {kept('ct', 'rt')} AS b FROM {out}_d)),
+{out}_r AS (SELECT k, len(a) AS n, unnest(a) AS g, generate_subscripts(a, 1) - 1 AS bit FROM {out}_f WHERE len(a) <= {LCS_BITS}),
+{out}_m AS (SELECT k, g, n, sum(1::HUGEINT << bit::INTEGER)::HUGEINT AS m FROM {out}_r GROUP BY k, g, n),
+{out}_c AS (SELECT k, unnest(b) AS g, generate_subscripts(b, 1) AS i FROM {out}_f WHERE len(a) <= {LCS_BITS}),
+{out}_s AS (SELECT k, n, {ones} AS ones, list(m ORDER BY i) AS ms FROM {out}_c JOIN {out}_m USING (k, g) GROUP BY k, n),
+{out}_x AS (SELECT k, a, b, list_transform(b, lambda t: list_position(b, t)) AS long, list_transform(a, lambda t: list_position(b, t)) AS short
+            FROM {out}_f WHERE len(a) > {LCS_BITS}),
+{out}_e AS (
+  SELECT k, n - bit_count(list_reduce(list_prepend(ones, ms), lambda v, m: {step})) AS lcs FROM {out}_s
+  UNION ALL SELECT k, CASE WHEN {greedy} >= 0 THEN len(short) ELSE {lcs('short', 'long')} END FROM {out}_x),
+{out} AS (SELECT {', '.join('p.' + c for c in key.split(', '))}, coalesce(e.lcs, 0) AS lcs FROM {pairs} p JOIN {out}_d d ON d.rt = p.{ref} AND d.ct = p.{cand}
+          LEFT JOIN {out}_e e ON e.k = d.k)"""
+
+
 def fmeasure(h: str, nr: str, nc: str) -> str:
     return f"(CASE WHEN {h} > 0 THEN 2.0 * {h} / CAST({nr} + {nc} AS DOUBLE) ELSE 0.0 END)"
 
@@ -288,7 +321,10 @@ base AS (SELECT * FROM samples WHERE task IN ({tl})),
 {candidates_cte('base', ratios, methods, seed)},
 p0 AS (SELECT {KEY4}, {rouge_tok("CASE task WHEN 'reconstruction' THEN prompt ELSE reference END")} AS rt, {rouge_tok('compressed')} AS ct
        FROM cands WHERE task = 'reconstruction' OR task = 'summarization' AND reference IS NOT NULL),
-p AS (SELECT *, CASE WHEN task = 'reconstruction' AND style <> 'unreadable' THEN len(ct) ELSE {lcs('rt', 'ct')} END AS lcs FROM p0),
+p1 AS (SELECT * FROM p0 WHERE NOT (task = 'reconstruction' AND style <> 'unreadable')),
+{lcs_cte('p1', KEY4, 'rt', 'ct', 'pl')},
+p AS (SELECT p0.*, CASE WHEN task = 'reconstruction' AND style <> 'unreadable' THEN len(ct) ELSE coalesce(pl.lcs, 0) END AS lcs
+      FROM p0 LEFT JOIN pl USING ({KEY4})),
 {rouge_hits_cte('p', KEY4, 'rt', 'ct')},
 sc0 AS (
   SELECT c.task, c.sample_id, c.grp, c.ratio, c.style, c.prompt, c.reference, c.question, c.answer, c.tok, c.compressed, c.n_tok, c.target,
