@@ -137,6 +137,14 @@ def rouge_columns(ref_tokens, cand_tokens, prefix: str = "", ref_ids=None, n_ref
             nr2.alias(prefix + "n_ref2"), nc2.alias(prefix + "n_cand2")]
 
 
+def rouge_id_columns(ref_ids, cand_ids) -> list[Column]:
+    """The columns of :func:`rouge_columns` for token ids that are made already (stems, for example)."""
+    nr, nc = (F.size(_c(x)).cast("bigint") for x in (ref_ids, cand_ids))
+    zero = F.lit(0).cast("bigint")
+    return [pair_overlap(_c(ref_ids), _c(cand_ids)).alias("ov"), nr.alias("n_ref"), nc.alias("n_cand"),
+            F.greatest(nr - 1, zero).alias("n_ref2"), F.greatest(nc - 1, zero).alias("n_cand2")]
+
+
 def finish_rouge(df, prefix: str = ""):
     """Turn the struct from :func:`rouge_columns` into metric columns."""
     p = prefix

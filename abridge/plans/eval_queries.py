@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from abridge.functions.metrics import exact_match, finish_rouge, rouge_columns, token_f1
+from abridge.functions.metrics import exact_match, finish_rouge, rouge_columns, rouge_id_columns, token_f1
+from abridge.functions.stem import with_stem_ids
 from abridge.functions.tokens import rouge_tokens
 from abridge.operators.catalog import RATIOS, STYLE_NAMES
 from abridge.operators.sweep import avg_metrics_all, pivot_long, primary_series, scored_grid, to_long
@@ -71,6 +72,30 @@ def q_rougeL_pairs(spark, sf):
                     r6(F.col("bertscore")).alias("bertscore"))
 
 
+@query("rouge_stemmed", sql=f"""
+WITH d AS (SELECT doc_id, {S.rouge_tok('text')} AS t FROM documents),
+tok AS (SELECT unnest(t) AS g FROM d),
+{S.stem_cte('tok', 'st')},
+x AS (SELECT doc_id, list(coalesce(st.stem, u.g) ORDER BY i) AS t
+      FROM (SELECT doc_id, unnest(t) AS g, generate_subscripts(t, 1) AS i FROM d) u LEFT JOIN st ON st.g = u.g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS pair_id, coalesce(xa.t, []) AS rt, coalesce(xb.t, []) AS ct FROM d a JOIN d b ON b.doc_id = a.doc_id + 1
+      LEFT JOIN x xa ON xa.doc_id = a.doc_id LEFT JOIN x xb ON xb.doc_id = b.doc_id),
+{S.rouge_hits_cte('p', 'pair_id', 'rt', 'ct')}
+SELECT p.pair_id, len(rt)::BIGINT AS n_ref, len(ct)::BIGINT AS n_cand, coalesce(hit1, 0) AS hit1, coalesce(hit2, 0) AS hit2,
+       round({S.fmeasure('coalesce(hit1, 0)', 'len(rt)', 'len(ct)')}, 6) AS rouge1,
+       round({S.fmeasure('coalesce(hit2, 0)', 'greatest(len(rt) - 1, 0)', 'greatest(len(ct) - 1, 0)')}, 6) AS rouge2
+FROM p LEFT JOIN h1 USING (pair_id) LEFT JOIN h2 USING (pair_id)
+""", operators=("rouge_tokens", "porter_stem", "rouge1", "rouge2"))
+def q_rouge_stemmed(spark, sf):
+    """ROUGE-1/2 of next-document pairs on stems; each distinct token is stemmed once."""
+    d = read_table(spark, sf, "documents").select("doc_id", "text")
+    stems = with_stem_ids(d, ["doc_id"], {"ids": rouge_tokens("text")})
+    p = stems.alias("a").join(stems.alias("b"), F.col("b.doc_id") == F.col("a.doc_id") + 1).select(
+        F.col("a.doc_id").alias("pair_id"), F.col("a.ids").alias("ref"), F.col("b.ids").alias("cand"))
+    s = finish_rouge(p.select("pair_id", *rouge_id_columns("ref", "cand")))
+    return s.select("pair_id", "n_ref", "n_cand", "hit1", "hit2", r6(F.col("rouge1")).alias("rouge1"), r6(F.col("rouge2")).alias("rouge2"))
+
+
 # --------------------------------------------------------------------------- EM / F1
 @query("qa_metrics", sql=f"""
 WITH {S.SAMPLES_CTE}

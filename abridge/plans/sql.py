@@ -495,3 +495,48 @@ st{i + 1} AS (SELECT s.config, s.task, s.ratio, s.grp, s.style_idx, s.style,
         demos.append(f"SELECT * FROM d{i}")
     parts.append("\ndemos AS (" + " UNION ALL ".join(demos) + f"),\nstats AS (SELECT * FROM st{adapt_size})")
     return "".join(parts)
+
+
+def stem_cte(tokens: str, out: str) -> str:
+    """CTEs ending in ``out`` (g, stem): Porter's steps over the distinct tokens ``g`` of ``tokens``, one projection each.
+
+    ``f`` is the word's shape, a c or v for each character, of which each step's conditions are prefixes.
+    """
+    from abridge.functions import stem as P
+    shape = ("list_reduce(list_prepend('', string_split(w, '')), lambda f, ch: f || CASE WHEN contains('aeiou', ch) THEN 'v' "
+             "WHEN ch = 'y' AND right(f, 1) = 'c' THEN 'v' ELSE 'c' END)")
+    head = lambda n: f"left(f, length(w) - {n})"
+    m = lambda x: f"((length({x}) - length(replace({x}, 'vc', ''))) // 2)"
+    short = lambda w, f: f"(({f} LIKE '%cvc' AND right({w}, 1) NOT IN ('w', 'x', 'y')) OR {f} = 'vc')"
+
+    def swap(rules, least, extra=None):
+        whens = []
+        for old, new in sorted(rules, key=lambda r: -len(r[0])):
+            n = len(old)
+            cond = f"{m(head(n - 1 if old == 'logi' else n))} >= {least}"
+            cond += (extra or {}).get(old, "")
+            whens.append(f"WHEN ends_with(w, '{old}') THEN CASE WHEN {cond} THEN left(w, length(w) - {n}) || '{new}' ELSE w END")
+        return "CASE " + " ".join(whens) + " ELSE w END"
+
+    steps = [
+        "CASE WHEN ends_with(w, 'ies') AND length(w) = 4 THEN left(w, 3) ELSE " + swap(P.STEP_1A, 0) + " END",
+        f"""CASE WHEN ends_with(w, 'ied') THEN left(w, CASE WHEN length(w) = 4 THEN 3 ELSE length(w) - 2 END)
+            WHEN ends_with(w, 'eed') THEN CASE WHEN {m(head(3))} > 0 THEN left(w, length(w) - 1) ELSE w END
+            WHEN ends_with(w, 'ed') AND contains({head(2)}, 'v') THEN left(w, length(w) - 2) || '+'
+            WHEN ends_with(w, 'ing') AND contains({head(3)}, 'v') THEN left(w, length(w) - 3) || '+' ELSE w END""",
+        # what lost an ending is marked by a plus sign
+        f"""CASE WHEN NOT ends_with(w, '+') THEN w WHEN regexp_matches(w, '(at|bl|iz)[+]$') THEN replace(w, '+', 'e')
+            WHEN w[-2] = w[-3] AND {head(1)} LIKE '%c' THEN CASE WHEN w[-2] IN ('l', 's', 'z') THEN replace(w, '+', '') ELSE left(w, length(w) - 2) END
+            WHEN {m(head(1))} = 1 AND {short("replace(w, '+', '')", head(1))} THEN replace(w, '+', 'e') ELSE replace(w, '+', '') END""",
+        f"CASE WHEN ends_with(w, 'y') AND length(w) > 2 AND {head(1)} LIKE '%c' THEN left(w, length(w) - 1) || 'i' ELSE w END",
+        f"CASE WHEN ends_with(w, 'alli') AND {m(head(4))} > 0 THEN left(w, length(w) - 2) ELSE w END",
+        swap(P.STEP_2, 1), swap(P.STEP_3, 1),
+        swap(P.STEP_4, 2, {"ion": " AND w[-4] IN ('s', 't')"}),
+        f"CASE WHEN ends_with(w, 'e') AND ({m(head(1))} > 1 OR ({m(head(1))} = 1 AND NOT {short('left(w, length(w) - 1)', head(1))})) THEN left(w, length(w) - 1) ELSE w END",
+        f"CASE WHEN ends_with(w, 'll') AND {m(head(1))} > 1 THEN left(w, length(w) - 1) ELSE w END"]
+    parts = [f"{out}_0 AS (SELECT DISTINCT g, g AS w FROM {tokens} WHERE length(g) >= {P.LEAST_CHARS})"]
+    for i, x in enumerate(steps):
+        parts.append(f"{out}_{i + 1} AS (SELECT g, {x} AS w FROM (SELECT *, {shape} AS f FROM {out}_{i}))")
+    odd = ", ".join(f"('{a}', '{b}')" for a, b in P.IRREGULAR.items())
+    parts.append(f"{out} AS (SELECT g, coalesce(o.s, w) AS stem FROM {out}_{len(steps)} LEFT JOIN (VALUES {odd}) AS o(a, s) ON o.a = g)")
+    return ",\n".join(parts)
