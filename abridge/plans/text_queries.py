@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from abridge.functions.metrics import finish_rouge, rouge_columns
+from abridge.functions.pieces import cut_pieces, with_pieces
 from abridge.functions.tokens import n_tokens, rouge_tokens, target_tokens, truncate_tokens, ws_tokens
 from abridge.plans import sql as S
 from abridge.plans.registry import query
@@ -115,3 +116,15 @@ _comp_query("comp_format_aware", ["format-aware"], ("comp_extractive",))
 _comp_query("comp_abbrev", ["unreadable"], ("comp_abbrev",))
 _comp_query("comp_fallback_styles", ["abstractive", "for_qa", "selective-context"],
             ("comp_style", "comp_prefix", "target_tokens_floor0"))
+
+
+@query("count_pieces", operators=("count_tokens", "truncate_tokens"))
+def q_count_pieces(spark, sf):
+    """Every document's length in pieces of the BPE tokenizer file, and its cut to a quarter of them, spacing kept.
+
+    No SQL states the merges; tests hold counts and cuts of all documents against the tokenizer itself.
+    """
+    d = with_pieces(read_table(spark, sf, "documents").select("doc_id", "text"), ["doc_id"], "text")
+    d = d.withColumn("target", target_tokens("n_pieces", F.lit(0.25))).withColumn("cut", cut_pieces(F.col("target")))
+    return d.select("doc_id", "n_pieces", "target", F.least("target", "n_pieces").alias("n_cut"),
+                    F.char_length("cut").cast("bigint").alias("cut_chars"), F.md5("cut").alias("cut_md5"))
