@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from abridge.functions.tokens import cap_tokens, n_tokens, ws_tokens
 from abridge.plans import sql as S
 from abridge.plans.registry import query
-from abridge.sources.prep import (cap_per_group, min_rows_filter, preview, profile_columns, replicate_rows,
-                                  split_sample, tail_per_group, timing_stats)
+from abridge.sources.prep import (cap_per_group, min_rows_filter, preview, profile_columns, profile_sketches, replicate_rows,
+                                  split_ranges, split_sample, tail_per_group, timing_stats)
 from abridge.sources.samples import build_samples
 from abridge.sources.tables import read_table
 
@@ -37,6 +37,49 @@ def q_split_adapt(spark, sf):
     return split_sample(d, "doc_id").where("in_adapt").select("doc_id", "position")
 
 
+_RANGES = {"test": (0, 200), "adapt": (200, 290), "train": (290, None)}
+
+
+@query("split_ranges", sql="""
+SELECT doc_id, shuffle_key, position, CASE WHEN position < 200 THEN 'test' WHEN position < 290 THEN 'adapt' ELSE 'train' END AS split FROM (
+  SELECT doc_id, md5('42|' || CAST(doc_id AS VARCHAR)) AS shuffle_key,
+         (row_number() OVER (ORDER BY md5('42|' || CAST(doc_id AS VARCHAR)), doc_id) - 1)::BIGINT AS position FROM documents)
+""", operators=("split_sample",))
+def q_split_ranges(spark, sf):
+    """Disjoint exact ranges that together hold every document."""
+    d = read_table(spark, sf, "documents").select("doc_id")
+    return split_ranges(d, "doc_id", _RANGES).select("doc_id", "shuffle_key", "position", "split")
+
+
+@query("profile_sketches", operators=("profile_dataset",))
+def q_profile_sketches(spark, sf):
+    """Types, rows, nulls, distinct estimates and quantiles of three tables; tests hold the sketches against exact values."""
+    parts = [profile_sketches(read_table(spark, sf, t), t) for t in ("documents", "conversations", "embeddings")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("profile_types", sql="""
+SELECT 'documents' AS table_name, c.* FROM (
+  SELECT 'doc_id' AS column_name, 'bigint' AS data_type, count(*) AS n_rows, count(*) FILTER (WHERE doc_id IS NULL) AS n_nulls FROM documents
+  UNION ALL SELECT 'text', 'string', count(*), count(*) FILTER (WHERE text IS NULL) FROM documents
+  UNION ALL SELECT 'lang', 'string', count(*), count(*) FILTER (WHERE lang IS NULL) FROM documents
+  UNION ALL SELECT 'source', 'string', count(*), count(*) FILTER (WHERE source IS NULL) FROM documents
+  UNION ALL SELECT 'n_chars', 'bigint', count(*), count(*) FILTER (WHERE n_chars IS NULL) FROM documents) c
+""", operators=("profile_dataset",))
+def q_profile_types(spark, sf):
+    """The exact columns of the sketch profile."""
+    p = profile_sketches(read_table(spark, sf, "documents"), "documents")
+    return p.select("table_name", "column_name", "data_type", "n_rows", "n_nulls")
+
+
+@query("preview_json", sql="""
+SELECT page_id, substring(to_json({'page_id': page_id, 'url': url, 'html': html})::VARCHAR, 1, 1000) AS json FROM pages ORDER BY page_id LIMIT 3
+""", operators=("preview",))
+def q_preview_json(spark, sf):
+    """The first rows as JSON cut to 1,000 characters."""
+    return preview(read_table(spark, sf, "pages"), "page_id")
+
+
 @query("profile_dataset", sql="""
 SELECT 'documents' AS table_name, c.column_name, c.n_rows, c.n_nulls, c.n_distinct FROM (
   SELECT 'doc_id' AS column_name, count(*)::BIGINT AS n_rows, count(*) FILTER (WHERE doc_id IS NULL)::BIGINT AS n_nulls, count(DISTINCT doc_id)::BIGINT AS n_distinct FROM documents

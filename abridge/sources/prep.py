@@ -25,6 +25,41 @@ def split_sample(df: DataFrame, key: str, seed: int = 42, test_n: int = 200,
             .withColumn("in_adapt", F.col("position").between(adapt_from, adapt_to)))
 
 
+SPLIT_HEX = 4  # hex digits of the shuffle key that make a bucket: 65,536 buckets
+# Default ranges: as large as the reference's, but no row is in two of them.
+SPLIT_RANGES = {"test": (0, 200), "adapt": (200, 290)}
+
+
+def split_ranges(df: DataFrame, key: str, ranges: dict[str, tuple[int, int | None]] | None = None, seed: int = 42,
+                 overlap: bool = False) -> DataFrame:
+    """``split_sample`` with exact ranges over all rows: ``df`` with ``shuffle_key``, ``position`` and ``split``.
+
+    ``ranges``: split -> (first position, position after the last; None: to the end); rows in none are left out. The
+    order is ``md5(seed|key)``, equal ones by key. Positions are exact without a sort in one task: the rows before a bucket
+    of the order (its first hex digits) come from the bucket's counts, and ranks are made inside a bucket.
+    Ranges that share positions raise unless ``overlap``, where a row comes once for each range it is in.
+    """
+    ranges = ranges or SPLIT_RANGES
+    ends = sorted((a, float("inf") if b is None else b) for a, b in ranges.values())
+    if not overlap and any(b > a2 for (_, b), (a2, _) in zip(ends, ends[1:])):
+        raise ValueError("ranges share positions")
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
+    rows = df.withColumn("shuffle_key", h).withColumn("_b", F.substring("shuffle_key", 1, SPLIT_HEX))
+    sizes = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # at most 65,536 rows
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    # Buckets that no range reaches are not sorted.
+    meets = F.lit(False)
+    for a, b in ranges.values():
+        here = F.col("_before") + F.col("_n") > a
+        meets = meets | (here if b is None else here & (F.col("_before") < b))
+    rows = rows.join(F.broadcast(sizes.where(meets).select("_b", "_before")), "_b")
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy("shuffle_key", key))
+    rows = rows.withColumn("position", (F.col("_before") + rank - 1).cast("bigint")).drop("_b", "_before")
+    inside = [F.when((F.col("position") >= a) & (F.lit(True) if b is None else F.col("position") < b), F.lit(name)) for name, (a, b) in ranges.items()]
+    return rows.withColumn("split", F.explode(F.filter(F.array(*inside), lambda x: x.isNotNull())))
+
+
 GROUP_BUCKETS = 64
 
 
@@ -90,6 +125,40 @@ def profile_columns(df: DataFrame, name: str) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
+HLL_LG_K = 12        # registers of the distinct sketch: standard error 1.04 / sqrt(2^12) = 1.6 %
+QUANTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
+KLL_K = 200          # size of the quantile sketch: rank error about 1.3 %
+_NUMBERS = ("byte", "short", "integer", "long", "float", "double")
+
+
+def profile_sketches(df: DataFrame, name: str) -> DataFrame:
+    """``profile_dataset`` at any size: one scan of mergeable sketches, a few kilobytes a column and task.
+
+    Per column: type, rows, nulls, an estimate of the distinct values (HyperLogLog; 3 standard errors are 4.9 %) and
+    approximate quantiles (KLL) of a number's value, a text's characters or an array's elements. No value is moved.
+    """
+    aggs, shown = [F.count(F.lit(1)).alias("__rows")], []
+    for i, f in enumerate(df.schema.fields):
+        c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        key = c if kind in ("integer", "long", "string", "binary") else F.to_json(F.struct(c)) if kind in ("array", "map", "struct") else c.cast("string")
+        key = F.when(c.isNotNull(), key)
+        size = c if kind in _NUMBERS else F.char_length(c) if kind == "string" else F.when(c.isNotNull(), F.size(c)) if kind in ("array", "map") else None
+        aggs += [F.count(F.when(c.isNull(), 1)).alias(f"n{i}"), F.hll_sketch_agg(key, F.lit(HLL_LG_K)).alias(f"d{i}")]
+        if size is not None:
+            aggs.append(F.kll_sketch_agg_double(F.when(~F.isnan(size.cast("double")), size.cast("double")), F.lit(KLL_K)).alias(f"q{i}"))
+        shown.append((f, i, size is not None))
+    none = F.lit(None).cast("array<double>")
+
+    def quantiles(i: int) -> Column:
+        q = F.col(f"q{i}")
+        return F.when(F.kll_sketch_get_n_double(q) > 0, F.array(*[F.kll_sketch_get_quantile_double(q, F.lit(x)) for x in QUANTILES]))
+
+    lines = [F.struct(F.lit(name).alias("table_name"), F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("data_type"),
+                      F.col("__rows").alias("n_rows"), F.col(f"n{i}").alias("n_nulls"), F.hll_sketch_estimate(f"d{i}").alias("n_distinct"),
+                      (quantiles(i) if sized else none).alias("quantiles")) for f, i, sized in shown]
+    return df.agg(*aggs).select(F.explode(F.array(*lines)).alias("x")).select("x.*")
+
+
 def preview(df: DataFrame, order_col: str, n: int = 3, width: int = 1000) -> DataFrame:
     """``preview``: first ``n`` rows (by ``order_col``) as JSON cut to ``width`` characters."""
     return (df.orderBy(order_col).limit(n)
