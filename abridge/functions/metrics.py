@@ -25,6 +25,8 @@ OVERLAP_SCHEMA = T.StructType([
     T.StructField("lcs", T.LongType()),
 ])
 
+NO_OVERLAP = {"hit1": 0, "hit2": 0, "lcs": 0}
+
 
 def token_ids(tokens) -> Column:
     """array<string> -> array<bigint> of xxhash64 ids."""
@@ -70,50 +72,65 @@ def _match_masks(a) -> dict:
     return masks
 
 
-def _counts(a: np.ndarray) -> dict:
-    return dict(zip(*(x.tolist() for x in np.unique(a, return_counts=True))))
-
-
-def _clipped(ref: dict, cand: np.ndarray) -> int:
-    get = ref.get
-    return sum(min(get(x, 0), m) for x, m in _counts(cand).items())
+def _clipped(ref: np.ndarray, cand: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Clipped hits of ``n`` candidates, whose ids lie one after the other with their candidate's number in ``owner``."""
+    known, most = np.unique(ref, return_counts=True)
+    at = np.minimum(np.searchsorted(known, cand), len(known) - 1)
+    same = known[at] == cand
+    key, found = np.unique(owner[same] * len(known) + at[same], return_counts=True)
+    return np.bincount(key // len(known), np.minimum(found, most[key % len(known)]), n).astype(np.int64)
 
 
-def _overlaps(ref, cands, subsequence) -> list[dict]:
-    """Clipped unigram and bigram hits and LCS of each candidate against one reference.
+def _overlap_arrays(ref, cands, subsequence) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Clipped unigram hits, bigram hits and LCS of each candidate against one reference.
 
-    The reference's counts and match masks are made once; a candidate known to be a subsequence needs no LCS.
+    All candidates' ids are counted in one pass; only an LCS that is not known runs by itself. A candidate known to be a
+    subsequence needs none.
     """
+    n = len(cands)
     a = np.asarray(ref, dtype=np.int64)
-    uni, bi = _counts(a), _counts(_bigram_ids(a))
+    ids = [np.zeros(0, np.int64) if c is None else np.asarray(c, dtype=np.int64) for c in cands]
+    size = np.array([len(x) for x in ids], np.int64)
+    hit1, hit2, lcs = (np.zeros(n, np.int64) for _ in range(3))
+    if not len(a) or not size.any():
+        return hit1, hit2, lcs
+    flat, owner = np.concatenate(ids), np.repeat(np.arange(n), size)
+    hit1 = _clipped(a, flat, owner, n)
+    if len(a) > 1 and len(flat) > 1:
+        whole = owner[:-1] == owner[1:]  # a pair does not reach over two candidates
+        hit2 = _clipped(_bigram_ids(a), _bigram_ids(flat)[whole], owner[:-1][whole], n)
     masks = None
-    out = []
-    for c, sub in zip(cands, subsequence, strict=True):
-        if c is None or len(c) == 0 or len(a) == 0:
-            out.append({"hit1": 0, "hit2": 0, "lcs": 0})
-            continue
-        b = np.asarray(c, dtype=np.int64)
-        if sub:
-            lcs = len(b)
-        else:
+    for i in range(n):
+        if subsequence[i]:
+            lcs[i] = size[i]
+        elif hit1[i]:
             masks = masks if masks is not None else _match_masks(a)
-            lcs = lcs_length(a, b, masks)
-        out.append({"hit1": _clipped(uni, b), "hit2": _clipped(bi, _bigram_ids(b)), "lcs": lcs})
-    return out
+            lcs[i] = lcs_length(a, ids[i], masks)
+    return hit1, hit2, lcs
 
 
-@F.pandas_udf(T.ArrayType(OVERLAP_SCHEMA))
-def overlaps(ref: pd.Series, cands: pd.Series, subsequence: pd.Series) -> pd.Series:
-    """:func:`_overlaps` for each sample; null without a reference."""
-    return pd.Series([None if r is None else _overlaps(r, c, s) for r, c, s in zip(ref, cands, subsequence)])
+def _overlaps(ref, cands, subsequence) -> list[dict]:
+    """:func:`_overlap_arrays`, one record a candidate."""
+    return [dict(zip(OVERLAP_SCHEMA.names, map(int, x))) for x in zip(*_overlap_arrays(ref, cands, subsequence))]
+
+
+@F.pandas_udf(T.StructType([T.StructField(f.name, T.ArrayType(T.LongType())) for f in OVERLAP_SCHEMA]))
+def overlaps(ref: pd.Series, cands: pd.Series, subsequence: pd.Series) -> pd.DataFrame:
+    """:func:`_overlap_arrays` for each sample, as an array a measure; null without a reference."""
+    return pd.DataFrame([(None, None, None) if r is None else _overlap_arrays(r, c, s) for r, c, s in zip(ref, cands, subsequence)],
+                        columns=OVERLAP_SCHEMA.names)
 
 
 @F.pandas_udf(OVERLAP_SCHEMA)
 def pair_overlap(ref: pd.Series, cand: pd.Series) -> pd.DataFrame:
     """Clipped unigram hits, clipped bigram hits and LCS of two id arrays."""
-    none = {"hit1": 0, "hit2": 0, "lcs": 0}
-    return pd.DataFrame([none if a is None else _overlaps(a, [b], [False])[0] for a, b in zip(ref, cand)],
-                        columns=["hit1", "hit2", "lcs"])
+    return pd.DataFrame([NO_OVERLAP if a is None else _overlaps(a, [b], [False])[0] for a, b in zip(ref, cand)], columns=OVERLAP_SCHEMA.names)
+
+
+@F.pandas_udf(OVERLAP_SCHEMA)
+def prefix_overlap(ref: pd.Series, cand: pd.Series) -> pd.DataFrame:
+    """:func:`pair_overlap` of a candidate that is a subsequence of its reference: no LCS runs."""
+    return pd.DataFrame([NO_OVERLAP if a is None else _overlaps(a, [b], [True])[0] for a, b in zip(ref, cand)], columns=OVERLAP_SCHEMA.names)
 
 
 def f_measure(hits, n_ref, n_cand) -> Column:
@@ -122,13 +139,14 @@ def f_measure(hits, n_ref, n_cand) -> Column:
     return F.when(h > 0, 2.0 * h / (_c(n_ref) + _c(n_cand)).cast("double")).otherwise(F.lit(0.0))
 
 
-def rouge_columns(ref_tokens, cand_tokens, prefix: str = "", ref_ids=None, n_ref=None) -> list[Column]:
+def rouge_columns(ref_tokens, cand_tokens, prefix: str = "", ref_ids=None, n_ref=None, subsequence: bool = False) -> list[Column]:
     """Columns hit1, hit2, lcs, n_ref, n_cand, rouge1, rouge2, rougeL, bertscore.
 
     ``bertscore`` is the ROUGE-L value (decision Q4). ``ref_ids``/``n_ref``
     may be passed precomputed (once per sample instead of per candidate).
+    ``subsequence``: the candidates are subsequences of their references.
     """
-    ov = pair_overlap(ref_ids if ref_ids is not None else token_ids(ref_tokens), token_ids(cand_tokens))
+    ov = (prefix_overlap if subsequence else pair_overlap)(ref_ids if ref_ids is not None else token_ids(ref_tokens), token_ids(cand_tokens))
     nr = n_ref if n_ref is not None else F.size(_c(ref_tokens)).cast("bigint")
     nc = F.size(_c(cand_tokens)).cast("bigint")
     nr2 = F.greatest(nr - 1, F.lit(0).cast("bigint"))

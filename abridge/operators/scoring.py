@@ -55,11 +55,12 @@ def score_arrays(df: DataFrame) -> DataFrame:
     sub = F.transform("grid", lambda g: (task == "reconstruction") & (g["rule"] != "abbrev"))
     df = df.withColumn("_ids", ids)
     df = df.withColumn("_ov", overlaps(F.when(rouge, F.col("ref_ids")), "_ids", sub))
-    rows = F.zip_with("grid", F.zip_with("_ids", F.coalesce("_ov", F.array().cast(df.schema["_ov"].dataType)), lambda i, o: F.struct(
-        F.size(i).cast("bigint").alias("n_cand"), o.alias("ov"))), lambda g, o: F.struct(g.alias("g"), o.alias("o")))
+    ov = F.col("_ov")
+    rows = F.transform("grid", lambda g, i: F.struct(g.alias("g"), F.size(F.get("_ids", i)).cast("bigint").alias("n_cand"), F.when(
+        ov.isNotNull(), F.struct(*[F.get(ov[m], i).alias(m) for m in ("hit1", "hit2", "lcs")])).alias("ov")))
     df = df.withColumn("n_ref", F.when(rouge, F.size("ref_rt").cast("bigint"))).withColumn("n_ref", F.when(F.col("n_ref") >= 0, F.col("n_ref")))
     df = df.withColumn("_r", F.explode(rows)).drop("grid", "_ids", "_ov", "ref_ids", "ref_rt")
-    df = df.select("*", "_r.g.*", F.col("_r.o.ov").alias("ov"), F.when(rouge, F.col("_r.o.n_cand")).alias("n_cand")).drop("_r")
+    df = df.select("*", "_r.g.*", F.col("_r.ov").alias("ov"), F.when(rouge, F.col("_r.n_cand")).alias("n_cand")).drop("_r")
     zero = F.lit(0).cast("bigint")
     df = df.withColumns({"n_ref2": F.greatest(F.col("n_ref") - 1, zero), "n_cand2": F.greatest(F.col("n_cand") - 1, zero)})
     return _task_metrics(finish_rouge(df), F.col("pred") if "pred" in df.columns else F.col("compressed"))

@@ -9,6 +9,7 @@ from abridge.functions.pieces import cut_pieces, with_pieces
 from abridge.functions.tokens import n_tokens, rouge_tokens, target_tokens, truncate_tokens, ws_tokens
 from abridge.plans import sql as S
 from abridge.plans.registry import query
+from abridge.session import spread
 from abridge.sources.samples import build_samples
 from abridge.sources.tables import dataset_row_counts, read_table
 
@@ -38,11 +39,11 @@ FROM s GROUP BY lang
                 "rouge1", "rouge2", "rougeL", "ngram_overlap", "avg_metrics"))
 def q_rouge_prefix(spark, sf):
     """Minimum slice: prefix at ratio 0.25 scored against the document, mean per language."""
-    d = read_table(spark, sf, "documents").select("doc_id", "lang", "text")
+    d = spread(read_table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id")
     d = d.withColumn("tok", ws_tokens("text")).withColumn("n", n_tokens("tok"))
     d = d.withColumn("target", target_tokens("n", F.lit(0.25)))
     d = d.withColumn("cand", truncate_tokens("text", "tok", "target"))
-    s = d.select("lang", *rouge_columns(rouge_tokens("text"), rouge_tokens("cand")))
+    s = d.select("lang", *rouge_columns(rouge_tokens("text"), rouge_tokens("cand"), subsequence=True))
     s = finish_rouge(s)
     return (s.groupBy("lang")
             .agg(F.count(F.lit(1)).alias("n_docs"), r6(F.avg("rouge1")).alias("rouge1"),

@@ -53,12 +53,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scan_bytes(df: DataFrame) -> int:
+    """Bytes of the files that ``df`` reads, by the planner's statistics; no job runs."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+
+
 def spread(df: DataFrame, *keys: str, per_core: int = 4) -> DataFrame:
-    """Hash-partition ``df`` on ``keys``: at least ``per_core`` tasks a core, and the session's shuffle partitions.
+    """Deal ``df`` out by ``keys`` where its scan is too coarse to keep the cores busy.
 
-    Text rows are few bytes but much work each, so byte-based coalescing would squeeze them into one task;
-    an explicit count keeps the work spread. The count comes from settings alone: no job runs.
+    Text rows are few bytes but much work each, and a small table is one file with one row group. A scan of at least
+    ``per_core`` splits a core is left as it is, so no text is shuffled where there is much of it. Sizes come from
+    the plan and the count from settings: no job runs.
     """
     spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), per_core * spark.sparkContext.defaultParallelism)
-    return df.repartition(n, *keys)
+    tasks = per_core * spark.sparkContext.defaultParallelism
+    if scan_bytes(df) >= tasks * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes():
+        return df
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), tasks), *keys)
