@@ -6,6 +6,9 @@ read again by the next.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +24,20 @@ SHINGLE, PERCENT = 5, 80  # near duplicates: five words, a Jaccard similarity of
 # A document goes if its probability of good quality is below this; the label is the only thing that is learnt.
 REJECT_BELOW = 0.5
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def beside(stage: Stage) -> Stage:
+    """``stage`` on tables with further columns: it sees them by their place, so none clashes with a name of its own."""
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        named = [c if c in COLUMNS else f"extra_{i}" for i, c in enumerate(docs.columns)]
+        return stage(spark, docs.toDF(*named), sf_dir).toDF(*docs.columns)
+    return run
+
 
+@beside
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts. Labels of the same rows as in its query are learnt."""
     rows, labels = training_rows(docs, table(spark, sf_dir, "labels"), id_crc("_id") % 3 != 1)
@@ -33,12 +49,14 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_row", F.monotonically_increasing_id())
 
 
+@beside
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts: the one with the largest id (null least), of equal ids the last row."""
     keyed = numbered(docs).withColumn("_key", F.struct("doc_id", "_row"))
     return exact_dedup(keyed, id_col="_key", keep="max").where("kept").select(*docs.columns)
 
 
+@beside
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near duplicates: the one with the smallest id (null last), of equal ids the first row."""
     keyed = numbered(docs)
@@ -50,6 +68,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keyed.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
+@beside
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents as often as it takes them."""
     return mixing.repeated(mixing.mix(docs)).select(*docs.columns)
