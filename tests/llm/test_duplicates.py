@@ -132,6 +132,46 @@ def test_repeated_passages_within_one_document_and_empty(spark, no_docs):
     assert repeated_passages(no_docs).count() == 0
 
 
+def test_passages_built_to_collide_stay(spark):
+    """Thue-Morse words have equal sums of powers modulo 2**64, whatever the base; no 400 bytes repeat here."""
+    from abridge.llm.suffix_dedup import repeated_passages
+
+    def word(k, a, b):
+        return "".join(b if bin(i).count("1") % 2 else a for i in range(1 << k))
+
+    one = (word(8, "\\", "%") + "x" * 5 + word(7, "-", "Y")).ljust(400, "x")
+    two = (word(8, "%", "\\") + "x" * 5 + word(7, "Y", "-")).ljust(400, "x")
+    rows = [(1, one), (2, two), (3, one[:399]), (4, two[:399])]
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_removed")
+    assert sorted(map(tuple, got.collect())) == [(1, 0), (2, 0), (3, 0), (4, 0)]
+    rows.append((5, "ab" + one))
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_removed")
+    assert sorted(map(tuple, got.collect())) == [(1, 400), (2, 0), (3, 0), (4, 0), (5, 400)]
+
+
+def test_fingerprints_are_polynomials_and_names_keep_their_checks():
+    import numpy as np
+
+    from abridge.llm import suffix_dedup as S
+    r = np.random.default_rng(1)
+    data = r.integers(0, 256, 100_000).astype(np.uint8)
+    data[70_000:70_900] = data[100:1000]
+    prime, points = int(S.PRIME), [2, 777, 99_999, int(S.PRIME) - 1]
+    names = S.Names(data, points)
+    at = np.array([0, 5, S.STEP - 1, S.STEP, 99_600])
+    for point in points:
+        want = [sum(int(c) * pow(point, i, prime) for i, c in enumerate(data[a:a + 400].tolist())) % prime for a in at]
+        assert names._word(point, at, 400).tolist() == want
+    at = np.arange(100, 601)
+    for x, y in zip(names.long(at, 400), names.long(at + 69_900, 400)):
+        assert (x == y).all() and len(set(x.tolist())) == len(at)
+    keys, checks = np.array([7, 3, 7, 7, 3], np.uint64), np.array([1, 0, 2, 1, 0], np.uint64)
+    k, c, count, index = S.distinct(keys, checks)  # one key, two strings
+    assert (k.tolist(), c.tolist(), count.tolist()) == ([3, 7, 7], [0, 1, 2], [2, 2, 1]) and index.tolist() == [1, 0, 2, 1, 0]
+    assert S.from_low_bytes(S.low_bytes(checks, 3), 5, 3).tolist() == checks.tolist()
+    assert S.from_low_bytes(S.low_bytes(checks, 0), 5, 0).tolist() == [0] * 5
+
+
 @pytest.mark.parametrize("r", [0, 1, 2, 3])
 def test_difference_cover(r):
     from abridge.llm.suffix_dedup import cover_for, difference_cover
