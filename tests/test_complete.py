@@ -18,6 +18,28 @@ def test_long_chain_is_walked_to_its_end_and_a_guard_raises(spark):
     assert sorted((r["vid"], r["d"], r["hops"]) for r in short.collect()) == [(i, float(i), i) for i in range(13)]
 
 
+def test_a_round_moves_no_edge_and_the_edge_table_is_dropped(spark):
+    from abridge.operators.geo import sssp, steps
+    from abridge.session import bucketed, cut_lineage
+    edges = spark.range(500).select(F.lit("m").alias("mesh_id"), F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("w"))
+    frontier = cut_lineage(spark.range(9).select(F.lit("m").alias("mesh_id"), F.lit(0).cast("long").alias("source"), F.col("id").alias("vid"),
+                                                 F.lit(0.0).alias("d"), F.lit(0).cast("long").alias("hops")))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    before = {t.name for t in spark.catalog.listTables()}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        with bucketed(edges, "mesh_id", "src") as e:
+            moved = steps(frontier, e)
+            assert sorted(r["vid"] for r in moved.collect()) == list(range(1, 10))
+            plan = moved._jdf.queryExecution().executedPlan().toString()
+            assert plan.split("Initial Plan")[0].count("Exchange") == 1  # the frontier's
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    src = spark.createDataFrame([("m", 495)], "mesh_id string, source long")
+    assert sorted((r["vid"], r["d"]) for r in sssp(edges, src).collect()) == [(495 + i, float(i)) for i in range(6)]
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_knn_with_one_dense_cell_and_far_points(spark):
     from abridge.operators.geo import knn_edges
     pts = [(i, (i % 10) * 1e-4, (i // 10) * 1e-4, 0.0) for i in range(60)] + [(100 + i, 10.0 ** i, 0.0, 5.0) for i in range(4)]
