@@ -184,7 +184,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Every copy loses the passage, the first too, and passages never cross documents. Null texts are empty; texts shorter
     than ``length`` lose nothing. A null id stays null; rows with equal ids are documents of their own. Other columns are
     not used; an empty table gives an empty one. Strings are compared by fingerprints at points drawn for each run, whose
-    bits grow with the input: whatever the texts, a run has no false match but with a chance of about one in a million.
+    bits grow with the input, so that fewer than 2**-SAFETY_BITS chance matches are expected in a run; bytes are not compared.
     """
     scratch = Scratch(docs.sparkSession, "suffixes")
     v, cover = cover_for(length)
