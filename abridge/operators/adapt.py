@@ -121,8 +121,7 @@ def sample_style(draws: DataFrame, weights: DataFrame, uniform: bool, keys=GKEY)
 
 # --------------------------------------------------------------------------- adaptation
 def adaptation(scores: DataFrame, roles: DataFrame, ratios, adapt_size: int = 10, n_total: int = 5,
-               warmup_ratio: float = 0.5, seed: int = 42, checkpoint_every: int = 1,
-               configs=None):
+               warmup_ratio: float = 0.5, seed: int = 42, configs=None):
     """``adaptation``: run ``adapt_size`` rounds for all groups at once.
 
     ``scores``: ``task, sample_id, ratio, style, score`` for every style; ``roles``: output of :func:`adapt_infer_split` (with ``grp``).
@@ -140,9 +139,7 @@ def adaptation(scores: DataFrame, roles: DataFrame, ratios, adapt_size: int = 10
              .withColumn("_c", F.explode(cfg)).select("*", "_c.config", "_c.n_style", "_c.n_icl").drop("_c"))
     adapt = cut_lineage(adapt)
     groups = adapt.select(*GKEY).distinct()
-    stats = (explode_styles(groups)
-             .withColumn("perf_sum", F.lit(0.0)).withColumn("n", F.lit(0).cast("bigint")))
-    stats = cut_lineage(stats)
+    groups = cut_lineage(explode_styles(groups))
     demos = None
     # Candidate scores are computed once, materialized, then only looked up.
     sc = cut_lineage(scores.select("task", "sample_id", "ratio", "style", "score"))
@@ -154,7 +151,8 @@ def adaptation(scores: DataFrame, roles: DataFrame, ratios, adapt_size: int = 10
         slots = slots.withColumn("u", unit_draw(F.lit(seed), F.col("task"), ratio_key(), F.col("grp"),
                                                  F.lit(i), F.col("slot")))
         uniform = i < warmup_ratio * adapt_size
-        drawn = sample_style(slots, style_weights(stats), uniform)
+        weights = None if uniform else style_weights(running_stats(groups, demos))
+        drawn = sample_style(slots, weights, uniform)
         tries = drawn.select(*GKEY, "sample_id", "slot", style_name().alias("style"), style_name().alias("text_style"))
         if demos is not None:
             tries = tries.unionByName(icl_tries(cur, demos))
@@ -164,21 +162,28 @@ def adaptation(scores: DataFrame, roles: DataFrame, ratios, adapt_size: int = 10
         best = best_candidate(tries, [*GKEY, "sample_id"])
         demo = best.join(ca, GKEY).select(*GKEY, F.lit(i).alias("iteration"), "sample_id",
                                           F.col("style").alias("style_used"), "text_style", "score", "ca")
-        win = demo.where(F.col("style_used") != "icl").select(*GKEY, F.col("style_used").alias("style"),
-                                                               F.col("score").alias("win"))
-        stats = (stats.join(win, [*GKEY, "style"], "left")
-                 .withColumn("perf_sum", F.col("perf_sum") + F.coalesce("win", F.lit(0.0)))
-                 .withColumn("n", F.col("n") + F.when(F.col("win").isNotNull(), 1).otherwise(0))
-                 .drop("win"))
+        # Only the round's demonstrations are written: the statistics and the pool follow from them.
+        demo = cut_lineage(demo)
         demos = demo if demos is None else demos.unionByName(demo)
-        if (i + 1) % checkpoint_every == 0:
-            stats = cut_lineage(stats)
-            demos = cut_lineage(demos)
+    stats = running_stats(groups, demos)
     stats = stats.withColumn("avg_perf", F.when(F.col("n") > 0, F.col("perf_sum") / F.col("n"))
                              .otherwise(F.lit(0.0)))
     return demos, stats
 
 
+def running_stats(groups: DataFrame, demos: DataFrame | None) -> DataFrame:
+    """``running_style_state``: per group and style, sum and count of its winning scores (few-shot wins do not count).
+
+    ``groups``: every group x style. A group has at most one demonstration a round.
+    """
+    if demos is None:
+        return groups.withColumns({"perf_sum": F.lit(0.0), "n": F.lit(0).cast("bigint")})
+    won = (demos.where(F.col("style_used") != "icl").groupBy(*GKEY, F.col("style_used").alias("style"))
+           .agg(F.sum("score").alias("perf_sum"), F.count(F.lit(1)).alias("n")))
+    return groups.join(won, [*GKEY, "style"], "left").withColumns(
+        {"perf_sum": F.coalesce("perf_sum", F.lit(0.0)), "n": F.coalesce("n", F.lit(0).cast("bigint"))})
+
+
 def running_pool(demos: DataFrame, size: int = ICL_DEMOS) -> DataFrame:
     """``running_pool``: the pool's best ``size`` demonstrations by (ca desc, iteration), ranked from 1.
 
@@ -233,17 +238,17 @@ def inference(infer_samples: DataFrame, demo_arr: DataFrame, ratios, configs, co
     The stand-in model answers in the style of the best demonstration shown.
     """
     from abridge.operators.candidates import add_targets, rule_of, with_tokens
-    from abridge.operators.compress import compress_by, with_ranked
+    from abridge.operators.compress import compress_by, with_parts, with_scores
     from abridge.operators.requests import join_completions, standin_completions, with_request
     cfg = F.array(*[F.lit(c) for c, _, _ in configs])
     rules = F.create_map(*[F.lit(x) for s in STYLE_NAMES for x in (s, rule_of(s))])
     names = {rule_of(s) for s in STYLE_NAMES}
-    df = (with_tokens(with_ranked(infer_samples, names, corpus))
+    df = (with_parts(with_tokens(with_scores(infer_samples, names, corpus)), names)
           .withColumn("ratio", F.explode(F.array(*[F.lit(float(r)) for r in ratios])))
           .withColumn("config", F.explode(cfg)).join(demo_arr, GKEY, "left"))
     df = df.withColumn("answer_style", F.coalesce(F.get(F.col("demos"), F.lit(0))["text_style"], F.lit("loc-begin")))
     df = add_targets(df.withColumn("rule", rules[F.col("answer_style")]))
-    df = df.withColumn("compressed", compress_by(F.col("rule"), F.col("target"), F.col("ratio"), names)).drop("ranked")
+    df = df.withColumn("compressed", compress_by(F.col("rule"), F.col("target"), F.col("ratio"), names)).drop("parts")
     df = with_request(df.withColumn("style", F.concat(F.lit("for_"), F.col("task"))), "style", demos_col="demos")
     asked = df.where(F.col("demos").isNotNull()).select("request_id", F.col("answer_style").alias("style"), "compressed")
     return join_completions(df, completions_fn(asked) if completions_fn else standin_completions(asked))

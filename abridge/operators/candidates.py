@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from abridge.functions.tokens import n_tokens, rouge_tokens, target_tokens, ws_tokens
 from abridge.functions.metrics import token_ids
 from abridge.operators.catalog import BASELINE_RULE, STYLE_NAMES, STYLE_RULE
-from abridge.operators.compress import compress_by, with_ranked
+from abridge.operators.compress import compress_by, with_parts, with_scores
 
 
 def rule_of(method: str) -> str:
@@ -62,7 +62,7 @@ def candidate_arrays(samples: DataFrame, ratios, methods, seed: int = 42,
     frequencies drive the extractive rule (default: ``samples`` themselves).
     """
     rules = {rule_of(m) for m in methods}
-    df = with_tokens(with_ranked(samples, rules, corpus))
+    df = with_parts(with_tokens(with_scores(samples, rules, corpus)), rules)
 
     def make(g: F.Column) -> F.Column:
         t = _budget(g["ratio"], g["min_one"])
@@ -70,14 +70,14 @@ def candidate_arrays(samples: DataFrame, ratios, methods, seed: int = 42,
                         compress_by(g["rule"], t, g["ratio"], rules, seed).alias("compressed"))
 
     df = df.withColumn("grid", F.transform(grid_array(ratios, methods, floor0_methods), make))
-    return df.drop("ranked")
+    return df.drop("parts")
 
 
 def candidates(samples: DataFrame, ratios, methods, seed: int = 42,
                floor0_methods=("selective-context",), corpus: DataFrame | None = None) -> DataFrame:
     """Rule candidates for the whole grid: one row per (task, sample_id, ratio, style)."""
     rules = {rule_of(m) for m in methods}
-    df = with_tokens(with_ranked(samples, rules, corpus))
+    df = with_parts(with_tokens(with_scores(samples, rules, corpus)), rules)
     df = df.withColumn("g", F.explode(grid_array(ratios, methods, floor0_methods))).select("*", "g.*").drop("g")
     df = df.withColumn("target", _budget(F.col("ratio"), F.col("min_one"))).drop("min_one")
-    return df.withColumn("compressed", compress_by(F.col("rule"), F.col("target"), F.col("ratio"), rules, seed)).drop("ranked")
+    return df.withColumn("compressed", compress_by(F.col("rule"), F.col("target"), F.col("ratio"), rules, seed)).drop("parts")

@@ -2,8 +2,9 @@
 
 A rule is an expression of the budget over one sample row (``prompt``, ``tok``
 whitespace tokens, ``n_tok``), so a sample's whole grid of candidates is one array made in one
-projection. Only ``extractive`` needs corpus statistics (document frequency): its ranked sentences
-are joined to the sample once, before the grid.
+projection. What a rule takes from the sample whatever the budget (sentences, lines, abbreviations) is made
+once a sample (``with_parts``). Only ``extractive`` needs corpus statistics (document frequency): its sentence
+scores are joined to the sample once, before the grid.
 """
 
 from __future__ import annotations
@@ -80,15 +81,14 @@ def rule_sentences(t: Column) -> Column:
     Every kept sentence is followed by ". " and the result is stripped, so a
     text kept whole ends in ".." when it already ended with a dot (Q18).
     """
-    sents = F.split(F.col("prompt"), SENT_SEP)
-    k = fitting(F.transform(sents, lambda s: F.size(ws_tokens(s)).cast("bigint")), t)
-    return _sentences_text(F.slice(sents, F.lit(1), k), k)
+    k = fitting(F.col("parts.sizes"), t)
+    return _sentences_text(F.slice("parts.sents", F.lit(1), k), k)
 
 
 def rule_lines(t: Column) -> Column:
     """Format-aware: every line keeps its first ``floor(len*t/n)`` tokens; line breaks stay."""
     cut = lambda w: _join(F.slice(w, F.lit(1), _int(F.floor(F.size(w) * t / F.col("n_tok")))))
-    lines = F.transform(F.split("prompt", "\n"), lambda line: cut(ws_tokens(line)))
+    lines = F.transform("parts.lines", cut)
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
@@ -103,19 +103,19 @@ def abbreviated(tok) -> Column:
 
 def rule_abbrev(t: Column) -> Column:
     """Unreadable: drop stop words, drop inner vowels of longer words, keep ``target`` tokens."""
-    return _join(F.slice(abbreviated("tok"), F.lit(1), _int(t)))
+    return _join(F.slice("parts.abbr", F.lit(1), _int(t)))
 
 
 def rule_extractive(t: Column) -> Column:
-    """``comp_extractive``: best-ranked sentences while the budget lasts, original order (``ranked`` per sample)."""
-    k = fitting(F.transform("ranked", lambda x: x["ntok"]), t)
-    chosen = F.sort_array(F.transform(F.slice("ranked", F.lit(1), k),
+    """``comp_extractive``: best-ranked sentences while the budget lasts, original order."""
+    k = fitting(F.transform("parts.ranked", lambda x: x["ntok"]), t)
+    chosen = F.sort_array(F.transform(F.slice("parts.ranked", F.lit(1), k),
                                       lambda x: F.struct(x["pos"].alias("pos"), x["sent"].alias("sent"))))
     return _sentences_text(F.transform(chosen, lambda x: x["sent"]), k)
 
 
 def compress_by(rule: Column, t: Column, ratio: Column, rules, seed: int = 42) -> Column:
-    """The candidate text for ``rule`` and budget ``t`` of a sample row (prompt, tok, n_tok, task, sample_id, ranked).
+    """The candidate text for ``rule`` and budget ``t`` of a sample row (prompt, tok, n_tok, task, sample_id, parts).
 
     A text that already fits its budget is kept whole, except by the sentence
     rules, which always re-join their sentences with ". ". ``rules``: the rules that can occur.
@@ -130,40 +130,49 @@ def compress_by(rule: Column, t: Column, ratio: Column, rules, seed: int = 42) -
 
 
 def sentence_scores(samples: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
-    """Per sample: sentences with their idf score, as one sorted array.
-
-    score = -mean(ln df(token)) over the sentence's ROUGE tokens, which ranks
-    sentences exactly like mean idf = ln N - mean(ln df) without needing N.
-    Document frequency is a partial+final aggregate per token (hot tokens
-    such as "the" are combined map-side); the token->df join lets AQE pick
-    broadcast when the vocabulary is measured small and split skewed
-    partitions otherwise.
+    """Per sample: ``scores``, one number a sentence in text order; the lowest is the best sentence.
+
+    score = mean(ln df(token)) over the sentence's ROUGE tokens, which ranks
+    sentences exactly like mean idf = ln N - mean(ln df) without needing N;
+    a sentence without tokens comes last. Document frequency is a partial+final
+    aggregate per token (hot tokens such as "the" are combined map-side); the
+    token->df join lets AQE pick broadcast when the vocabulary is measured small
+    and split skewed partitions otherwise. Tokens and numbers move, no sentence does.
     """
-    docs = samples.select("task", "sample_id", "prompt")
-    corpus_docs = (corpus if corpus is not None else samples).select("task", "sample_id", "prompt")
+    corpus_docs = corpus if corpus is not None else samples
     df_tok = (corpus_docs.select(F.explode(F.array_distinct(rouge_tokens("prompt"))).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("df")))
-    sents = docs.select("task", "sample_id",
-                        F.posexplode(F.split(F.col("prompt"), SENT_SEP)).alias("pos", "sent"))
-    toks = sents.select("task", "sample_id", "pos",
-                        F.explode(rouge_tokens("sent")).alias("token"))
-    scored = (toks.join(df_tok, "token")
-              .groupBy("task", "sample_id", "pos")
-              .agg(F.avg(F.log(F.col("df").cast("double"))).alias("mean_ln_df")))
-    per_sent = (sents.join(scored, ["task", "sample_id", "pos"], "left")
-                .select("task", "sample_id",
-                        F.struct(
-                            F.coalesce(F.round(F.col("mean_ln_df"), 9), F.lit(1e9)).alias("neg_score"),
-                            F.col("pos").cast("int").alias("pos"),
-                            F.size(ws_tokens("sent")).cast("bigint").alias("ntok"),
-                            F.col("sent").alias("sent")).alias("s")))
-    return (per_sent.groupBy("task", "sample_id")
-            .agg(F.sort_array(F.collect_list("s")).alias("ranked")))
-
-
-def with_ranked(samples: DataFrame, rules, corpus: DataFrame | None = None) -> DataFrame:
-    """Add ``ranked`` where a rule needs it: one join on the sample key, before any grid row exists."""
+    sents = samples.select("task", "sample_id", F.posexplode(F.split("prompt", SENT_SEP)).alias("pos", "sent"))
+    toks = sents.select("task", "sample_id", "pos", F.explode_outer(rouge_tokens("sent")).alias("token"))
+    # A sentence without tokens keeps its row under a key that no token has and that no other sentence shares.
+    toks = toks.withColumn("token", F.coalesce("token", F.concat_ws("#", F.lit(""), "task", "sample_id", "pos")))
+    mean = F.round(F.avg(F.log(F.col("df").cast("double"))), 9)
+    scored = toks.join(df_tok, "token", "left").groupBy("task", "sample_id", "pos").agg(
+        F.coalesce(mean, F.lit(1e9)).alias("score"))
+    in_order = F.sort_array(F.collect_list(F.struct("pos", "score")))
+    return scored.groupBy("task", "sample_id").agg(F.transform(in_order, lambda x: x["score"]).alias("scores"))
+
+
+def with_scores(samples: DataFrame, rules, corpus: DataFrame | None = None) -> DataFrame:
+    """Add the sentence ``scores`` where a rule needs them: one join on the sample key, before any grid row exists."""
     if "extractive" not in rules:
         return samples
-    ranked = sentence_scores(samples, corpus)
-    return samples.join(ranked, ["task", "sample_id"], "left")
+    return samples.join(sentence_scores(samples, corpus), ["task", "sample_id"], "left")
+
+
+def with_parts(df: DataFrame, rules) -> DataFrame:
+    """Add ``parts``: what the rules take from a sample (``prompt``, ``tok``, ``scores``) whatever the budget.
+
+    A generator holds it, so it is made once a sample and not again for each cell of the grid.
+    """
+    size = lambda s: F.size(ws_tokens(s)).cast("bigint")
+    sents = F.split("prompt", SENT_SEP)
+    need = {"abbrev": lambda: [abbreviated("tok").alias("abbr")],
+            "sentences": lambda: [sents.alias("sents"), F.transform(sents, size).alias("sizes")],
+            "lines": lambda: [F.transform(F.split("prompt", "\n"), ws_tokens).alias("lines")],
+            "extractive": lambda: [F.sort_array(F.transform(sents, lambda s, i: F.struct(
+                F.get("scores", i).alias("score"), i.alias("pos"), size(s).alias("ntok"), s.alias("sent")))).alias("ranked")]}
+    parts = [c for rule in sorted(set(rules) & set(need)) for c in need[rule]()]
+    if parts:
+        df = df.withColumn("parts", F.explode(F.array(F.struct(*parts))))
+    return df.drop("scores")
