@@ -1,16 +1,16 @@
 """Adaptive style selection: sampling, adaptation rounds, demonstrations, inference.
 
-A group is ``(task, ratio, grp)``. Adaptation visits the first ``M`` prompts
-of every group in ``sample_id`` order; in round ``i`` all groups advance
-together: style draws from the group's running style statistics and, once the
-group's demonstration pool is not empty, few-shot ("icl") tries that see the
-pool's best ``ICL_DEMOS``. Scores are looked up in the precomputed candidate ``scores``; the
-best candidate and its comparative advantage join the pool, and statistics
-are updated unless a few-shot try won. The stand-in model answers the j-th few-shot try in the
-style of the j-th best demonstration (the last one there is, if the pool is smaller), so the pool
-decides the text: ``text_style`` is the style a demonstration's text was made in. The state per group is 13
-(sum, count) rows plus at most ``M`` demonstrations; each round's state is
-checkpointed to the shared checkpoint folder.
+A group is ``(config, task, ratio, grp)``. Adaptation visits the first ``M`` prompts of every group in ``sample_id``
+order; round ``i`` draws styles from the group's running style statistics and, once the group's demonstration pool
+is not empty, makes few-shot ("icl") tries that see the pool's best ``ICL_DEMOS``. Scores are looked up in the
+precomputed candidate ``scores``; the best candidate and its comparative advantage join the pool, and statistics
+are updated unless a few-shot try won. The stand-in model answers the j-th few-shot try in the style of the j-th best
+demonstration (the last one there is, if the pool is smaller), so the pool decides the text: ``text_style`` is
+the style a demonstration's text was made in.
+
+The rounds of a group need nothing but the group: at most ``M`` prompts with one score a style, and a state of one (sum,
+count) a style and at most ``M`` demonstrations. So a group is one row and its rounds are one ``aggregate`` over its
+prompts: all groups run side by side in one stage, without a round trip to the driver.
 
 Draws are deterministic: ``u`` = first 8 hex digits of
 ``md5(seed|task|ratio*1000|grp|iteration|slot)`` / 2^32.
@@ -18,7 +18,9 @@ Draws are deterministic: ``u`` = first 8 hex digits of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from abridge.operators.catalog import STYLE_NAMES, TASK_SETTINGS
@@ -34,22 +36,29 @@ def ratio_key(c="ratio"):
     return F.round(F.col(c) * 1000).cast("bigint").cast("string")
 
 
-def unit_draw(*parts) -> F.Column:
+def unit_draw(*parts) -> Column:
     """Uniform draw in [0, 1) from md5 of the '|'-joined parts."""
     key = F.concat_ws("|", *[p.cast("string") for p in parts])
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
-def style_name(idx_col="style_idx") -> F.Column:
+def style_name(idx: Column) -> Column:
     """Catalog name of a 0-based style index (literal array lookup, no join)."""
-    return F.element_at(F.array(*[F.lit(s) for s in STYLE_NAMES]), F.col(idx_col) + 1)
+    return F.get(F.array(*[F.lit(s) for s in STYLE_NAMES]), idx)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def explode_styles(df: DataFrame) -> DataFrame:
-    """Every row x the 13 catalog styles (generator over a literal array)."""
-    arr = F.array(*[F.struct(F.lit(i).alias("style_idx"), F.lit(s).alias("style"))
-                    for i, s in enumerate(STYLE_NAMES)])
-    return df.withColumn("_s", F.explode(arr)).select("*", "_s.style_idx", "_s.style").drop("_s")
+def total(xs: Column, kind: str = "double") -> Column:
+    return F.aggregate(xs, F.lit(0).cast(kind), lambda a, x: a + x)
+
+
+def first_slots(n: Column) -> Column:
+    """0 .. n - 1; empty where n is 0."""
+    return F.slice(F.sequence(F.lit(0), n), F.lit(1), n)
 
 
 # --------------------------------------------------------------------------- splits
@@ -73,53 +82,79 @@ def adapt_infer_split(samples: DataFrame, adapt_size: int, keys=("task", "grp"))
 
 
 # --------------------------------------------------------------------------- advantage / best
-def comparative_advantage(scores: DataFrame, keys, kind_col: str = "ca_kind") -> DataFrame:
-    """``ca_min``/``ca_mid`` per key: max-min or max-median; 0 when <= 1 score."""
-    return scores.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_scores"),
-        F.max("score").alias("max_score"), F.min("score").alias("min_score"),
-        F.percentile(F.col("score"), 0.5).alias("median_score"),
-        F.first(kind_col).alias(kind_col),
-    ).withColumn("ca", F.when(F.col("n_scores") <= 1, F.lit(0.0))
-                 .when(F.col(kind_col) == "mid", F.col("max_score") - F.col("median_score"))
-                 .otherwise(F.col("max_score") - F.col("min_score")))
+def comparative_advantage(scores: Column, kind: Column) -> Column:
+    """``ca_min``/``ca_mid`` of a round's scores: max-min or max-median; 0 when <= 1 score."""
+    n = F.size(scores)
+    median = lambda xs: (F.get(xs, F.floor((n - 1) / 2).cast("int")) + F.get(xs, F.floor(n / 2).cast("int"))) / 2
+    low = F.when(kind == "mid", let(F.array_sort(scores), median)).otherwise(F.array_min(scores))
+    return F.when(n <= 1, F.lit(0.0)).otherwise(F.array_max(scores) - low)
 
 
-def best_candidate(scores: DataFrame, keys) -> DataFrame:
-    """``best_candidate``: the first slot holding the maximum score."""
-    return scores.groupBy(*keys).agg(
-        F.min_by(F.struct("slot", "style", "text_style", "score"), F.struct((-F.col("score")).alias("s"), F.col("slot")))
-        .alias("best")).select(*keys, "best.slot", "best.style", "best.text_style", "best.score")
+def best_candidate(tries: Column) -> Column:
+    """``best_candidate``: the first slot holding the maximum score; null without tries."""
+    return F.array_min(F.transform(tries, lambda t: F.struct(
+        (-t["score"]).alias("order"), t["slot"].alias("slot"), t["icl"].alias("icl"), t["style_idx"].alias("style_idx"), t["score"].alias("score"))))
 
 
 # --------------------------------------------------------------------------- style statistics
-def style_weights(stats: DataFrame, keys=GKEY) -> DataFrame:
-    """``style_weights``: w = max(mean, 0.1) (0.1 if unused), normalized per group; with cum."""
-    w = F.when(F.col("n") > 0, F.greatest(F.col("perf_sum") / F.col("n"), F.lit(0.1))).otherwise(F.lit(0.1))
-    grp = Window.partitionBy(*keys)
-    run = grp.orderBy("style_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (stats.withColumn("w", w)
-            .withColumn("weight", F.col("w") / F.sum("w").over(grp))
-            .withColumn("cum", F.round(F.sum("w").over(run) / F.sum("w").over(grp), 12))
-            .withColumn("total_n", F.sum("n").over(grp)))
-
-
-def sample_style(draws: DataFrame, weights: DataFrame, uniform: bool, keys=GKEY) -> DataFrame:
+def style_weights(sums: Column, counts: Column) -> Column:
+    """``style_weights``: w = max(mean, 0.1) (0.1 if unused); the running share of their total, by style index."""
+    w = F.zip_with(sums, counts, lambda s, n: F.when(n > 0, F.greatest(s / n, F.lit(0.1))).otherwise(F.lit(0.1)))
+    return let(w, lambda x: F.transform(x, lambda _, i: F.round(total(F.slice(x, F.lit(1), i + 1)) / total(x), 12)))
+
+
+def sample_style(u: Column, shares: Column, uniform: Column) -> Column:
     """``sample_style``: uniform index floor(u*13) during warm-up or without counts,
-    else the first style whose cumulative weight exceeds u."""
-    uni = F.least(F.floor(F.col("u") * N_STYLES).cast("int"), F.lit(N_STYLES - 1))
-    if uniform:
-        return draws.withColumn("style_idx", uni)
-    j = draws.join(weights.select(*keys, "style_idx", "cum", "total_n"), list(keys))
-    picked = j.groupBy(*keys, "slot", "sample_id", "u").agg(
-        F.sum(F.when(F.col("cum") <= F.col("u"), 1).otherwise(0)).alias("below"),
-        F.max("total_n").alias("total_n"))
-    return picked.withColumn("style_idx", F.when(F.col("total_n") == 0, uni)
-                             .otherwise(F.least(F.col("below"), F.lit(N_STYLES - 1))).cast("int")) \
-                 .drop("below", "total_n")
+    else the first style whose running share exceeds u."""
+    drawn = F.when(uniform, F.floor(u * N_STYLES).cast("int")).otherwise(F.size(F.filter(shares, lambda c: c <= u)))
+    return F.least(drawn, F.lit(N_STYLES - 1))
+
+
+def running_style_state(state: Column, best: Column) -> tuple[Column, Column]:
+    """``running_style_state``: (sums, counts) after a round; a few-shot win does not count, nor does a round without tries."""
+    won = lambda i: best.isNotNull() & ~best["icl"] & (best["style_idx"] == i)
+    return (F.transform(state["sums"], lambda x, i: F.when(won(i), x + best["score"]).otherwise(x)),
+            F.transform(state["counts"], lambda x, i: F.when(won(i), x + 1).otherwise(x)))
+
+
+def running_pool(demos: Column, size: int = ICL_DEMOS) -> Column:
+    """``running_pool``: style indices of the pool's best ``size`` demonstrations by (ca desc, iteration)."""
+    ranked = F.array_sort(F.transform(demos, lambda d: F.struct((-d["ca"]).alias("o"), d["iteration"].alias("i"), d["style_idx"].alias("s"))))
+    return F.transform(F.slice(ranked, 1, size), lambda d: d["s"])
+
+
+def icl_tries(pool: Column, n_style: Column, n_icl: Column) -> Column:
+    """``icl_demos``: the few-shot tries of a round; none where the pool is empty."""
+    n = F.when(F.size(pool) > 0, n_icl).otherwise(F.lit(0))
+    return F.transform(first_slots(n), lambda j: F.struct((n_style + j).alias("slot"), F.lit(True).alias("icl"),
+                                                          F.get(pool, F.least(j, F.size(pool) - 1)).alias("style_idx")))
 
 
 # --------------------------------------------------------------------------- adaptation
+def _round(state: Column, prompt: Column, warm: float, seed: int, kind: Column) -> Column:
+    """The state after one prompt of the group."""
+    i, n_style = prompt["pos"], F.col("n_style")
+    uniform = (i < warm) | (total(state["counts"], "bigint") == 0)
+    draw = lambda slot: unit_draw(F.lit(seed), F.col("task"), ratio_key(), F.col("grp"), i, slot)
+    drawn = let(style_weights(state["sums"], state["counts"]), lambda shares: F.transform(first_slots(n_style), lambda slot: F.struct(
+        slot.alias("slot"), F.lit(False).alias("icl"), sample_style(draw(slot), shares, uniform).alias("style_idx"))))
+    shown = let(running_pool(state["demos"]), lambda pool: icl_tries(pool, n_style, F.col("n_icl")))
+    scored = F.transform(F.concat(drawn, shown), lambda t: F.struct(
+        t["slot"].alias("slot"), t["icl"].alias("icl"), t["style_idx"].alias("style_idx"), F.get(prompt["scores"], t["style_idx"]).alias("score")))
+
+    def after(tries: Column) -> Column:
+        return let(best_candidate(tries), lambda best: close(tries, best))
+
+    def close(tries: Column, best: Column) -> Column:
+        demo = F.struct(i.alias("iteration"), prompt["sample_id"].alias("sample_id"), best["icl"].alias("icl"), best["style_idx"].alias("style_idx"),
+                        best["score"].alias("score"), comparative_advantage(F.transform(tries, lambda t: t["score"]), kind).alias("ca"))
+        sums, counts = running_style_state(state, best)
+        demos = F.when(best.isNull(), state["demos"]).otherwise(F.concat(state["demos"], F.array(demo)))
+        return F.struct(sums.alias("sums"), counts.alias("counts"), demos.alias("demos"))
+
+    return let(F.filter(scored, lambda t: t["score"].isNotNull()), after)
+
+
 def adaptation(scores: DataFrame, roles: DataFrame, ratios, adapt_size: int = 10, n_total: int = 5,
                warmup_ratio: float = 0.5, seed: int = 42, configs=None):
     """``adaptation``: run ``adapt_size`` rounds for all groups at once.
@@ -135,74 +170,29 @@ def adaptation(scores: DataFrame, roles: DataFrame, ratios, adapt_size: int = 10
                     for c, a, b in configs])
     kinds = F.create_map(*[x for t, (_, k) in TASK_SETTINGS.items() for x in (F.lit(t), F.lit(k))])
     adapt = (roles.where("is_adapt").select("task", "grp", "sample_id", "pos")
-             .withColumn("ratio", F.explode(F.array(*[F.lit(float(r)) for r in ratios])))
-             .withColumn("_c", F.explode(cfg)).select("*", "_c.config", "_c.n_style", "_c.n_icl").drop("_c"))
-    adapt = cut_lineage(adapt)
-    groups = adapt.select(*GKEY).distinct()
-    groups = cut_lineage(explode_styles(groups))
-    demos = None
-    # Candidate scores are computed once, materialized, then only looked up.
-    sc = cut_lineage(scores.select("task", "sample_id", "ratio", "style", "score"))
-    for i in range(adapt_size):
-        cur = adapt.where(F.col("pos") == i).select(*GKEY, "sample_id", "n_style", "n_icl")
-        slots = (cur.where(F.col("n_style") > 0)
-                 .withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("n_style") - 1)))
-                 .drop("n_style", "n_icl"))
-        slots = slots.withColumn("u", unit_draw(F.lit(seed), F.col("task"), ratio_key(), F.col("grp"),
-                                                 F.lit(i), F.col("slot")))
-        uniform = i < warmup_ratio * adapt_size
-        weights = None if uniform else style_weights(running_stats(groups, demos))
-        drawn = sample_style(slots, weights, uniform)
-        tries = drawn.select(*GKEY, "sample_id", "slot", style_name().alias("style"), style_name().alias("text_style"))
-        if demos is not None:
-            tries = tries.unionByName(icl_tries(cur, demos))
-        tries = tries.join(sc.withColumnRenamed("style", "text_style"), ["task", "sample_id", "ratio", "text_style"])
-        tries = tries.withColumn("ca_kind", kinds[F.col("task")])
-        ca = comparative_advantage(tries, GKEY).select(*GKEY, "ca")
-        best = best_candidate(tries, [*GKEY, "sample_id"])
-        demo = best.join(ca, GKEY).select(*GKEY, F.lit(i).alias("iteration"), "sample_id",
-                                          F.col("style").alias("style_used"), "text_style", "score", "ca")
-        # Only the round's demonstrations are written: the statistics and the pool follow from them.
-        demo = cut_lineage(demo)
-        demos = demo if demos is None else demos.unionByName(demo)
-    stats = running_stats(groups, demos)
+             .withColumn("ratio", F.explode(F.array(*[F.lit(float(r)) for r in ratios]))))
+    by_style = scores.groupBy("task", "sample_id", "ratio").agg(F.array(*[
+        F.max(F.when(F.col("style") == s, F.col("score"))) for s in STYLE_NAMES]).alias("scores"))
+    adapt = adapt.join(by_style, ["task", "sample_id", "ratio"], "left")
+    id_type = roles.schema["sample_id"].dataType.simpleString()
+    demo = f"array<struct<iteration:int,sample_id:{id_type},icl:boolean,style_idx:int,score:double,ca:double>>"
+    start = F.struct(F.array_repeat(F.lit(0.0), N_STYLES).alias("sums"), F.array_repeat(F.lit(0).cast("bigint"), N_STYLES).alias("counts"),
+                     F.array().cast(demo).alias("demos"))
+    # At most adapt_size prompts a group.
+    groups = adapt.groupBy("task", "ratio", "grp").agg(F.array_sort(F.collect_list(F.struct("pos", "sample_id", "scores"))).alias("prompts"))
+    groups = groups.withColumn("c", F.explode(cfg)).select("task", "ratio", "grp", "prompts", "c.*")
+    state = F.aggregate("prompts", start, lambda a, x: _round(a, x, warmup_ratio * adapt_size, seed, kinds[F.col("task")]))
+    done = cut_lineage(groups.select(*GKEY, state.alias("state")))
+    demos = done.select(*GKEY, F.explode("state.demos").alias("d")).select(
+        *GKEY, "d.iteration", "d.sample_id", F.when(F.col("d.icl"), F.lit("icl")).otherwise(style_name(F.col("d.style_idx"))).alias("style_used"),
+        style_name(F.col("d.style_idx")).alias("text_style"), "d.score", "d.ca")
+    stats = done.select(*GKEY, F.posexplode(F.arrays_zip("state.sums", "state.counts")).alias("style_idx", "x")).select(
+        *GKEY, "style_idx", style_name(F.col("style_idx")).alias("style"), F.col("x.sums").alias("perf_sum"), F.col("x.counts").alias("n"))
     stats = stats.withColumn("avg_perf", F.when(F.col("n") > 0, F.col("perf_sum") / F.col("n"))
                              .otherwise(F.lit(0.0)))
     return demos, stats
 
 
-def running_stats(groups: DataFrame, demos: DataFrame | None) -> DataFrame:
-    """``running_style_state``: per group and style, sum and count of its winning scores (few-shot wins do not count).
-
-    ``groups``: every group x style. A group has at most one demonstration a round.
-    """
-    if demos is None:
-        return groups.withColumns({"perf_sum": F.lit(0.0), "n": F.lit(0).cast("bigint")})
-    won = (demos.where(F.col("style_used") != "icl").groupBy(*GKEY, F.col("style_used").alias("style"))
-           .agg(F.sum("score").alias("perf_sum"), F.count(F.lit(1)).alias("n")))
-    return groups.join(won, [*GKEY, "style"], "left").withColumns(
-        {"perf_sum": F.coalesce("perf_sum", F.lit(0.0)), "n": F.coalesce("n", F.lit(0).cast("bigint"))})
-
-
-def running_pool(demos: DataFrame, size: int = ICL_DEMOS) -> DataFrame:
-    """``running_pool``: the pool's best ``size`` demonstrations by (ca desc, iteration), ranked from 1.
-
-    A pool has at most one demonstration a round, so a group is small whatever the corpus.
-    """
-    w = Window.partitionBy(*GKEY)
-    return (demos.withColumn("rank", F.row_number().over(w.orderBy(F.col("ca").desc(), F.col("iteration"))))
-            .withColumn("n_pool", F.least(F.count(F.lit(1)).over(w), F.lit(size))).where(F.col("rank") <= size))
-
-
-def icl_tries(cur: DataFrame, demos: DataFrame) -> DataFrame:
-    """``icl_demos``: the few-shot tries of a round; none for a group with an empty pool."""
-    tries = (cur.where(F.col("n_icl") > 0)
-             .withColumn("slot", F.explode(F.sequence(F.col("n_style"), F.col("n_style") + F.col("n_icl") - 1))))
-    pool = running_pool(demos).select(*GKEY, "rank", "n_pool", "text_style")
-    tries = tries.join(pool, GKEY).where(F.col("rank") == F.least(F.col("slot") - F.col("n_style") + 1, F.col("n_pool")))
-    return tries.select(*GKEY, "sample_id", "slot", F.lit("icl").alias("style"), "text_style")
-
-
 def top_demos(demos: DataFrame, s_col="S") -> DataFrame:
     """``top_demos``: the S best demonstrations per group by (ca desc, iteration asc)."""
     s_map = F.create_map(*[x for t, (s, _) in TASK_SETTINGS.items() for x in (F.lit(t), F.lit(s))])
