@@ -9,6 +9,7 @@ from abridge.operators.adapt import (GKEY, adapt_infer_split, adaptation, demo_a
                                      style_ranking, top_demos)
 from abridge.operators.candidates import candidates
 from abridge.operators.catalog import RATIOS, STYLE_NAMES
+from abridge.operators.report import method_detail, task_summary
 from abridge.operators.scoring import score
 from abridge.operators.sweep import scored_grid
 from abridge.plans.registry import query
@@ -203,3 +204,55 @@ def q_method_comparison(spark, sf):
     return (out.join(n_demos, ["task", "ratio"], "left")
             .withColumn("num_demonstrations", F.when(F.col("method") == "adaptive", F.col("num_demonstrations"))
                         .otherwise(F.lit(0))))
+
+
+@query("prompt_ratios", sql=_inference_sql(f"""
+SELECT task, ratio, grp, sample_id, n_tok, n_out, round({_ACHIEVED}, 6) AS achieved FROM inf"""), operators=("avg_ratio", "actual_ratio"))
+def q_prompt_ratios(spark, sf):
+    """The achieved ratio of every inferred prompt, which ``ratio_sweep`` averages."""
+    inf = run_inference(spark, sf)[0].withColumn("n_out", n_tokens(ws_tokens("compressed")))
+    return inf.select("task", "ratio", "grp", "sample_id", "n_tok", "n_out", r6(actual_ratio("n_out", "n_tok")).alias("achieved"))
+
+
+def _summary_sql() -> str:
+    by_ratio = _inference_sql(f"SELECT task, 3 AS part, ratio::VARCHAR AS name, '  ' || ratio::VARCHAR || ': actual=' || "
+                              f"printf('%.3f', round(avg({_ACHIEVED}), 3)) AS line FROM inf GROUP BY task, ratio", RATIOS, ABLATION[-1])
+    by_config = [_inference_sql(f"SELECT task, 5 AS part, config AS name, '  ' || config || ': ratio=' || "
+                                f"printf('%.3f', round(avg({_ACHIEVED}), 3)) AS line FROM inf GROUP BY task, config", [0.25], c) for c in ABLATION]
+    heads = "".join(f" UNION ALL SELECT DISTINCT task, {i}, '', {line} FROM body" for i, line in (
+        (0, "upper(task) || ':'"), (1, f"'{'-' * 40}'"), (2, "'Compression Ratio Analysis:'"), (4, "'Ablation Study Results:'")))
+    return f"""WITH body AS ({" UNION ALL ".join(f"SELECT * FROM ({q})" for q in [by_ratio, *by_config])}),
+every AS (SELECT * FROM body{heads})
+SELECT task, row_number() OVER (PARTITION BY task ORDER BY part, name) - 1 AS line_no, line FROM every"""
+
+
+@query("report_summary", sql=_summary_sql(), operators=("report_text", "avg_ratio"))
+def q_report_summary(spark, sf):
+    """The printed summary of a task: achieved ratio by target ratio and by configuration, over one adaptation."""
+    inf = run_inference(spark, sf, configs=ABLATION)[0]
+    inf = cut_lineage(inf.select("config", "task", "ratio", actual_ratio(n_tokens(ws_tokens("compressed")), "n_tok").alias("achieved")))
+    mean = F.avg("achieved").alias("avg_ratio")
+    return task_summary(inf.where(F.col("config") == ABLATION[-1][0]).groupBy("task", "ratio").agg(mean),
+                        inf.where(F.col("ratio") == 0.25).groupBy("task", "config").agg(mean))
+
+
+@query("report_methods", sql=_inference_sql(f"""
+, every AS (SELECT task, ratio, 'adaptive' AS method, sample_id, n_tok, n_out, em, f1, compressed FROM inf
+  UNION ALL SELECT sc.task, sc.ratio, sc.style, sample_id, sc.n_tok, len(regexp_extract_all(sc.compressed, '\\S+')), sc.em, sc.f1, sc.compressed
+  FROM sc JOIN keys USING (sample_id, ratio) WHERE sc.style IN ({", ".join(f"'{m}'" for m in _METHODS)})),
+per AS (SELECT task, ratio, method, [upper(method) || ':', '  Average Ratio: ' || printf('%.3f', round(avg({_ACHIEVED}), 3)),
+    '  Quality Metrics: em=' || printf('%.3f', round(avg(em), 3)) || ', f1=' || printf('%.3f', round(avg(f1), 3)),
+    CASE WHEN method = 'adaptive' THEN '  Demonstrations Used: ' || (SELECT count(*) FROM demos) END,
+    '  Example Compression: ' || arg_min(substr(compressed, 1, 100), sample_id) || '...'] AS lines
+  FROM every GROUP BY task, ratio, method),
+kept AS (SELECT task, ratio, method, list_filter(lines, lambda x: x IS NOT NULL) AS lines FROM per)
+SELECT task, ratio, method, unnest(range(len(lines)))::BIGINT AS line_no, unnest(lines) AS line FROM kept""", [0.25], more_methods=_METHODS),
+       operators=("report_text", "method_summary"))
+def q_report_methods(spark, sf):
+    """The printed detail of every method: ratio, quality, demonstrations used, an example."""
+    inf, demos, infer_samples, s = run_inference(spark, sf, ratios=[0.25])
+    cols = ["task", "ratio", "sample_id", "n_tok", "compressed", "em", "f1"]
+    rows = inf.select(*cols, F.lit("adaptive").alias("method")).unionByName(
+        score(candidates(infer_samples, [0.25], _METHODS, corpus=s)).select(*cols, F.col("style").alias("method")))
+    rows = rows.withColumn("achieved", actual_ratio(n_tokens(ws_tokens("compressed")), "n_tok"))
+    return method_detail(rows, ["em", "f1"], demos.select("task", "ratio", F.lit("adaptive").alias("method")))

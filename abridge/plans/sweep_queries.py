@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from abridge.operators.catalog import RATIOS, STYLE_NAMES, TASK_METRICS
-from abridge.operators.report import report_lines
+from abridge.operators.report import report_lines, result_tables, table_header
 from abridge.operators.sweep import avg_metrics_all, pivot_long, primary_series, ratio_col, scored_grid, to_long
 from abridge.plans import sql as S
 from abridge.plans.registry import query
@@ -83,3 +83,24 @@ UNION ALL SELECT DISTINCT ratio, 'header', 0, printf('Compression ratio %.2f', r
 def q_report_text(spark, sf):
     """Fixed-width report lines per ratio: header, style rows, baseline rows."""
     return report_lines(_results_long(spark, sf), ["selective-context"])
+
+
+def _tables_sql() -> str:
+    cells = " || ".join(f"printf('%.3f', round(coalesce(max(value) FILTER (WHERE task = '{t}' AND metric = '{m}'), 0), 3)) || '      '"
+                        for t, ms in TASK_METRICS.items() for m in ms)
+    n = len(STYLE_NAMES)
+    place = f"list_position([{', '.join(f"'{m}'" for m in ALL_METHODS)}], style)"
+    heads = ((0, "'COMPRESSION RATIO: ' || ratio"), (1, f"'{table_header()}'"), (2, f"'{'-' * 80}'"), (n + 3, "'baselines:'"),
+             (n + 5, "'Table: Results at compression ratio ' || ratio"))
+    return f"""
+WITH {S.scored_cte(ALL_TASKS, ALL_METHODS, RATIOS)},
+{S.long_cte()}
+SELECT ratio, ({place} + 2 + CASE WHEN {place} > {n} THEN 1 ELSE 0 END)::BIGINT AS line_no, printf('%-15s ', style) || {cells} AS line
+FROM results_long GROUP BY ratio, style
+""" + "".join(f" UNION ALL SELECT DISTINCT ratio, {i}::BIGINT, {line} FROM results_long" for i, line in heads)
+
+
+@query("report_tables", sql=_tables_sql(), operators=("report_text",))
+def q_report_tables(spark, sf):
+    """The printed table of every ratio: title, column header, styles, baselines, caption."""
+    return result_tables(_results_long(spark, sf), STYLE_NAMES, ["selective-context"])
