@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from abridge.functions.text import parse_compression, parse_lingua, parse_vanilla
-from abridge.functions.tokens import truncate_tokens, ws_tokens
-from abridge.operators.requests import with_request
+from abridge.operators.requests import answer_calls, request_text
 
 # The compared methods in table order, and the request each sends (none: selective-context).
 METHODS = ["selective-context", "LLM-Lingua", "vanilla", "adaptive"]
@@ -17,43 +16,33 @@ PARSER = {"LLM-Lingua": parse_lingua, "vanilla": parse_vanilla, "adaptive": pars
 PIVOT_METRICS = ["rouge1", "rouge2", "rougeL", "bertscore"]
 
 
-def method_requests(df: DataFrame, models) -> DataFrame:
-    """Every row x model x method with the method's ``request_id`` (null where no model is asked)."""
-    ids = {}
-    for method, kind in REQUEST_KIND.items():
-        df = with_request(df, kind).withColumnRenamed("request_id", f"_{kind}").drop("request")
-        ids[method] = F.col(f"_{kind}")
-    pairs = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(x).alias("method"),
-                               ids.get(x, F.lit(None).cast("string")).alias("request_id")) for m in models for x in METHODS])
-    return df.withColumn("_p", F.explode(pairs)).select("*", "_p.*").drop("_p", *[f"_{k}" for k in REQUEST_KIND.values()])
+def method_calls(df: DataFrame, models, style: str = "for_reconstruction") -> DataFrame:
+    """``df``, a row a sample with ``budgets`` (array of ratio, target), with ``calls``: budget x model x method.
+
+    ``request_id`` is null where no model is asked; a request is rendered once for all models.
+    """
+    asked = F.transform("budgets", lambda b: F.struct(b["ratio"].alias("ratio"), b["target"].alias("target"), *[
+        F.md5(request_text(kind, b["target"], F.lit(style))).alias(kind) for kind in REQUEST_KIND.values()]))
+    none = F.lit(None).cast("string")
+    calls = F.transform(asked, lambda b: F.array(*[
+        F.struct(b["ratio"].alias("ratio"), b["target"].alias("target"), F.lit(m).alias("model"), F.lit(x).alias("method"),
+                 (b[REQUEST_KIND[x]] if x in REQUEST_KIND else none).alias("request_id")) for m in models for x in METHODS]))
+    return df.withColumn("calls", F.flatten(calls))
 
 
-def compress_with(requests: DataFrame, completions: DataFrame) -> DataFrame:
+def compress_with(calls: DataFrame, completions: DataFrame) -> DataFrame:
     """``comp_vanilla``, ``comp_lingua``, style: response -> own parser -> budget; the prefix where none came.
 
-    ``completions``: (model, request_id, response). Only ids and responses are dealt out; a sample's answers come back to
-    it as a map. Adds ``compressed`` and ``source`` (rule / completion / fallback).
+    ``calls``: :func:`method_calls`; ``completions``: (model, request_id, response). Adds ``response``, ``compressed`` and
+    ``source`` (rule / completion / fallback) to every call.
     """
-    keys = ["task", "sample_id"]
-    asked = requests.select(*keys, "model", "request_id").where(F.col("request_id").isNotNull()).distinct()
-    said = (asked.join(completions, ["model", "request_id"]).groupBy(*keys)
-            .agg(F.map_from_entries(F.collect_list(F.struct(_call(F.col("model"), F.col("request_id")), "response"))).alias("_said")))
-    df = requests.drop("compressed").join(said, keys, "left")
-    df = df.withColumn("response", F.col("_said")[_call(F.col("model"), F.col("request_id"))]).drop("_said")
-    parsed = F.lit(None).cast("string")
-    for method, parse in PARSER.items():
-        parsed = F.when(F.col("method") == method, parse(F.col("response"))).otherwise(parsed)
-    prefix = truncate_tokens(F.col("prompt"), F.col("tok"), F.col("target"))
-    df = df.withColumn("_parsed", parsed)
-    return df.withColumns({
-        "source": F.when(F.col("request_id").isNull(), "rule").when(F.col("response").isNull(), "fallback").otherwise("completion"),
-        "compressed": F.when(F.col("response").isNull(), prefix).otherwise(
-            truncate_tokens(F.col("_parsed"), ws_tokens("_parsed"), F.col("target"))),
-    }).drop("_parsed")
-
+    def parse(c: Column) -> Column:
+        parsed = F.lit(None).cast("string")
+        for method, parser in PARSER.items():
+            parsed = F.when(c["method"] == method, parser(c["response"])).otherwise(parsed)
+        return parsed
 
-def _call(model: Column, request_id: Column) -> Column:
-    return F.concat_ws("|", model, request_id)
+    return answer_calls(calls, completions, parse, ids=("model", "request_id"))
 
 
 def pivot_method(results: DataFrame, ratios, keys=("model", "method")) -> DataFrame:
