@@ -76,3 +76,20 @@ def test_subsequences_need_no_lcs(monkeypatch):
     cands = [np.array(x) for x in ([2, 2, 5], [1, 5], [5, 1], [5, 1], [1, 9], [7])]
     assert metrics._overlap_arrays(ref, cands, [False] * 6)[2].tolist() == [3, 2, 1, 1, 1, 0]
     assert len(runs) == 2  # equal candidates share one
+
+
+def test_search_makes_its_targets_once(spark):
+    from abridge.operators.geo import sssp
+    edges = spark.createDataFrame([("m", i, i + 1, 1.0) for i in range(5)], "mesh_id string, src long, dst long, w double")
+    src = spark.createDataFrame([("m", 0)], "mesh_id string, source long")
+    made = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for x in rows:
+            made.add(len(x))
+            yield x
+
+    targets = spark.createDataFrame([("m", 0, 3)], "mesh_id string, source long, target long")
+    targets = targets.mapInPandas(count, targets.schema)
+    assert {r.vid: r.d for r in sssp(edges, src, targets=targets).collect()}[3] == 3.0
+    assert made.value == 1
