@@ -1,8 +1,8 @@
 """Token counts and cuts by a byte-level BPE tokenizer file.
 
-A text is cut into pre-tokens by a regular expression in the JVM. Their merges do not depend on the text around them, so each
-distinct pre-token is merged once, by the tokenizer file; only those of several pieces come back to the texts. Budgets
-and cuts then are one running sum over a text's pre-tokens.
+A text is cut into pre-tokens by a regular expression in the JVM. Their merges do not depend on the text around them, so a
+task merges each distinct pre-token once, by the tokenizer file; only those of several pieces come back, in the text's own
+row, and no row is shuffled. Budgets and cuts then are one running sum over a text's pre-tokens.
 """
 
 from __future__ import annotations
@@ -14,6 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from abridge.functions.tokens import once
+
+KEPT = 200_000  # merged pre-tokens that a task remembers
+
 # Fixed value: the pre-token pattern of byte-level BPE (Unicode white space).
 PRE_TOKEN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -41,6 +45,12 @@ def pre_tokens(text: Column, added: list[str]) -> Column:
     return F.when(text.rlike(names), apart).otherwise(found(text))
 
 
+def _merged(tokenizer, tokens: list[str]) -> list[tuple[int, list[str]]]:
+    """(n, heads) of each token; heads[i]: the text of its first i + 1 pieces, empty for a single piece."""
+    return [(len(e.ids), [tokenizer.decode(e.ids[:i], skip_special_tokens=False) for i in range(1, len(e.ids))])
+            for e in tokenizer.encode_batch(tokens, add_special_tokens=False)]
+
+
 def piece_dictionary(tokens: DataFrame, path: str) -> DataFrame:
     """(token, n, heads) of the distinct values of ``token`` that are several pieces; heads[i]: the text of the first i + 1."""
     with open(path, encoding="utf-8") as f:
@@ -50,30 +60,44 @@ def piece_dictionary(tokens: DataFrame, path: str) -> DataFrame:
         from tokenizers import Tokenizer
         tokenizer = Tokenizer.from_str(model)
         for b in batches:
-            out = []
-            for token, e in zip(b["token"], tokenizer.encode_batch(list(b["token"]), add_special_tokens=False)):
-                if len(e.ids) > 1:
-                    heads = [tokenizer.decode(e.ids[:i], skip_special_tokens=False) for i in range(1, len(e.ids))]
-                    out.append((token, len(e.ids), heads))
+            out = [(token, *m) for token, m in zip(b["token"], _merged(tokenizer, list(b["token"]))) if m[0] > 1]
             yield pd.DataFrame(out, columns=["token", "n", "heads"])
 
     # a single ASCII character is one piece by construction
     return tokens.where(F.octet_length("token") > 1).select("token").distinct().mapInPandas(run, "token string, n int, heads array<string>")
 
 
+def several_pieces(path: str):
+    """A column function: the pre-tokens of a text that are several pieces, as (at, n, heads) in order."""
+    with open(path, encoding="utf-8") as f:
+        model = f.read()  # the file itself need not be on the executors
+
+    @F.pandas_udf("array<struct<at:int,n:int,heads:array<string>>>")
+    def several(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+        tokenizer, known = Tokenizer.from_str(model), {}
+        for b in batches:
+            if len(known) > KEPT:
+                known = {}
+            # a single ASCII character is one piece by construction
+            new = [t for t in {t for row in b for t in row} if t not in known and (len(t) > 1 or not t.isascii())]
+            known.update(zip(new, _merged(tokenizer, new)))
+            single = (1, [])
+            found = [[(at, *known.get(t, single)) for at, t in enumerate(row)] for row in b]
+            yield pd.Series([[{"at": at, "n": n, "heads": heads} for at, n, heads in row if n > 1] for row in found])
+
+    return several
+
+
 def with_pieces(df: DataFrame, keys: list[str], text: str, path: str | None = None) -> DataFrame:
     """``df`` with ``pre`` (pre-tokens), ``multi`` (those of several pieces: at, n, heads, in order) and ``n_pieces``.
 
-    ``keys`` name a row. A text's distinct pre-tokens with their places meet the dictionary; the text is not moved for it.
+    Nothing is joined or shuffled, so ``keys`` need not name a row.
     """
     path = path or default_tokenizer()
-    df = df.withColumn("pre", pre_tokens(F.coalesce(F.col(text), F.lit("")), added_tokens(path)))
-    places = (df.select(*keys, F.posexplode("pre").alias("at", "token"))
-              .groupBy(*keys, "token").agg(F.collect_list("at").alias("places")))
-    several = places.join(piece_dictionary(places, path), "token").groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list(
-        F.transform("places", lambda at: F.struct(at.alias("at"), F.col("n").alias("n"), F.col("heads").alias("heads")))))).alias("multi"))
-    df = df.join(several, keys, "left")
-    more = F.aggregate(F.coalesce(F.transform("multi", lambda m: m["n"] - 1), F.array().cast("array<int>")), F.lit(0), lambda s, x: s + x)
+    df = once(df, pre=pre_tokens(F.coalesce(F.col(text), F.lit("")), added_tokens(path)))
+    df = once(df.withColumn("_multi", several_pieces(path)("pre")), multi=F.col("_multi")).drop("_multi")
+    more = F.aggregate(F.transform("multi", lambda m: m["n"] - 1), F.lit(0), lambda s, x: s + x)
     return df.withColumn("n_pieces", (F.size("pre") + more).cast("bigint"))
 
 

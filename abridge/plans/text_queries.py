@@ -125,7 +125,7 @@ def q_count_pieces(spark, sf):
 
     No SQL states the merges; tests hold counts and cuts of all documents against the tokenizer itself.
     """
-    d = with_pieces(read_table(spark, sf, "documents").select("doc_id", "text"), ["doc_id"], "text")
+    d = with_pieces(spread(read_table(spark, sf, "documents").select("doc_id", "text"), "doc_id"), ["doc_id"], "text")
     d = d.withColumn("target", target_tokens("n_pieces", F.lit(0.25))).withColumn("cut", cut_pieces(F.col("target")))
     return d.select("doc_id", "n_pieces", "target", F.least("target", "n_pieces").alias("n_cut"),
                     F.char_length("cut").cast("bigint").alias("cut_chars"), F.md5("cut").alias("cut_md5"))

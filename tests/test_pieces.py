@@ -57,3 +57,12 @@ def test_query_on_documents(spark):
     load_all()
     rows = REGISTRY["count_pieces"].fn(spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == 200 and all(r["n_cut"] <= r["target"] or r["n_pieces"] <= r["target"] for r in rows)
+
+
+def test_rows_are_not_shuffled_and_keys_may_repeat(spark):
+    from abridge.functions.pieces import with_pieces
+    df = spark.createDataFrame([(1, "unbelievableness"), (1, "a unbelievableness"), (None, "unbelievableness")], "k long, text string")
+    got = with_pieces(df, ["k"], "text")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    n = {(r["k"], r["text"]): r["n_pieces"] for r in got.collect()}
+    assert n[1, "unbelievableness"] == n[None, "unbelievableness"] > 1 and len(n) == 3
