@@ -66,6 +66,20 @@ def test_parsed_answer_or_fallback(spark):
     assert got[4]["rougeL"] == 1.0 and got[4]["answer_text"] == "a b c d"
 
 
+def test_token_arrays_are_not_moved(spark):
+    """Prompts meet their responses without their tokens, which are several times the text; scores are those of the whole row."""
+    from abridge.operators.candidates import candidates
+    from abridge.operators.responses import answered, score_answers
+    from abridge.sources.samples import SAMPLE_COLS
+    s = spark.createDataFrame([("reconstruction", 1, "g", "a b c d", None, None, None)],
+                              "task string, sample_id long, grp string, prompt string, reference string, question string, answer string").select(*SAMPLE_COLS)
+    c = candidates(s, [0.5], ["loc-begin"])
+    store = store_at(spark)
+    assert not {"tok", "ref_rt", "ref_ids"} & set(answered(c, store).columns)
+    row = score_answers(c, store).first()
+    assert (row["n_ref"], row["n_cand"], row["lcs"], row["answer_source"]) == (4, 2, 2, "no response")
+
+
 def test_errors_leave_with_a_reason_in_one_pass(spark):
     from abridge.operators.errors import error_report, split_errors
     from abridge.session import ensure_checkpoint_dir
