@@ -58,3 +58,18 @@ def test_metrics_without_rouge_equal_those_beside_it(spark):
     assert set(with_it.columns) == set(without.columns)
     cols = [c for c in without.columns if c not in ("tok", "n_ref2", "n_cand2")]
     assert sorted(map(repr, without.select(cols).collect())) == sorted(map(repr, with_it.select(cols).collect()))
+
+
+def test_abbreviations_equal_the_rule_word_by_word(spark):
+    from abridge.functions.tokens import ws_tokens
+    from abridge.operators.compress import STOP_WORDS, abbreviated
+    texts = ["The aeiou I a of OF ao aoi oAe\n\tbee  see aa ééaé \U0001f600a\U0001f600 áab", "", " ", "and", "x" * 3 + " Ohio's end."]
+    short = lambda w: w if len(w) < 3 else w[0] + "".join(c for c in w[1:-1] if c not in "aeiouAEIOU") + w[-1]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").withColumn("tok", ws_tokens("t"))
+    for r in df.select("t", "tok", abbreviated("t", "tok").alias("got")).collect():
+        assert r.got == (None if r.t is None else [short(w) for w in r.tok if w.lower() not in STOP_WORDS])
+
+
+def test_the_answer_is_hashed_and_not_the_candidate(spark):
+    from abridge.plans.eval_queries import q_eval_qa
+    assert "array_intersect(_p" in q_eval_qa(spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
