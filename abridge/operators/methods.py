@@ -30,10 +30,11 @@ def method_calls(df: DataFrame, models, style: str = "for_reconstruction") -> Da
     return df.withColumn("calls", F.flatten(calls))
 
 
-def compress_with(calls: DataFrame, completions: DataFrame) -> DataFrame:
+def compress_with(calls: DataFrame, completions: DataFrame | None) -> DataFrame:
     """``comp_vanilla``, ``comp_lingua``, style: response -> own parser -> budget; the prefix where none came.
 
-    ``calls``: :func:`method_calls`; ``completions``: (model, request_id, response). Adds ``response``, ``compressed`` and
+    ``calls``: :func:`method_calls`; ``completions``: (model, request_id, response), None where ``with_answers`` has brought them
+    (by ``model|request_id``). Adds ``response``, ``compressed`` and
     ``source`` (rule / completion / fallback) to every call.
     """
     def parse(c: Column) -> Column:

@@ -93,3 +93,37 @@ def test_search_makes_its_targets_once(spark):
     targets = targets.mapInPandas(count, targets.schema)
     assert {r.vid: r.d for r in sssp(edges, src, targets=targets).collect()}[3] == 3.0
     assert made.value == 1
+
+
+def test_answers_by_prompt_equal_answers_by_request(spark):
+    from abridge.functions.text import parse_compression
+    from abridge.operators.candidates import budget_arrays, candidate_arrays
+    from abridge.operators.requests import answer_calls, said_map, standin_answers, text_id, with_answers
+    ratios, styles = [0.25, 0.5], ["loc-mid", "unreadable", "abstractive"]
+    grid = candidate_arrays(samples(spark), ratios, styles)
+    said = grid.select(F.explode(standin_answers("grid")).alias("e")).select(F.col("e.id").alias("request_id"), "e.response")
+    said = said.where("response is not null").dropDuplicates(["request_id"])
+    parse = lambda c: parse_compression(c["response"])
+    rows = lambda df: sorted(map(repr, df.select("sample_id", F.explode("calls").alias("c")).select("sample_id", "c.*").collect()))
+    want = rows(answer_calls(calls_of(grid), said.localCheckpoint(), parse))
+    answers = grid.select(text_id().alias("text_id"), said_map(standin_answers("grid")).alias("said"))
+    df = calls_of(budget_arrays(with_answers(samples(spark), answers), ratios, styles))
+    assert rows(answer_calls(df, None, parse)) == want
+    assert any("source='completion'" in x for x in want) and any("source='fallback'" in x for x in want)
+
+
+def test_an_answer_moves_once_and_prompts_move_alone(spark):
+    """The registered joins deal an answer's text out once, by its prompt; no tokens, requests or ids are dealt out with a prompt."""
+    import re
+    import __spark_entry__ as e
+    d = "/root/testdata/sf0.001"
+    for name in ("join_completions", "method_texts", "method_sweep"):
+        plan = e.queries()[name](spark, d)._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"Exchange hashpartitioning\([^)]*request_id", plan)
+        assert len(re.findall(r"Exchange hashpartitioning\(text_id", plan)) == 2
+
+
+def test_first_answer_of_an_id_counts(spark):
+    from abridge.operators.requests import said_map
+    df = spark.createDataFrame([([("a", "1"), ("b", None), ("a", "2"), ("c", "3")],), ([],)], "e array<struct<id:string,response:string>>")
+    assert [r.m for r in df.select(said_map(F.col("e")).alias("m")).collect()] == [{"a": "1", "c": "3"}, {}]
