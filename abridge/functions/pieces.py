@@ -10,13 +10,17 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from abridge.functions.tokens import once
 
 KEPT = 200_000  # merged pre-tokens that a task remembers
+SHORT = 64  # characters of those
+AT_ONCE = 1 << 18  # pre-tokens that a task holds as Python values, those of one text at least
 
 # Fixed value: the pre-token pattern of byte-level BPE (Unicode white space).
 PRE_TOKEN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -67,24 +71,50 @@ def piece_dictionary(tokens: DataFrame, path: str) -> DataFrame:
     return tokens.where(F.octet_length("token") > 1).select("token").distinct().mapInPandas(run, "token string, n int, heads array<string>")
 
 
+def _several(pre: pa.ListArray, merged) -> pa.Array:
+    """For each row of ``pre``: those of its pre-tokens that are several pieces, as (at, n, heads) in order.
+
+    Python sees the distinct pre-tokens of some rows at a time; ``merged``: their (n, heads). All else stays in Arrow's buffers.
+    """
+    kind = pa.struct([("at", pa.int32()), ("n", pa.int32()), ("heads", pa.list_(pa.string()))])
+    starts, parts, row = pre.offsets.to_numpy(), [], 0
+    while row < len(pre):
+        end = max(row + 1, int(np.searchsorted(starts, starts[row] + AT_ONCE, "right")) - 1)
+        first = starts[row:end + 1] - starts[row]
+        found = pre.values.slice(starts[row], first[-1]).dictionary_encode()
+        pieces = merged(found.dictionary.to_pylist())
+        of, n = found.indices.to_numpy(), np.array([x[0] for x in pieces], np.int32)
+        at = np.flatnonzero(n[of] > 1) if len(of) else np.zeros(0, np.int64)
+        place = at - first[np.searchsorted(first, at, "right") - 1]
+        heads = pa.array([x[1] for x in pieces], pa.list_(pa.string())).take(pa.array(of[at]))
+        rows = pa.StructArray.from_arrays([pa.array(place.astype(np.int32)), pa.array(n[of[at]]), heads], fields=list(kind))
+        parts.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(at, first).astype(np.int32)), rows))
+        row = end
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(kind))
+
+
 def several_pieces(path: str):
     """A column function: the pre-tokens of a text that are several pieces, as (at, n, heads) in order."""
     with open(path, encoding="utf-8") as f:
         model = f.read()  # the file itself need not be on the executors
 
-    @F.pandas_udf("array<struct<at:int,n:int,heads:array<string>>>")
-    def several(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<struct<at:int,n:int,heads:array<string>>>")
+    def several(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         from tokenizers import Tokenizer
-        tokenizer, known = Tokenizer.from_str(model), {}
-        for b in batches:
+        tokenizer, known, single = Tokenizer.from_str(model), {}, (1, [])
+
+        def merged(tokens: list[str]) -> list[tuple[int, list[str]]]:
             if len(known) > KEPT:
-                known = {}
+                known.clear()
             # a single ASCII character is one piece by construction
-            new = [t for t in {t for row in b for t in row} if t not in known and (len(t) > 1 or not t.isascii())]
-            known.update(zip(new, _merged(tokenizer, new)))
-            single = (1, [])
-            found = [[(at, *known.get(t, single)) for at, t in enumerate(row)] for row in b]
-            yield pd.Series([[{"at": at, "n": n, "heads": heads} for at, n, heads in row if n > 1] for row in found])
+            new = [t for t in tokens if t not in known and (len(t) > 1 or not t.isascii())]
+            made = dict(zip(new, _merged(tokenizer, new)))
+            out = [known.get(t) or made.get(t, single) for t in tokens]
+            known.update((t, m) for t, m in made.items() if len(t) <= SHORT)  # the heads of a long one are many times its size
+            return out
+
+        for pre in batches:
+            yield _several(pre, merged)
 
     return several
 

@@ -66,3 +66,23 @@ def test_rows_are_not_shuffled_and_keys_may_repeat(spark):
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     n = {(r["k"], r["text"]): r["n_pieces"] for r in got.collect()}
     assert n[1, "unbelievableness"] == n[None, "unbelievableness"] > 1 and len(n) == 3
+
+
+def test_few_pre_tokens_at_once_are_python_values(monkeypatch):
+    """A batch of long texts is not turned into Python strings and records as a whole."""
+    import pyarrow as pa
+
+    from abridge.functions import pieces
+    monkeypatch.setattr(pieces, "AT_ONCE", 4)
+    asked = []
+
+    def merged(tokens):
+        asked.append(len(tokens))
+        return [(len(t), [t[:i] for i in range(1, len(t))]) for t in tokens]
+
+    rows = [["a", "bc", "a"], [], ["bc", "def", "bc", "x", "yz"], ["q"], [], ["a", "bc"]]
+    whole = pa.array([["dropped"], *rows], pa.list_(pa.string()))
+    got = pieces._several(whole.slice(1), merged).to_pylist()
+    assert got == [[{"at": i, "n": len(t), "heads": [t[:j] for j in range(1, len(t))]} for i, t in enumerate(r) if len(t) > 1] for r in rows]
+    assert max(asked) <= 4 and len(asked) > 2
+    assert pieces._several(whole.slice(0, 0), merged).to_pylist() == []
